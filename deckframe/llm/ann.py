@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from deckframe.llm.common import cut
 
-PIVOTS, PREFIX, POST, PROBE, SHARE = 128, 64, 1, 84, 0.2
+PIVOTS, PREFIX, POST, PROBE, SHARE = 128, 128, 1, 100, 0.2
 CELL, QUERIES, LEAST = 20_000, 4_000, 128
 SEED = 31_337
 
