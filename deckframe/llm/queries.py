@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckframe.llm import ann, chat, mixing, quality, secrets, sentencepiece_fst, sharding, token_counts, urls
+from deckframe.llm import ann, chat, mixing, neardup, quality, secrets, sentencepiece_fst, sharding, token_counts, urls
 
 URL_RULES = (
     urls.Rule("block", "net", "/"),
@@ -29,6 +29,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decisions(mix)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.labelled(_read(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"), "votes")
@@ -63,6 +67,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
+    "op3_near_dedup": op3_near_dedup,
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
     "op6_token_counts": op6_token_counts,
