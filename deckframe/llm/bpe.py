@@ -11,14 +11,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+#: Ids of single symbols that are no token lie above this.
+LONE = 1 << 24
+_SHIFT = 26
 
-class Neighbours:
-    """Whether token ``b`` may follow token ``a``; answers are kept, up to ``most`` of them."""
 
-    def __init__(self, rank: Callable[[object], float | None], unit: Callable[[object], list], most: int = 400_000) -> None:
-        """rank: of a merged string, lower merges first, None if it is no token. unit: splits a string into the symbols that merging starts from."""
+class Lattice:
+    """Finds the path. Texts are str or bytes; answers about neighbours are kept, up to ``most`` of them."""
+
+    def __init__(self, tokens: Mapping, rank: Callable[[object], float | None], unit: Callable[[object], list], most: int = 500_000) -> None:
+        """tokens: string -> id. rank: of a merged string, lower merges first, None if it is no token. unit: splits a string into the symbols that merging starts from."""
         self.rank, self.unit, self.most = rank, unit, most
-        self.known: dict[object, bool] = {}
+        self.string = {i: s for s, i in tokens.items()}
+        #: every ending of a token -> its id if it is a token itself, else -1
+        self.endings = {s[k:]: -1 for s in tokens for k in range(len(s))} | dict(tokens)
+        self.known: dict[int, bool] = {}
 
     def merge(self, text: object) -> list:
         """The encoding of a short string, by merging the best neighbours first, leftmost on ties."""
@@ -34,51 +41,66 @@ class Neighbours:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def ask(self, a: object, b: object) -> bool:
-        """The slow answer, which is kept. ``a`` empty: whether ``b`` encodes to itself."""
+    def name(self, token: int, like: object) -> object:
+        """The string of a token, or of a lone symbol."""
+        if token < LONE:
+            return self.string[token]
+        return bytes([token - LONE]) if isinstance(like, bytes) else chr(token - LONE)
+
+    def ask(self, key: int, like: object) -> bool:
+        """The slow answer for the pair in ``key``, which is kept. A first part of 0 asks whether the second encodes to itself."""
         if len(self.known) >= self.most:
             self.known.clear()
-        yes = self.known[a, b] = self.merge(a + b) == ([a, b] if a else [b])
+        a, b = key >> _SHIFT, self.name(key & ((1 << _SHIFT) - 1), like)
+        if a:
+            a = self.name(a - 1, like)
+            yes = self.merge(a + b) == [a, b]
+        else:
+            yes = self.merge(b) == [b]
+        self.known[key] = yes
         return yes
 
-
-def lattice(text: object, tokens: Mapping, longest: int, near: Neighbours) -> list:
-    """For every prefix length above 0 its last token; index 0 holds the empty string.
-
-    ``text``: str, or bytes. A single symbol that is no token stands for itself.
-    """
-    known, ask = near.known, near.ask
-    last = [text[:0]]
-    for i in range(1, len(text) + 1):
-        for j in range(i - longest if i > longest else 0, i):
-            piece = text[j:i]
-            if piece in tokens or i - j == 1:
-                before = last[j]
-                if before is None:
-                    continue
-                ok = known.get((before, piece))
-                if ok or ok is None and ask(before, piece):
-                    last.append(piece)
+    def table(self, text: object) -> tuple[list[int], list[int]]:
+        """For every prefix length its last token + 1 and where that token starts; (0, 0) for the empty prefix, (-1, 0) where there is no encoding."""
+        endings, known, last, begin = self.endings, self.known, [0], [0]
+        for i in range(1, len(text) + 1):
+            j, found = i - 1, []
+            while j >= 0:
+                token = endings.get(text[j:i])
+                if token is None:
                     break
-        else:
-            last.append(None)
-    return last
-
-
-def path(last: list) -> list:
-    """The tokens that ``lattice`` ends with, in order."""
-    out, i = [], len(last) - 1
-    while i > 0:
-        out.append(last[i])
-        i -= len(last[i])
-    out.reverse()
-    return out
+                if token >= 0:
+                    found.append((j, token))
+                j -= 1
+            if not found or found[0][0] != i - 1:
+                found.insert(0, (i - 1, LONE + (text[i - 1] if isinstance(text, bytes) else ord(text[i - 1]))))
+            for j, token in reversed(found):
+                before = last[j]
+                if before >= 0:
+                    ok = known.get(key := before << _SHIFT | token)
+                    if ok or ok is None and self.ask(key, text):
+                        last.append(token + 1)
+                        begin.append(j)
+                        break
+            else:
+                last.append(-1)
+                begin.append(0)
+        return last, begin
 
+    def path(self, text: object) -> list[int]:
+        """The tokens of the encoding, in order."""
+        last, begin = self.table(text)
+        out, i = [], len(text)
+        while i > 0:
+            out.append(last[i] - 1)
+            i = begin[i]
+        out.reverse()
+        return out
 
-def prefix_counts(last: list) -> list[int]:
-    """How many tokens each prefix has, from ``lattice``; -1 for a prefix that has no encoding of its own."""
-    counts = [0]
-    for i in range(1, len(last)):
-        piece = last[i]
-        counts.append(-1 if piece is None else counts[i - len(piece)] + 1)
-    return counts
+    def counts(self, text: object) -> list[int]:
+        """How many tokens each prefix has; -1 for one that has no encoding."""
+        last, begin = self.table(text)
+        out = [0]
+        for i in range(1, len(last)):
+            out.append(-1 if last[i] < 0 else out[begin[i]] + 1)
+        return out

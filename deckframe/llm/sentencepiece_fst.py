@@ -30,15 +30,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from deckframe.llm.bpe import Neighbours, lattice, path
+from deckframe.llm.bpe import LONE, Lattice
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: A unigram character that no piece covers costs this more than the worst piece.
 UNKNOWN_COST = 10.0
-#: Segments whose pieces are kept.
-KEPT = 400_000
+#: Segments whose pieces are kept, in each of two generations.
+KEPT = 500_000
 #: Bytes of text in one batch of results.
 BATCH = 4 << 20
 
@@ -98,9 +98,10 @@ class Machine:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
         self.worst = min(self.score.values(), default=0.0) - UNKNOWN_COST
         self.longest = max(map(len, self.id), default=1)
-        self.near = Neighbours(lambda s: None if (x := self.score.get(s)) is None else -x, list)
+        self.lattice = Lattice(self.id, lambda s: None if (x := self.score.get(s)) is None else -x, list)
         self.segments = regex.compile(self._segments(), regex.S)
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._decoder(pieces)
 
     def _segments(self) -> str:
@@ -130,10 +131,10 @@ class Machine:
             text = re.sub(" +", " ", text.strip(" "))
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
-    def shortest(self, segment: str) -> list[str]:
-        """The pieces on the shortest path; a character that is no piece stands for itself."""
+    def shortest(self, segment: str) -> list[int]:
+        """The ids on the shortest path; LONE + code point for a character that is no piece."""
         if self.kind == BPE:
-            return path(lattice(segment, self.id, self.longest, self.near))
+            return self.lattice.path(segment)
         cost, back = [0.0], [0]
         score, longest, worst = self.score, self.longest, self.worst
         for i in range(1, len(segment) + 1):
@@ -150,26 +151,27 @@ class Machine:
             back.append(at)
         out, i = [], len(segment)
         while i:
-            out.append(segment[back[i] : i])
+            out.append(self.id.get(segment[back[i] : i], LONE + ord(segment[back[i]])))
             i = back[i]
         return out[::-1]
 
     def ids(self, segment: str) -> list[int]:
         out: list[int] = []
-        for p in self.shortest(segment):
-            if (i := self.id.get(p)) is not None:
+        for i in self.shortest(segment):
+            if i < LONE:
                 out.append(i)
             elif self.fallback:
-                out += (self.bytes[b] for b in p.encode())
+                out += (self.bytes[b] for b in chr(i - LONE).encode())
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
         return out
 
     def packed(self, segment: str) -> bytes:
-        """The ids of a segment as 32-bit integers, kept."""
+        """The ids of a segment as 32-bit integers. What a generation did not ask for again goes with it."""
+        out = self.older.get(segment) or np.array(self.ids(segment), np.int32).tobytes()
         if len(self.kept) >= KEPT:
-            self.kept.clear()
-        out = self.kept[segment] = np.array(self.ids(segment), np.int32).tobytes()
+            self.older, self.kept = self.kept, {}
+        self.kept[segment] = out
         return out
 
     def encode(self, text: str) -> np.ndarray:

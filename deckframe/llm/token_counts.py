@@ -22,12 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from deckframe.llm.bpe import Neighbours, lattice, prefix_counts
+from deckframe.llm.bpe import Lattice
 
 #: Fixed value: the pre-token pattern of byte-level BPE files with ``use_regex``.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pre-tokens whose counts are kept.
-KEPT = 400_000
+#: Pre-tokens whose counts are kept, in each of two generations.
+KEPT = 500_000
 ROWS = 2_000
 
 
@@ -55,21 +55,23 @@ class Counter:
         rank = {x: i for i, x in reversed(list(enumerate(merged)))}
         if len(rank) != len(merged):
             raise ValueError("two merges make the same token")
-        self.longest = max(map(len, self.tokens))
         halves = {x: (raw(a), raw(b)) for x, (a, b) in zip(merged, pairs, strict=True)}
-        self.near = _Halves(rank, halves)
+        self.lattice = _Halves(self.tokens, rank, halves)
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True))) if special else None
         self.cut = regex.compile(PATTERN)
         self.kept: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def inner(self, pre_token: str) -> list[int]:
         """The count at every prefix of a pre-token's bytes."""
-        return prefix_counts(lattice(pre_token.encode(), self.tokens, self.longest, self.near))
+        return self.lattice.counts(pre_token.encode())
 
     def of(self, pre_token: str) -> int:
+        """The count of a pre-token. What a generation did not ask for again goes with it."""
+        n = self.older.get(pre_token) or self.inner(pre_token)[-1]
         if len(self.kept) >= KEPT:
-            self.kept.clear()
-        n = self.kept[pre_token] = self.inner(pre_token)[-1]
+            self.older, self.kept = self.kept, {}
+        self.kept[pre_token] = n
         return n
 
     def parts(self, text: str) -> Iterator[tuple[bool, str]]:
@@ -96,11 +98,11 @@ class Counter:
         return PrefixCounts(self, text)
 
 
-class _Halves(Neighbours):
-    """Neighbours where a token has one way to be merged: the two halves must be those of the merge."""
+class _Halves(Lattice):
+    """A lattice where a token has one way to be merged: the two halves must be those of the merge."""
 
-    def __init__(self, rank: dict[bytes, int], halves: dict[bytes, tuple[bytes, bytes]]) -> None:
-        super().__init__(rank.get, lambda s: [s[i : i + 1] for i in range(len(s))])
+    def __init__(self, tokens: dict[bytes, int], rank: dict[bytes, int], halves: dict[bytes, tuple[bytes, bytes]]) -> None:
+        super().__init__(tokens, rank.get, lambda s: [s[i : i + 1] for i in range(len(s))])
         self.halves = halves
 
     def merge(self, text: bytes) -> list[bytes]:
