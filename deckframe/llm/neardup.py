@@ -15,11 +15,20 @@ Verification. A candidate pair is a link if the Jaccard similarity of the two se
 at least ``THRESHOLD``, computed from the texts.
 
 No bucket is expanded into all its pairs. Equal texts are one node from the start. In the first
-round every bucket tests its members against one hub; verified links join nodes into classes. A
-bucket whose members are all in one class has nothing more to say. In the buckets that are left,
-16, then 256, then 4,096 members (and so on, until all) are hubs in turn, and only pairs of nodes
-from different classes that were not tested before are tested. So every pair of candidates that
-could still join two classes is tested, and a large group of copies costs about a test a member.
+round every bucket tests its members against one hub, the member that meets most others in all its
+buckets: in a group of edited copies that is the text they were made from. Verified links join
+nodes into classes. A bucket whose members are all in one class has nothing more to say.
+
+In the buckets that are left, an exact bound leaves out what cannot link. Of a node's n shingles
+let c occur in another open node too. What two nodes share is at most the smaller c, so a link
+needs (1 + t) min(c, c') >= t (n + n') at threshold t, and so c >= t n of each. Texts that merely
+share a passage, or copies edited too often, fail that alone. Among the rest 16, then 256, then
+4,096 members (and so on, until all) are hubs in turn, and only pairs from different classes that
+meet the bound and were not tested before are tested. Two more bounds spare tests: Jaccard distance
+is a metric, so two texts whose similarities to one hub differ by more than 1 - t are no link; and
+two plain MinHash signatures of 256 that agree in fewer places than 5 standard deviations below 256 t
+are none either (which errs for 3 in 10 million links). So no pair of candidates that could join two
+classes is left out, and a large group of copies costs about a test a member.
 
 Defined cases: a null text is a class of its own; equal texts, also without words, are one class; a
 text of one to four words is one shingle; a class is named by its smallest doc_id (null if it has
@@ -29,7 +38,7 @@ gives an empty result; other columns are ignored or, in ``deduplicated``, carrie
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +52,8 @@ from deckframe.llm.common import cut, free_name, same
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
+#: Places of the signatures that spare tests, 16 bits each.
+SIGN = 256
 #: Rows up to which a table of keys is broadcast (24 bytes each); beyond it the join is by shuffle.
 BROADCAST_ROWS = 500_000
 #: Hubs of an unsettled bucket grow by this factor from round to round.
@@ -223,13 +234,81 @@ class Classes:
     links: DataFrame
 
 
-def _pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """a, b: distinct pairs of different nodes that meet in a bucket and whose sizes allow the threshold."""
-    met = left.select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("class").alias("cx")).join(
-        right.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("class").alias("cy")), "band"
-    )
-    met = met.where((F.col("cx") != F.col("cy")) & (F.least("nx", "ny") >= F.lit(threshold) * F.greatest("nx", "ny")))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _met(left: DataFrame, right: DataFrame, columns: Sequence[str], threshold: float) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides by bucket, columns named _x and _y, and whether classes differ and sizes and shared shingles allow the threshold."""
+    side = lambda df, k: df.select("band", *(F.col(c).alias(f"{c}_{k}") for c in columns))
+    most = F.least("common_x", "common_y", "n_x", "n_y")
+    fits = (F.col("class_x") != F.col("class_y")) & ((1 + threshold) * most >= threshold * (F.col("n_x") + F.col("n_y")))
+    return side(left, "x"), side(right, "y"), fits
+
+
+def _hub_pairs(ranked: DataFrame, threshold: float) -> DataFrame:
+    """a, b: every member of a bucket with the bucket's hub, each pair once."""
+    hubs = ranked.groupBy("band").agg(F.max("rank").alias("rank"))
+    left, right, fits = _met(ranked.join(hubs, ["band", "rank"], "left_semi"), ranked, ["node", "n", "class", "common"], threshold)
+    return left.join(right, "band").where(fits).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def _further_pairs(open_: DataFrame, hubs: int, threshold: float) -> DataFrame:
+    """a, b: pairs of the first ``hubs`` members of each bucket with the others, that no bound excludes.
+
+    A pair comes out once, in the first bucket that it shares; pairs of earlier rounds' hubs do not.
+    """
+    columns = ["node", "n", "class", "common", "turn", "anchor", "near", "bands", "sign"]
+    left, right, fits = _met(open_.where(F.col("turn") < hubs), open_, columns, threshold)
+    before = hubs / FACTOR if hubs > FACTOR else 0
+    once = ((F.col("turn_y") >= hubs) | (F.col("node_x") < F.col("node_y"))) & (F.least("turn_x", "turn_y") >= before)
+    metric = (F.col("anchor_x") != F.col("anchor_y")) | (F.abs(F.col("near_x") - F.col("near_y")) <= 1 - threshold + 1e-9)
+    first = F.get(F.filter(F.zip_with("bands_x", "bands_y", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0)) == F.col("band")
+    agree = F.aggregate(F.zip_with("sign_x", "sign_y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+    least = SIGN * threshold - 5 * (SIGN * threshold * (1 - threshold)) ** 0.5
+    met = left.join(right, "band").where(fits & once & metric & first & (agree >= least))
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+
+
+def _signatures(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, sign: a plain MinHash signature of each node's shingles, 16 bits a place."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = _mix(np.arange(1, SIGN + 1, dtype=np.uint64) * _M1)
+        for batch in batches:
+            out = []
+            for packed in batch.column(1):
+                own = np.frombuffer(packed.as_buffer(), np.uint64)
+                out.append(np.array([_mix(own ^ s).min() for s in seeds]).view(np.int64).astype(np.int16))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, SIGN * len(out) + 1, SIGN, dtype=np.int32)), pa.array(np.concatenate(out) if out else np.empty(0, np.int16)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "sign"])
+
+    return sets.join(_fewer(nodes), "node", "left_semi").select("node", "set").mapInArrow(run, "node binary, sign array<short>")
+
+
+def _anchors(scored: DataFrame, ranks: DataFrame) -> DataFrame:
+    """node, anchor, near: of the hubs that a node was tested against the highest ranked, and the similarity to it."""
+    both = scored.select(F.col("a").alias("node"), F.col("b").alias("hub"), "similarity").unionByName(scored.select(F.col("b").alias("node"), F.col("a").alias("hub"), "similarity"))
+    best = both.join(ranks.select(F.col("node").alias("hub"), "rank"), "hub").groupBy("node").agg(F.max(F.struct("rank", "hub", "similarity")).alias("k"))
+    best = best.join(ranks, "node").select("node", F.when(F.col("rank") > F.col("k.rank"), F.struct(F.col("node").alias("hub"), F.lit(1.0).alias("s"))).otherwise(F.struct("k.hub", F.col("k.similarity").alias("s"))).alias("k"))
+    return best.select("node", F.col("k.hub").alias("anchor"), F.col("k.s").alias("near"))
+
+
+def _common(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """who (hash of the node), alone: how many shingles of each of ``nodes`` no other of them has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for who, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(packed.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), who)), pa.array(own)], names=["who", "shingle"])
+
+    rows = sets.join(_fewer(nodes), "node", "left_semi").select(F.xxhash64("node").alias("who"), "set")
+    each = rows.mapInArrow(run, "who long, shingle long")
+    once = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("who").alias("who")).where("times = 1")
+    return once.groupBy("who").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def _linkable(open_: DataFrame, threshold: float) -> DataFrame:
+    """Rows of buckets in which some pair of different classes may still meet the bound."""
+    alive = open_.where(F.col("common") >= threshold * F.col("n"))
+    least = alive.groupBy("band").agg(F.min("n").alias("least"), F.min(F.xxhash64("class")).alias("lo"), F.max(F.xxhash64("class")).alias("hi"))
+    least = least.where("lo <> hi").select("band", "least")
+    return alive.join(least, "band").where((1 + threshold) * F.col("common") >= threshold * (F.col("n") + F.col("least"))).drop("least")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> Classes:
@@ -237,32 +316,48 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> Classes:
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = cut(nodes, "nd-nodes")
     posts = nodes.select(F.explode("bands").alias("band"), "node", "n")
-    shared = posts.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.xxhash64("node")).alias("hub")).where("size > 1")
+    shared = posts.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = cut(posts.join(shared, "band"), "nd-buckets")
     links, label = None, None
     if not met.isEmpty():
         sets = cut(_shingle_sets(docs, met.select("node").distinct()), "nd-sets")
-        open_ = met.withColumn("class", F.col("node"))
-        pairs = _pairs(open_.where(F.xxhash64("node") == F.col("hub")), open_, threshold)
-        tested, hubs = None, 1
-        while True:
-            pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "nd-pairs")
+        # nodes ranked by how many others they meet, with hash bits to tell equal ones apart
+        rank = (F.sum("size") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("rank")
+        ranks = cut(met.groupBy("node").agg(rank), "nd-ranks")
+        ranked = met.join(ranks, "node").withColumn("common", F.col("n")).withColumn("class", F.col("node"))
+        scored = cut(_verified(_hub_pairs(ranked, threshold), sets, 0.0), "nd-scored")
+        links = scored.where(F.col("similarity") >= threshold)
+        label = None if links.isEmpty() else components(links)
+
+        def classed(df: DataFrame) -> DataFrame:
+            if label is None:
+                return df.withColumn("class", F.col("node"))
+            return df.join(label, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+
+        one = F.xxhash64("class")
+        named = classed(met)
+        unsettled = named.groupBy("band").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi").select("band")
+        named = cut(named.join(unsettled, "band", "left_semi"), "nd-unsettled")
+        alone = _common(sets, named.select("node").distinct())
+        named = named.withColumn("who", F.xxhash64("node")).join(alone, "who", "left")
+        named = named.withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("who", "alone")
+        open_ = cut(_linkable(named, threshold), "nd-open")
+        if not open_.isEmpty():
+            still = open_.select("node").distinct()
+            more = _signatures(sets, still).join(nodes.select("node", "bands"), "node").join(_anchors(scored, ranks), "node", "left")
+            turn = F.pmod(F.xxhash64("node", "band"), F.lit(1 << 30)) * F.lit(2.0**-30) * F.col("size")
+            more = more.withColumn("anchor", F.coalesce("anchor", "node")).withColumn("near", F.coalesce("near", F.lit(1.0)))
+            open_ = cut(open_.join(more, "node").withColumn("turn", turn), "nd-open")
+        tested, hubs = scored.select("a", "b"), 1
+        while (most := open_.agg(F.max("size").alias("m")).first().m) is not None and hubs < most:
+            hubs *= FACTOR
+            pairs = cut(_further_pairs(open_, hubs, threshold).join(tested, ["a", "b"], "left_anti"), "nd-pairs")
             found = cut(_verified(pairs, sets, threshold), "nd-links")
-            tested = pairs if tested is None else tested.unionByName(pairs)
+            tested = tested.unionByName(pairs)
             if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
+                links = links.unionByName(found)
                 label = components(links)
-            named = met if label is None else met.join(label, "node", "left")
-            named = named.withColumn("class", F.coalesce("root", "node") if label is not None else F.col("node"))
-            one = F.xxhash64("class")
-            unsettled = named.groupBy("band").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi").select("band")
-            open_ = cut(named.join(unsettled, "band", "left_semi"), "nd-open")
-            most = open_.agg(F.max("size").alias("m")).first().m
-            if most is None or hubs >= most:
-                break
-            hubs *= FACTOR
-            drawn = F.pmod(F.xxhash64("node", "band"), F.lit(1 << 30)) * F.lit(2.0**-30) * F.col("size") < F.lit(float(hubs))
-            pairs = _pairs(open_.where(drawn), open_, threshold)
+            open_ = cut(_linkable(classed(open_.drop("class")), threshold), "nd-open")
     if links is None:
         links = docs.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
     rooted = nodes.select("node", "first_id", *([] if label is not None else [F.col("node").alias("root")]))
