@@ -115,6 +115,13 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object,
         yield now, turns
 
 
+def _noting(batches: Iterator[pa.RecordBatch], types: list) -> Iterator[pa.RecordBatch]:
+    """The batches; the first column's type goes to ``types[0]``, so that null ids keep it."""
+    for batch in batches:
+        types[0] = batch.schema.field(0).type
+        yield batch
+
+
 def _ordered(conversations: DataFrame) -> DataFrame:
     return (
         conversations.select("conv_id", "turn", "role", "text").repartition("conv_id")
@@ -132,10 +139,11 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str) -> DataF
         content = conversations.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _shared(content.value)
-        for conv, turns in _conversations(batches):
+        tok, types = _shared(content.value), [None]
+        for conv, turns in _conversations(_noting(batches, types)):
             f = formatted(turns, tok)
-            yield pa.RecordBatch.from_arrays([pa.array([conv]), pa.array([f.text]), pa.array([f.ids]), pa.array([f.mask])], names=["conv_id", "formatted", "ids", "mask"])
+            ids, mask = pa.array([f.ids], pa.list_(pa.int32())), pa.array([f.mask], pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array([conv], types[0]), pa.array([f.text]), ids, mask], names=["conv_id", "formatted", "ids", "mask"])
 
     return _ordered(conversations).mapInArrow(run, f"conv_id {kind}, formatted string, ids array<int>, mask array<boolean>")
 
@@ -146,13 +154,12 @@ def digests(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
     with open(tokenizer_path, encoding="utf-8") as f:
         content = conversations.sparkSession.sparkContext.broadcast(f.read())
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"]
-    types = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, rows = _shared(content.value), []
+        types = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         whole = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-        types[0] = pa.int64() if kind == "bigint" else None
-        for conv, turns in _conversations(batches):
+        for conv, turns in _conversations(_noting(batches, types)):
             f = formatted(turns, tok)
             back, loss = parse(f.text), f.loss_text()
             digest = hashlib.sha256()
