@@ -89,7 +89,7 @@ def _parts(counts: dict[int, int], size: int, n: int) -> Column:
 def _search(found: DataFrame, ask: DataFrame, n_pivots: int, prefix: int, probe: int, post: int, share: float, k: int) -> DataFrame:
     """query_id, vec_id, score: the k nearest of every file that a query opens."""
     posted = found.select("vec_id", "v", "perm", F.explode(F.slice("perm", 1, post)).alias("pivot"))
-    opened = ask.select(F.col("vec_id").alias("query_id"), "v", "perm", F.explode(F.slice("perm", 1, probe)).alias("pivot"))
+    opened = ask.select(F.col("vec_id").alias("query_id"), F.col("v").alias("x"), F.col("perm").alias("order"), F.explode(F.slice("perm", 1, probe)).alias("pivot"))
     sizes = {r.pivot: r["count"] for r in found.select(F.explode(F.slice("perm", 1, post)).alias("pivot")).groupBy("pivot").count().collect()}
     loads = {r.pivot: r["count"] for r in ask.select(F.explode(F.slice("perm", 1, probe)).alias("pivot")).groupBy("pivot").count().collect()}
     salts, blocks = _parts(sizes, CELL, n_pivots), _parts(loads, QUERIES, n_pivots)
@@ -108,7 +108,7 @@ def _search(found: DataFrame, ask: DataFrame, n_pivots: int, prefix: int, probe:
             places = np.full((len(ids), n_pivots), prefix, np.int16)
             np.put_along_axis(places, perm.astype(np.int64), np.arange(perm.shape[1], dtype=np.int16)[None, :].repeat(len(ids), 0), 1)
             places = np.ascontiguousarray(places.T)
-            asked, own = _matrix(queries["v"]), _matrix(queries["perm"]).astype(np.int64)
+            asked, own = _matrix(queries["x"]), _matrix(queries["order"]).astype(np.int64)
             keep = max(LEAST, int(np.ceil(share * len(ids))))
             at = np.arange(own.shape[1], dtype=np.int16)[:, None]
             for q, (name, x) in enumerate(zip(queries["query_id"].to_numpy(), asked, strict=True)):
