@@ -102,16 +102,16 @@ class Deck:
         """Adds or replaces a layout. Its references are checked like any other's."""
         self.library.register(schema)
         self.content = Content(self.spark, self.content.paths, self.library)
-        for name in ("blocks", "definitions", "references", "connectivity", "sites"):
+        for name in ("blocks", "definitions", "references", "sites"):
             self.__dict__.pop(name, None)
 
     # ids ------------------------------------------------------------------------------------
 
-    def _logical(self, ids: DataFrame) -> DataFrame:
+    def _logical(self, ids: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Joins content with the deck's files and shifts ids; candidates: one (kind, id) for each kind that the id may have."""
         own = ids.withColumnRenamed("id", "phys_id").join(self.files.select("path", "file_idx", "offsets"), "path")
         shifted = F.transform("kinds", lambda k: F.struct(k.alias("kind"), ops.shifted(F.col("phys_id"), ops.offset_of(k, F.col("offsets"))).alias("id")))
-        return own.withColumn("candidates", shifted).drop("offsets", "path")
+        return own.withColumn("candidates", shifted).drop("offsets", *({"path"} - set(keep)))
 
     @functools.cached_property
     def definitions(self) -> DataFrame:
@@ -123,10 +123,18 @@ class Deck:
         """candidates, phys_id, file_idx, block_idx, row, line, keyword, field of cards that are not element lines."""
         return self._logical(self.content.ids.where("role = 'ref'")).drop("role", "per_line")
 
-    @functools.cached_property
-    def connectivity(self) -> DataFrame:
-        """The same of element lines."""
-        return self._logical(self.content.lines.where("role = 'conn'")).drop("role", "per_line")
+    def dangling_connectivity(self) -> DataFrame:
+        """The same columns for element lines whose nodes or parts are not defined.
+
+        Tasks first reduce each block to the different ids it refers to; those are joined. Lines are
+        read in place only for blocks that hold an id that failed.
+        """
+        defs = self.definitions.select("kind", "id")
+        asked = self._logical(self.content.distinct, keep=("path",)).select("file_idx", "path", "block_idx", F.explode("candidates").alias("c"))
+        failed = ops.dangling(asked.select("file_idx", "path", "block_idx", "c.kind", "c.id"), defs).persist()  # few; read twice
+        places = failed.select("path", "block_idx").distinct()
+        lines = self._logical(self.content.lines(places)).withColumn("c", F.explode("candidates")).select("*", "c.kind", "c.id")
+        return lines.join(failed.select("file_idx", "block_idx", "kind", "id"), ["file_idx", "block_idx", "kind", "id"], "left_semi")
 
     @functools.cached_property
     def sites(self) -> DataFrame:
@@ -141,13 +149,14 @@ class Deck:
 
         References to one kind are an anti-join of ids; the few that may be of several kinds are folded.
         """
-        refs = self.references.unionByName(self.connectivity) if connectivity else self.references
+        refs = self.references
         names = ["kinds", "phys_id", "file_idx", "block_idx", "row", "line", "keyword", "field"]
         defs = self.definitions.select("kind", "id")
         one = refs.where(F.size("kinds") == 1).select(*names, F.col("candidates")[0]["kind"].alias("kind"), F.col("candidates")[0]["id"].alias("id"))
         many = refs.where(F.size("kinds") > 1)
         key = ["file_idx", "block_idx", "row", "field", "phys_id"]
-        return ops.dangling(one, defs).select(*names).unionByName(ops.dangling_any(many, defs, key).select(*names))
+        found = ops.dangling(one, defs).select(*names).unionByName(ops.dangling_any(many, defs, key).select(*names))
+        return found.unionByName(self.dangling_connectivity().select(*names)) if connectivity else found
 
     # navigation -----------------------------------------------------------------------------
 
@@ -243,17 +252,25 @@ class Content:
         return self.blocks.repartition(n, "path", F.floor(F.col("block_idx") / 2000)).sortWithinPartitions("path", "block_idx")
 
     @functools.cached_property
+    def packed(self) -> DataFrame:
+        """Definitions, and references of cards; those of lines in arrays."""
+        return source.packed_ids(self._spread(), self.library).persist()
+
+    @property
     def ids(self) -> DataFrame:
-        return source.ids(self._spread(), self.library).persist()
+        return source.unpacked(self.packed)
 
-    @functools.cached_property
-    def lines(self) -> DataFrame:
-        """Element lines' references: read on request, not kept."""
-        element = self._spread().where(F.col("base").startswith("ELEMENT_"))
-        return source.ids(element, self.library, connectivity=True)
+    @property
+    def distinct(self) -> DataFrame:
+        """The different ids that each block of elements refers to."""
+        return source.unpacked(source.packed_ids(self._spread().where(F.col("base").startswith("ELEMENT_")), self.library, "distinct"))
+
+    def lines(self, places: DataFrame) -> DataFrame:
+        """References of the element lines in some blocks (path, block_idx)."""
+        return source.unpacked(source.packed_ids(self._spread().join(places, ["path", "block_idx"], "left_semi"), self.library, "conn"))
 
     def unpersist(self) -> None:
-        for name in ("blocks", "ids"):
+        for name in ("blocks", "packed"):
             if name in self.__dict__:
                 self.__dict__.pop(name).unpersist()
 

@@ -25,7 +25,9 @@ from deckframe.sources import cards
 #: Bytes of a block that one task reads.
 CHUNK = 8 << 20
 BLOCK_SCHEMA = "path string, block_idx int, name string, base string, options array<string>, span_start long, span_end long, name_start long, body_start long, line long, format string, title_offset int"
-ID_SCHEMA = "path string, block_idx int, row int, line long, keyword string, field string, role string, per_line boolean, kinds array<string>, id long"
+#: Ids of a column of lines come packed: ``ids`` holds those of rows row, row + 1 and so on, null where there is none.
+ID_SCHEMA = "path string, block_idx int, row int, line long, keyword string, field string, role string, per_line boolean, kinds array<string>, ids array<long>"
+PACK = 1 << 16
 
 
 def read_range(path: str, start: int = 0, end: int | None = None) -> bytes:
@@ -185,17 +187,13 @@ def rows(found: DataFrame, schema: Schema, tasks: int = 0) -> DataFrame:
 # ids ----------------------------------------------------------------------------------------
 
 
-def block_ids(body: bytes, block_line: int, name: str, fmt: str, library: Library, connectivity: bool = False) -> Iterator[tuple]:
-    """(row, line, field, role, per_line, kinds, id) of what a block defines and refers to.
-
-    Element keywords refer by every line; those references have the role ``conn`` and are read on request.
-    """
+def block_ids(body: bytes, block_line: int, name: str, fmt: str, library: Library) -> Iterator[tuple]:
+    """(row, line, field, role, per_line, kinds, id) of what a block that does not define by line defines and refers to."""
     base = canonical_base(name)
     layout = library.find(name)
     if layout is None:
         return
     d = definition_of(base)
-    per_line = bool(d and d.per_line)
     own = base in library.own
     refs = any(f.refs for c in layout.cards for f in c.fields)
     if not (d or refs):
@@ -206,28 +204,26 @@ def block_ids(body: bytes, block_line: int, name: str, fmt: str, library: Librar
         row = k - title
         if row < 0:
             continue
-        c = 0 if per_line or (own and layout.repeat and len(layout.cards) == 1) else row
+        c = 0 if own and layout.repeat and len(layout.cards) == 1 else row
         if c >= len(layout.cards):
             break
         cells = None
-        if d and (per_line or row == d.card):
+        if d and row == d.card:
             cells = cards.slices(line, widths[c], fmt)
             if (i := parse_id(cards.text(cells[0]))) is not None:
-                yield row, block_line + k, layout.cards[c].fields[0].name, "def", per_line, [d.kind], i
-        if per_line and not connectivity:
-            continue
+                yield row, block_line + k, layout.cards[c].fields[0].name, "def", False, [d.kind], i
         at = 0
         for f in layout.cards[c].fields:
             if f.refs:
                 cells = cells or cards.slices(line, widths[c], fmt)
                 for x in cells[at : at + f.count]:
                     if i := parse_id(cards.text(x)):
-                        yield row, block_line + k, f.name, "conn" if per_line else "ref", per_line, list(f.refs), i
+                        yield row, block_line + k, f.name, "ref", False, list(f.refs), i
             at += f.count
 
 
 _ID_NAMES = [c.split()[0] for c in ID_SCHEMA.split(", ")]
-_ID_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.int64()]
+_ID_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64())]
 
 
 def _id_values(column: pa.Array) -> pa.Array:
@@ -238,58 +234,79 @@ def _id_values(column: pa.Array) -> pa.Array:
         return pa.array([parse_id(x) for x in column.to_pylist()], pa.int64())
 
 
-def line_ids(path: str, block: dict, body: bytes, library: Library, connectivity: bool) -> Iterator[pa.RecordBatch]:
-    """The ids of a block that defines by every line, column by column instead of line by line."""
+def line_ids(path: str, block: dict, body: bytes, library: Library, want: str) -> Iterator[tuple]:
+    """The ids of a block that defines by every line, column by column instead of line by line.
+
+    ``want``: ``def`` for definitions; ``conn`` for references in place; ``distinct`` for the
+    different ids that each group of columns of one kind refers to.
+    """
     base, layout = canonical_base(block["name"]), library.find(block["name"])
-    d = definition_of(base)
-    card = layout.cards[0]
+    card, title = layout.cards[0], int(has_title(block["name"]))
     as_text = Schema(base, (type(card)(tuple(Field(f.name, STR, f.width, f.count) for f in card.fields)),))
-    pos, columns = parse_rows(body, 0, as_text, block["format"])
-    title = int(has_title(block["name"]))
-    number = np.arange(len(pos) - title, dtype=np.int64)
+    _, columns = parse_rows(body, 0, as_text, block["format"])
+    kind, groups = definition_of(base).kind, {}
     for k, f in enumerate(card.fields):
-        role = "def" if k == 0 else "conn"
-        if f.count > 1 or (k and not (f.refs and connectivity)):
+        if f.count > 1 or (k > 0 if want == "def" else not f.refs):
             continue
         value = _id_values(columns[k].slice(title))
-        keep = pc.is_valid(value) if role == "def" else pc.fill_null(pc.not_equal(value, 0), False)
-        value, rows_ = value.filter(keep), number[np.asarray(keep)]
-        n = len(value)
-        same = lambda x, t: pa.array([x], t).take(pa.array(np.zeros(n, np.int8)))  # noqa: B023, E731
-        kinds = [d.kind] if role == "def" else list(f.refs)
-        yield pa.RecordBatch.from_arrays([
-            same(path, pa.string()), same(block["block_idx"], pa.int32()), pa.array(rows_.astype(np.int32)), pa.array(rows_ + block["line"] + title), same(base, pa.string()),
-            same(f.name, pa.string()), same(role, pa.string()), same(True, pa.bool_()), same(kinds, pa.list_(pa.string())), value,
-        ], names=_ID_NAMES)
-
-
-def ids(found: DataFrame, library: Library, connectivity: bool = False) -> DataFrame:
-    """Definitions and references of blocks (path, block_idx, name, body_start, span_end, line, format)."""
+        if want == "distinct":
+            groups.setdefault(f.refs, []).append(value)
+            continue
+        value = value if want == "def" else pc.if_else(pc.equal(value, 0), pa.scalar(None, pa.int64()), value)
+        for at in range(0, len(value), PACK):
+            yield path, block["block_idx"], at, block["line"] + title + at, base, f.name, want, True, [kind] if want == "def" else list(f.refs), value.slice(at, PACK)
+    for refs, values in groups.items():
+        value = pc.unique(pa.concat_arrays(values))
+        value = value.filter(pc.fill_null(pc.not_equal(value, 0), False))
+        for at in range(0, len(value), PACK):
+            yield path, block["block_idx"], 0, block["line"], base, "", want, True, list(refs), value.slice(at, PACK)
+
+
+def packed_ids(found: DataFrame, library: Library, want: str = "def") -> DataFrame:
+    """Ids of blocks (path, block_idx, name, body_start, span_end, line, format), packed.
+
+    ``def`` gives definitions, and references of cards; ``conn`` and ``distinct`` only those of element lines.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def full(got: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), _ID_TYPES, strict=True)], names=_ID_NAMES)
+            *head, values = zip(*got, strict=True)
+            ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays([v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for v in values]))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(head, _ID_TYPES, strict=False)), lists], names=_ID_NAMES)
 
-        path, data, got = None, None, []
+        path, data, got, size = None, None, [], 0
         for batch in batches:
             for b in batch.to_pylist():
-                if b["path"] != path:
-                    path, data = b["path"], _mapped(b["path"])
-                base, body = canonical_base(b["name"]), bytes(data[b["body_start"] : b["span_end"]])
+                base = canonical_base(b["name"])
                 d = definition_of(base)
-                if d and d.per_line and library.find(b["name"]) is not None:
-                    yield from line_ids(path, b, body, library, connectivity)
+                lined = bool(d and d.per_line)
+                if want != "def" and not lined or library.find(b["name"]) is None:
                     continue
-                for row, line, field, role, per_line, kinds, i in block_ids(body, b["line"], b["name"], b["format"], library, connectivity):
-                    got.append((path, b["block_idx"], row, line, base, field, role, per_line, kinds, i))
-                if len(got) >= 50_000:
-                    yield full(got)
-                    got = []
+                if b["path"] != path:
+                    path, data = b["path"], _mapped(b["path"])
+                body = bytes(data[b["body_start"] : b["span_end"]])
+                if lined:
+                    found_ = line_ids(path, b, body, library, want)
+                else:
+                    found_ = ((path, b["block_idx"], row, line, base, field, role, per_line, kinds, [i]) for row, line, field, role, per_line, kinds, i in block_ids(body, b["line"], b["name"], b["format"], library))
+                for row in found_:
+                    got.append(row)
+                    size += len(row[-1])
+                    if size >= PACK:
+                        yield full(got)
+                        got, size = [], 0
         if got:
             yield full(got)
 
     return found.select("path", "block_idx", "name", "body_start", "span_end", "line", "format").mapInArrow(run, ID_SCHEMA)
 
 
+def unpacked(packed: DataFrame) -> DataFrame:
+    """A row an id, with its own row and line."""
+    each = packed.select("*", F.posexplode("ids").alias("_k", "id")).where("id is not null")
+    return each.select("path", "block_idx", (F.col("row") + F.col("_k")).alias("row"), (F.col("line") + F.col("_k")).alias("line"), "keyword", "field", "role", "per_line", "kinds", "id")
+
+
 def _mapped(path: str) -> mmap.mmap | bytes:
     with open(path, "rb") as f:
         return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.fstat(f.fileno()).st_size else b""

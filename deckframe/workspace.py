@@ -63,7 +63,7 @@ class Workspace:
             content = Content(self.spark, paths, self.library)
             for d in self.decks:
                 d.content = content
-                for name in ("blocks", "definitions", "references", "connectivity", "sites"):
+                for name in ("blocks", "definitions", "references", "sites"):
                     d.__dict__.pop(name, None)
         else:
             content = old
@@ -77,35 +77,49 @@ class Workspace:
 
     # all decks at once ----------------------------------------------------------------------
 
-    def files(self) -> DataFrame:
-        """deck_id, file_idx, path, offsets of all decks."""
-        rows = [(k, i, n.path, n.offsets) for k, d in enumerate(self.decks) for i, n in enumerate(d.nodes)]
-        return self.spark.createDataFrame(rows, "deck_id int, file_idx int, path string, offsets struct<" + ",".join(f"{o}:bigint" for o in ops.OFFSETS) + ">")
-
-    def _joined(self, content: DataFrame) -> DataFrame:
-        own = content.withColumnRenamed("id", "phys_id").join(self.files(), "path")
-        shifted = F.transform("kinds", lambda k: F.struct(k.alias("kind"), ops.shifted(F.col("phys_id"), ops.offset_of(k, F.col("offsets"))).alias("id")))
-        return own.withColumn("candidates", shifted).drop("offsets")
-
-    def _flat(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("kind", F.col("candidates")[0]["kind"]).withColumn("id", F.col("candidates")[0]["id"]).drop("candidates")
-
-    def dangling(self, connectivity: bool = False) -> DataFrame:
-        """deck_id, path, keyword, field, kind, id, phys_id, line of references to one kind that their deck does not define."""
-        content = self.decks[0].content
-        refs = content.ids.where("role = 'ref'")
-        if connectivity:
-            refs = refs.unionByName(content.lines.where("role = 'conn'"))
-        defs = self._flat(self._joined(content.ids.where("role = 'def'"))).select("deck_id", "kind", "id")
-        return ops.dangling(self._flat(self._joined(refs.where(F.size("kinds") == 1))), defs, ["deck_id"])
+    def _instances(self) -> tuple[DataFrame, DataFrame]:
+        """Files at their offsets, each once (inst, path, offsets), and which decks have them (deck_id, inst)."""
+        number: dict[tuple, int] = {}
+        uses = {(k, number.setdefault((n.path, n.offsets), len(number))) for k, d in enumerate(self.decks) for n in d.nodes}
+        inst = self.spark.createDataFrame([(i, p, o) for (p, o), i in number.items()], "inst int, path string, offsets struct<" + ",".join(f"{o}:bigint" for o in ops.OFFSETS) + ">")
+        return inst, self.spark.createDataFrame(sorted(uses), "deck_id int, inst int")
+
+    def _placed(self, content: DataFrame, inst: DataFrame) -> DataFrame:
+        """Content of one kind at its offsets: kind, id, phys_id and the rest, by inst."""
+        kind = F.col("kinds")[0]
+        own = content.withColumnRenamed("id", "phys_id").join(inst, "path")
+        return own.withColumn("kind", kind).withColumn("id", ops.shifted(F.col("phys_id"), ops.offset_of(kind, F.col("offsets")))).drop("offsets", "kinds")
+
+    def dangling(self) -> DataFrame:
+        """deck_id, path, keyword, field, kind, id, phys_id, line of references to one kind that their deck does not define.
+
+        What a file defines itself is settled once, for all decks that have the file at these
+        offsets. Only ids that are left are taken to the decks, and only definitions of such ids,
+        so the work hardly grows with the number of decks.
+        """
+        content, (inst, uses) = self.decks[0].content.ids, self._instances()
+        defs = self._placed(content.where("role = 'def'"), inst).select("inst", "kind", "id")
+        refs = self._placed(content.where((F.col("role") == "ref") & (F.size("kinds") == 1)), inst)
+        left = refs.select("inst", "kind", "id").distinct().join(defs, ["inst", "kind", "id"], "left_anti")
+        wanted = left.select("kind", F.explode(F.array("id", F.abs("id"))).alias("id")).distinct()
+        known = defs.join(wanted, ["kind", "id"], "left_semi").distinct().join(uses, "inst")
+        tracked = defs.select("inst", "kind").distinct().join(uses, "inst").select("deck_id", "kind").distinct()
+        asked = left.join(uses, "inst").join(tracked, ["deck_id", "kind"], "left_semi")
+        # a row of a kind that only marks it as tracked lets the shared operator judge
+        marks = tracked.withColumn("id", F.lit(None).cast("long"))
+        bad = ops.dangling(asked, known.select("deck_id", "kind", "id").unionByName(marks), ["deck_id"])
+        return refs.join(bad.select("deck_id", "inst", "kind", "id"), ["inst", "kind", "id"]).drop("inst", "role", "per_line")
 
     def duplicates(self) -> DataFrame:
-        defs = self._flat(self._joined(self.decks[0].content.ids.where("role = 'def' and not per_line")))
-        return ops.duplicates(defs, ["deck_id"], ["path", "file_idx", "block_idx", "keyword"])
+        """deck_id, kind, id, path, block_idx, keyword, n of ids that several keywords of a deck define."""
+        inst, uses = self._instances()
+        defs = self._placed(self.decks[0].content.ids.where("role = 'def' and not per_line"), inst).join(uses, "inst")
+        return ops.duplicates(defs, ["deck_id"], ["path", "block_idx", "keyword"])
 
     def census(self) -> DataFrame:
         """deck_id, kind, n."""
-        return ops.census(self._flat(self._joined(self.decks[0].content.ids.where("role = 'def'"))), ["deck_id"])
+        inst, uses = self._instances()
+        return ops.census(self._placed(self.decks[0].content.ids.where("role = 'def'"), inst).select("inst", "kind", "id").join(uses, "inst"), ["deck_id"])
 
     def validate_decks(self, of: Sequence[rules.Rule]) -> DataFrame:
         """deck_id and the findings of every deck: what validating each alone gives."""
