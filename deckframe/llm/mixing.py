@@ -5,7 +5,8 @@
 2. A record's permutation key is a hash of its id and text; a *block* is one of ``BLOCKS`` equal
    ranges of the key, so blocks in key order are a random permutation of the source. A source is
    taken in whole passes, then up to a threshold key found by a three-level histogram (a radix
-   select): no source is ever sorted or gathered as a whole.
+   select): no source is ever sorted or gathered as a whole. One record whose size is nearest to
+   what is then missing (or too much) is taken besides (or left out).
 3. The blocks that each source gives are exact quotas. A binary tree over the output shards splits
    the vector of quotas at each node by a multivariate-hypergeometric draw, so all shards get the
    same number of blocks (to one) in random proportions, and blocks of different shards are disjoint.
@@ -110,6 +111,23 @@ def _thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
     )
 
 
+def _corrections(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """source, fix_key: the record that brings the partial pass nearest to its rest, where one brings it nearer.
+
+    ``per``: source, rest, last_key. An aggregation with partial results; each task keeps one row a source.
+    """
+    side = per.select(F.col("source").alias("_s"), "rest", "last_key")
+    own = rows.join(side, same(F.col("source"), F.col("_s"))).drop("_s")
+    taken = own.groupBy("source").agg(F.sum(F.when(F.col("key") <= F.col("last_key"), F.col("size")).otherwise(0)).alias("got"))
+    gap = per.join(taken.withColumnRenamed("source", "_s"), same(F.col("source"), F.col("_s"))).select(F.col("source").alias("_s"), "last_key", (F.col("rest") - F.col("got")).alias("gap"))
+    gap = cut(gap, "mix-gap")
+    fits = rows.where("size > 0").join(gap, same(F.col("source"), F.col("_s")))
+    fits = fits.where((F.col("gap") > 0) & (F.col("key") > F.col("last_key")) | (F.col("gap") < 0) & (F.col("key") <= F.col("last_key")))
+    off = F.abs(F.col("size") - F.abs("gap"))
+    best = fits.where(off < F.abs("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "key")).alias("k"))
+    return best.select("source", F.col("k.key").alias("fix_key"))
+
+
 def _hypergeometric(quota: Column, share: Column, node: Column, seed: int) -> Column:
     """array<long>: what the left child gets of the quotas, ``share`` blocks in all.
 
@@ -181,8 +199,10 @@ def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), ratio: float = 1
     per = cut(per, "mix-targets")
     ends = cut(_thresholds(rows, per.where("rest > 0")), "mix-thresholds")
     per = per.join(ends.withColumnRenamed("source", "_s"), same(F.col("source"), F.col("_s")), "left").drop("_s")
-    per = per.withColumn("last_key", F.coalesce("last_key", F.lit(-1).cast("long")))
-    extra = F.when(F.col("last_key") >= 0, F.shiftrightunsigned(F.col("last_key"), 63 - _BLOCK_BITS) + 1).otherwise(0)
+    per = cut(per.withColumn("last_key", F.coalesce("last_key", F.lit(-1).cast("long"))), "mix-passes")
+    fix = _corrections(rows, per.where("rest > 0"))
+    per = per.join(fix.withColumnRenamed("source", "_s"), same(F.col("source"), F.col("_s")), "left").drop("_s")
+    extra = F.when(F.col("last_key") >= 0, F.shiftrightunsigned(F.col("last_key"), 63 - _BLOCK_BITS) + 1).when(F.col("fix_key").isNotNull(), 1).otherwise(0)
     per = cut(per.withColumn("blocks", (F.col("full") * BLOCKS + extra).cast("long")), "mix-blocks")
     tree = split_tree(per.select("rank", "blocks"), shards, seed)
     return Mix(cut(per.join(tree, "rank"), "mix-sources"), rows, shards, seed)
@@ -197,7 +217,8 @@ def _takes(rows: DataFrame, mix: Mix, key: str) -> DataFrame:
     turn = F.pmod(block * 167 + F.pmod(F.col("_mix_rank") * 61, F.lit(BLOCKS)), F.lit(BLOCKS))
     indexes = F.concat(
         F.transform(F.slice(F.sequence(F.lit(0).cast("long"), F.col("_mix_full")), F.lit(1), F.col("_mix_full").cast("int")), lambda c: c * BLOCKS + turn),
-        F.when(k <= F.col("_mix_last_key"), F.array(F.col("_mix_full") * BLOCKS + block)).otherwise(F.array().cast("array<bigint>")),
+        # a record taken as a correction counts to the source's last block
+        F.when((k <= F.col("_mix_last_key")) != same(k, F.col("_mix_fix_key")), F.array(F.least(F.col("_mix_full") * BLOCKS + block, F.col("_mix_blocks") - 1))).otherwise(F.array().cast("array<bigint>")),
     )
     shard_of = F.transform(indexes, lambda i: F.size(F.filter("_mix_ends", lambda e: e <= i)))
     return rows.join(src, same(F.col("source"), F.col("_mix_source"))).withColumn("_mix_shards", shard_of)
