@@ -57,7 +57,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.attack(_read(spark, sf_dir, "conversations"))
-    return chat.digests(rows, public_tokenizers.path("byte_bpe_50k.json"))
+    out = chat.digests(rows, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
