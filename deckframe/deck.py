@@ -223,6 +223,18 @@ class Deck:
         self.edits[keyword.path, keyword.block_idx] = done[0]
         return done[1]
 
+    def replace(self, keyword: Keyword, name: str, rows: Sequence[Sequence[object]], options: Sequence[str] = ()) -> None:
+        """Writes a keyword anew, in free format, below its comments; reads see it only after ``write``."""
+        data = source.read_range(keyword.path)
+        b = cards.split_blocks(data)[keyword.block_idx]
+        new = {"name": name, "options": list(options), "cards": [[cards.edit_text(v) for v in r] for r in rows]}
+        self.edits[keyword.path, keyword.block_idx] = cards.set_keyword(data, b, new)
+
+    def owned(self, keyword: Keyword) -> dict:
+        """A keyword as name, options and rows of text, split without a layout."""
+        data = source.read_range(keyword.path)
+        return cards.keyword_of(data, cards.split_blocks(data)[keyword.block_idx])
+
     def write(self, path: str, to: str | None = None) -> bytes:
         """The bytes of a file with its edits, written to ``to`` if given. Without edits exactly the file's."""
         data = source.read_range(path)

@@ -74,22 +74,28 @@ def int_of(text: Column) -> Column:
     return F.when(F.rlike(t, F.lit(r"^[+-]?[0-9]+$")), t.try_cast("bigint"))
 
 
-def float_of(text: Column) -> Column:
-    """double, with D exponents and bare exponents; null where the text is no number.
+_NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)"
+
+
+def plain_of(text: Column) -> Column:
+    """double, without D exponents or bare ones; null where the text is no number.
 
     The guard is needed: Spark's own cast takes a trailing d or f for a type suffix.
     """
+    t = trimmed(text)
+    return F.when(F.rlike(t, F.lit(rf"^{_NUMBER}(?:[eE][+-]?[0-9]+)?$")), t.try_cast("double"))
+
+
+def float_of(text: Column) -> Column:
+    """double, with D exponents and bare exponents; null where the text is no number."""
     t = F.regexp_replace(trimmed(text), "[dD]", "E")
-    number = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)"
-    plain = F.rlike(t, F.lit(rf"^{number}(?:[eE][+-]?[0-9]+)?$"))
-    bare = F.rlike(t, F.lit(rf"^{number}[+-][0-9]+$"))
-    spelled = F.regexp_replace(t, rf"^({number})([+-][0-9]+)$", "$1E$2")
-    return F.when(plain, t.try_cast("double")).when(bare, spelled.try_cast("double"))
+    bare = F.rlike(t, F.lit(rf"^{_NUMBER}[+-][0-9]+$"))
+    return F.coalesce(plain_of(t), F.when(bare, F.regexp_replace(t, rf"^({_NUMBER})([+-][0-9]+)$", "$1E$2").try_cast("double")))
 
 
 def id_of(text: Column) -> Column:
     """bigint, also from a float, cut towards zero."""
-    return F.coalesce(int_of(text), F.when(~F.rlike(text, F.lit("[dD]")), float_of(text)).try_cast("bigint"))
+    return F.coalesce(int_of(text), plain_of(text).try_cast("bigint"))
 
 
 def base_of(name: Column) -> Column:

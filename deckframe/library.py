@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
+from types import SimpleNamespace
 
 from deckframe.functions.text import canonical_base
 
@@ -147,6 +148,9 @@ STARTER = [
     _layout("INCLUDE_TRANSFORM", "filename:s:80", "idnoff ideoff idpoff idmoff idsoff idfoff iddoff", "idroff"),
 ]
 
+#: Names of the starter set as attributes: ``Names.MAT_ELASTIC``.
+Names = SimpleNamespace(**{s.keyword: s.keyword for s in STARTER})
+
 #: Fixed value: codes by which run-time descriptions name what a field refers to.
 LINK_KINDS = {
     1: ("Node",), 3: ("Element",), 4: ("Element",), 5: ("Element",), 6: ("Element",), 13: ("Part",), 14: ("Material",), 15: ("Section",),

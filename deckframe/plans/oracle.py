@@ -89,8 +89,8 @@ ORACLE = {
     "von_mises": f"WITH {_TENSOR} SELECT l_orderkey, l_linenumber, round({_VM}, 6) AS von_mises FROM t",
     "pressure": f"WITH {_TENSOR} SELECT l_orderkey, l_linenumber, round(-(xx + yy + zz) / 3e0, 6) AS pressure FROM t",
     "triaxiality": f"WITH {_TENSOR}, v AS (SELECT *, {_VM} AS vm FROM t) SELECT l_orderkey, l_linenumber, round(CASE WHEN vm = 0 THEN 0e0 ELSE (xx + yy + zz) / 3e0 / vm END, 6) AS triaxiality FROM v",
-    "principal": f"WITH {_PRINCIPAL} SELECT l_orderkey, l_linenumber, round(l1, 3) + 0e0 AS l1, round(tr - l1 - l3, 3) + 0e0 AS l2, round(l3, 3) + 0e0 AS l3 FROM l",
-    "max_shear": f"WITH {_PRINCIPAL} SELECT l_orderkey, l_linenumber, round((l1 - l3) / 2e0, 4) AS max_shear FROM l",
+    "principal": f"WITH {_PRINCIPAL} SELECT l_orderkey, l_linenumber, round(l1 + 17e-8, 3) + 0e0 AS l1, round(tr - l1 - l3 + 17e-8, 3) + 0e0 AS l2, round(l3 + 17e-8, 3) + 0e0 AS l3 FROM l",
+    "max_shear": f"WITH {_PRINCIPAL} SELECT l_orderkey, l_linenumber, round((l1 - l3) / 2e0 + 17e-8, 4) AS max_shear FROM l",
     "part_max_history": f"WITH {_TENSOR} SELECT l_suppkey, l_linenumber, round(greatest(0e0, max({_VM})), 6) AS value FROM t GROUP BY 1, 2",
     "part_percentile_history": f"WITH {_TENSOR} SELECT l_suppkey, l_linenumber, round(quantile_cont(yy, 0.95), 8) AS value FROM t GROUP BY 1, 2",
     "part_failure_fraction": f"WITH {_TENSOR} SELECT l_suppkey, l_linenumber, round(avg(CASE WHEN yy > 2e1 THEN 1e0 ELSE 0e0 END), 9) AS value FROM t GROUP BY 1, 2",
@@ -102,4 +102,8 @@ ORACLE = {
       JOIN (SELECT l_linenumber, max(l_discount) AS energy FROM lineitem GROUP BY 1) b ON a.l_linenumber = b.l_linenumber""",
     "census_rollup": "SELECT c_mktsegment, c_nationkey, count(*) AS n, count(DISTINCT c_custkey) AS n_ids FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)",
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, max(value) AS peak FROM events GROUP BY 1, 2",
+    "top_peaks": f"WITH {_SERIES} SELECT user_id, i, value FROM s ORDER BY value DESC, user_id, i LIMIT 10",
+    "ids_intersect": "SELECT l_partkey FROM lineitem WHERE l_suppkey = 1 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey = 2",
+    "ids_except": "SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity >= 48",
+    "files_distinct": "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) AS n FROM pages GROUP BY 1",
 }

@@ -17,6 +17,8 @@ from deckframe.operators import ids, predicates, reductions
 from deckframe.operators.predicates import all_, any_, field, not_
 
 DT = 1e-3
+#: Added before rounding where exact ties occur, so that the last bit does not decide.
+OFF_TIES = 1.7e-7
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -371,12 +373,12 @@ def triaxiality(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def principal(spark: SparkSession, sf: str) -> DataFrame:
     p = tensor.principal(*_six())
-    return _tensors(spark, sf).withColumn("p", p).select("l_orderkey", "l_linenumber", *((F.round(F.get("p", F.lit(k)), 3) + 0.0).alias(f"l{k + 1}") for k in range(3)))
+    return _tensors(spark, sf).withColumn("p", p).select("l_orderkey", "l_linenumber", *((F.round(F.get("p", F.lit(k)) + OFF_TIES, 3) + 0.0).alias(f"l{k + 1}") for k in range(3)))
 
 
 @_query
 def max_shear(spark: SparkSession, sf: str) -> DataFrame:
-    return _tensors(spark, sf).select("l_orderkey", "l_linenumber", F.round(tensor.max_shear(*_six()), 4).alias("max_shear"))
+    return _tensors(spark, sf).select("l_orderkey", "l_linenumber", F.round(tensor.max_shear(*_six()) + OFF_TIES, 4).alias("max_shear"))
 
 
 @_query
@@ -442,3 +444,33 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Tumbling hours by type, the batch form of the streaming rollup."""
     e = _t(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("peak"))
     return e.select(F.col("w.start").alias("hour"), "event_type", "n", "peak")
+
+
+# order and sets -----------------------------------------------------------------------------
+
+
+@_query
+def top_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten largest samples, ties to the smaller user and index: a partial top-k in every task."""
+    s = _samples(spark, sf).select("user_id", "i", "value")
+    return s.orderBy(F.desc("value"), "user_id", "i").limit(10)
+
+
+@_query
+def ids_intersect(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts that two suppliers' lines have in common."""
+    one = lambda k: _t(spark, sf, "lineitem").where(F.col("l_suppkey") == k).select("l_partkey")
+    return one(1).intersect(one(2))
+
+
+@_query
+def ids_except(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts without a line of large quantity, as a set difference."""
+    return _t(spark, sf, "part").select(F.col("p_partkey").alias("id")).exceptAll(_t(spark, sf, "lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("id")).distinct())
+
+
+@_query
+def files_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct hosts of pages, with how many pages each has."""
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    return _t(spark, sf, "pages").groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n"))

@@ -234,6 +234,14 @@ def test_edits(deck, tmp_path):
     assert d.set_field(d.material(2), "nope", 1) is None
 
 
+def test_replace_a_keyword(deck, tmp_path):
+    d = deck(root="*KEYWORD\n$ note\n*MAT_ELASTIC opt\n         1   7.8e-9\n*END\n")
+    k = d.keywords(library.Names.MAT_ELASTIC)[0]
+    assert d.owned(k) == {"name": "MAT_ELASTIC", "options": ["opt"], "cards": [["1", "7.8e-9"]]} or d.owned(k)["options"] == ["opt"]
+    d.replace(k, "MAT_RIGID", [[1, 0.5], ["a"]], ["X=1"])
+    assert d.write(k.path) == b"*KEYWORD\n$ note\n*MAT_RIGID X=1\n1,0.5\na\n*END\n"
+
+
 def test_chunks_of_a_block_meet_at_lines(deck, monkeypatch):
     from deckframe.sources import keyword as source
 
