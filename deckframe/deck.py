@@ -107,16 +107,22 @@ class Deck:
 
     # ids ------------------------------------------------------------------------------------
 
-    def _logical(self, ids: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    def _logical(self, ids: DataFrame) -> DataFrame:
         """Joins content with the deck's files and shifts ids; candidates: one (kind, id) for each kind that the id may have."""
         own = ids.withColumnRenamed("id", "phys_id").join(self.files.select("path", "file_idx", "offsets"), "path")
         shifted = F.transform("kinds", lambda k: F.struct(k.alias("kind"), ops.shifted(F.col("phys_id"), ops.offset_of(k, F.col("offsets"))).alias("id")))
-        return own.withColumn("candidates", shifted).drop("offsets", *({"path"} - set(keep)))
+        return own.withColumn("candidates", shifted).drop("offsets", "path")
+
+    def _placed(self, ids: DataFrame) -> DataFrame:
+        """The same for ids of one kind: kind and id as plain columns, which stay in generated code."""
+        own = ids.withColumnRenamed("id", "phys_id").join(self.files.select("path", "file_idx", "offsets"), "path")
+        own = own.withColumn("kind", F.col("kinds")[0])
+        return own.withColumn("id", ops.shifted(F.col("phys_id"), ops.offset_of(F.col("kind"), F.col("offsets")))).drop("offsets")
 
     @functools.cached_property
     def definitions(self) -> DataFrame:
         """kind, id (logical), phys_id, file_idx, block_idx, row, line, keyword, per_line."""
-        return self._logical(self.content.ids.where("role = 'def'")).select(F.col("candidates")[0]["kind"].alias("kind"), F.col("candidates")[0]["id"].alias("id"), "phys_id", "file_idx", "block_idx", "row", "line", "keyword", "per_line")
+        return self._placed(self.content.ids.where("role = 'def'")).select("kind", "id", "phys_id", "file_idx", "block_idx", "row", "line", "keyword", "per_line")
 
     @functools.cached_property
     def references(self) -> DataFrame:
@@ -130,10 +136,10 @@ class Deck:
         read in place only for blocks that hold an id that failed.
         """
         defs = self.definitions.select("kind", "id")
-        asked = self._logical(self.content.distinct, keep=("path",)).select("file_idx", "path", "block_idx", F.explode("candidates").alias("c"))
-        failed = ops.dangling(asked.select("file_idx", "path", "block_idx", "c.kind", "c.id"), defs).persist()  # few; read twice
+        asked = self._placed(self.content.distinct).select("file_idx", "path", "block_idx", "kind", "id")
+        failed = ops.dangling(asked, defs).persist()  # few; read twice
         places = failed.select("path", "block_idx").distinct()
-        lines = self._logical(self.content.lines(places)).withColumn("c", F.explode("candidates")).select("*", "c.kind", "c.id")
+        lines = self._placed(self.content.lines(places))
         return lines.join(failed.select("file_idx", "block_idx", "kind", "id"), ["file_idx", "block_idx", "kind", "id"], "left_semi")
 
     @functools.cached_property
@@ -149,11 +155,10 @@ class Deck:
 
         References to one kind are an anti-join of ids; the few that may be of several kinds are folded.
         """
-        refs = self.references
         names = ["kinds", "phys_id", "file_idx", "block_idx", "row", "line", "keyword", "field"]
         defs = self.definitions.select("kind", "id")
-        one = refs.where(F.size("kinds") == 1).select(*names, F.col("candidates")[0]["kind"].alias("kind"), F.col("candidates")[0]["id"].alias("id"))
-        many = refs.where(F.size("kinds") > 1)
+        one = self._placed(self.content.ids.where((F.col("role") == "ref") & (F.size("kinds") == 1))).select(*names, "kind", "id")
+        many = self.references.where(F.size("kinds") > 1)
         key = ["file_idx", "block_idx", "row", "field", "phys_id"]
         found = ops.dangling(one, defs).select(*names).unionByName(ops.dangling_any(many, defs, key).select(*names))
         return found.unionByName(self.dangling_connectivity().select(*names)) if connectivity else found
