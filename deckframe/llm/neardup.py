@@ -58,7 +58,7 @@ SIGN = 256
 BROADCAST_ROWS = 500_000
 #: Hubs of an unsettled bucket grow by this factor from round to round.
 FACTOR = 16
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

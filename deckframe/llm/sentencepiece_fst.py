@@ -38,7 +38,7 @@ UNIGRAM, BPE = 1, 2
 #: A unigram character that no piece covers costs this more than the worst piece.
 UNKNOWN_COST = 10.0
 #: Segments whose pieces are kept, in each of two generations.
-KEPT = 500_000
+KEPT = 200_000
 #: Bytes of text in one batch of results.
 BATCH = 4 << 20
 
@@ -225,6 +225,7 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text: st
                 if size >= BATCH or at == len(batch) - 1:
                     yield _batch(m, names.slice(begin, at + 1 - begin), parts, ids)
                     ids, parts, begin, size = [], [], at + 1, 0
+        m.older = {}  # a resting process keeps one generation
 
     return rows.mapInArrow(run, f"{id_column} {kind.simpleString()}, n_pieces bigint, pieces array<int>, round_trip boolean")
 

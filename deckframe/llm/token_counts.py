@@ -27,7 +27,7 @@ from deckframe.llm.bpe import Lattice
 #: Fixed value: the pre-token pattern of byte-level BPE files with ``use_regex``.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pre-tokens whose counts are kept, in each of two generations.
-KEPT = 500_000
+KEPT = 200_000
 ROWS = 2_000
 
 
@@ -201,5 +201,6 @@ def count(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_column: str
                     [part.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array(over, pa.bool_()), pa.array(fits, pa.int64())],
                     names=["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
                 )
+        c.older = {}  # a resting process keeps one generation
 
     return rows.mapInArrow(run, f"{id_column} {docs.schema[id_column].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint")
