@@ -26,6 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that this process has written to the shared folder.
+_written: list[str] = []
+
+
+def written() -> int:
+    """A mark for ``sweep``."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Deletes the tables written after the mark, except those that ``keep`` reads.
+
+    Call it when nothing but ``keep`` will be read again.
+    """
+    needed = keep.inputFiles()
+    if not needed:
+        return
+    conf, paths = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in _written[since:]:
+        name = path.rsplit("/", 1)[1]
+        if not any(f"/{name}/" in f for f in needed):
+            paths(path).getFileSystem(conf).delete(paths(path), True)
+            _written.remove(path)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -33,6 +58,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     which the optimiser decides whether a side is small enough to broadcast.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from deckframe.llm.common import cut, free_name, let, same, text_of, word_count
+from deckframe.llm.common import cut, let, same, text_of, word_count
 
 SEED = 7_919
 #: Blocks of a source, a power of two.
@@ -208,25 +208,24 @@ def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), ratio: float = 1
     return Mix(cut(per.join(tree, "rank"), "mix-sources"), rows, shards, seed)
 
 
-def _takes(rows: DataFrame, mix: Mix, key: str) -> DataFrame:
-    """Adds the source's columns and ``shards``: the shard of every take of the record."""
-    clash = {"source": "_mix_source"}
-    src = mix.sources.select(*(F.col(c).alias(clash.get(c, f"_mix_{c}")) for c in mix.sources.columns))
-    k = F.col(key)
+def _takes(rows: DataFrame, mix: Mix, key: str, pre: str) -> DataFrame:
+    """Adds the source's columns, named with the prefix ``pre``, and ``shards``: the shard of every take of the record."""
+    src = mix.sources.select(*(F.col(c).alias(f"{pre}{c}") for c in mix.sources.columns))
+    k, of = F.col(key), lambda c: F.col(f"{pre}{c}")
     block = F.shiftrightunsigned(k, 63 - _BLOCK_BITS)
-    turn = F.pmod(block * 167 + F.pmod(F.col("_mix_rank") * 61, F.lit(BLOCKS)), F.lit(BLOCKS))
+    turn = F.pmod(block * 167 + F.pmod(of("rank") * 61, F.lit(BLOCKS)), F.lit(BLOCKS))
     indexes = F.concat(
-        F.transform(F.slice(F.sequence(F.lit(0).cast("long"), F.col("_mix_full")), F.lit(1), F.col("_mix_full").cast("int")), lambda c: c * BLOCKS + turn),
+        F.transform(F.slice(F.sequence(F.lit(0).cast("long"), of("full")), F.lit(1), of("full").cast("int")), lambda c: c * BLOCKS + turn),
         # a record taken as a correction counts to the source's last block
-        F.when((k <= F.col("_mix_last_key")) != same(k, F.col("_mix_fix_key")), F.array(F.least(F.col("_mix_full") * BLOCKS + block, F.col("_mix_blocks") - 1))).otherwise(F.array().cast("array<bigint>")),
+        F.when((k <= of("last_key")) != same(k, of("fix_key")), F.array(F.least(of("full") * BLOCKS + block, of("blocks") - 1))).otherwise(F.array().cast("array<bigint>")),
     )
-    shard_of = F.transform(indexes, lambda i: F.size(F.filter("_mix_ends", lambda e: e <= i)))
-    return rows.join(src, same(F.col("source"), F.col("_mix_source"))).withColumn("_mix_shards", shard_of)
+    shard_of = F.transform(indexes, lambda i: F.size(F.filter(of("ends"), lambda e: e <= i)))
+    return rows.join(src, same(F.col("source"), of("source"))).withColumn(f"{pre}shards", shard_of)
 
 
 def decisions(mix: Mix) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, shards for every record, taken or not."""
-    out = _takes(mix.rows, mix, "key")
+    out = _takes(mix.rows, mix, "key", "_mix_")
     return out.select(
         "doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"),
         (F.col("size") * F.size("_mix_shards")).alias("taken"), "source", F.col("_mix_shards").alias("shards"),
@@ -235,10 +234,13 @@ def decisions(mix: Mix) -> DataFrame:
 
 def draw(docs: DataFrame, mix: Mix, keep_shard: bool = False) -> DataFrame:
     """The mixed records themselves, a row for every take, dealt by shard and shuffled within it."""
-    key, shard, place = (free_name(docs, x) for x in ("_mix_k", "_mix_shard", "_mix_place"))
-    taken = _takes(docs.withColumn(key, _key(mix.seed)), mix, key)
-    taken = taken.select(*docs.columns, key, F.posexplode("_mix_shards").alias("_mix_take", shard))
-    taken = taken.withColumn(place, F.xxhash64(F.lit(mix.seed + 1), shard, key, "_mix_take"))
+    pre = "_mix_"
+    while any(c.lower().startswith(pre) for c in docs.columns):
+        pre = f"_{pre}"
+    key, shard, place, take = (f"{pre}{x}" for x in ("k", "shard", "place", "take"))
+    taken = _takes(docs.withColumn(key, _key(mix.seed)), mix, key, pre)
+    taken = taken.select(*docs.columns, key, F.posexplode(f"{pre}shards").alias(take, shard))
+    taken = taken.withColumn(place, F.xxhash64(F.lit(mix.seed + 1), shard, key, take))
     slice_ = F.shiftrightunsigned(F.col(place), 58)
     out = taken.repartition(shard, slice_).sortWithinPartitions(shard, slice_, place)
     return out.select(*docs.columns, *([F.col(shard).alias("shard")] if keep_shard else []))
