@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from deckframe.llm import mixing, neardup, quality, secrets, sentencepiece_fst
-from deckframe.llm.common import cut
+from deckframe.llm.common import cut, sweep, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. Each stage's tables in the shared folder go once its result is written."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        sweep(spark, mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
