@@ -19,7 +19,7 @@ from deckframe import includes
 from deckframe.functions.text import canonical_base, parse_id, parse_int, parse_plain
 from deckframe.library import Field, Library, Schema, definition_of
 from deckframe.operators import ids as ops
-from deckframe.sources import cards
+from deckframe.sources import cards, files
 from deckframe.sources import keyword as source
 
 _OFFSETS = "struct<" + ",".join(f"{o}:bigint" for o in ops.OFFSETS) + ">"
@@ -33,9 +33,9 @@ def parse_deck(spark: SparkSession, root: str, library: Library | None = None) -
 
 def parse_keyword_file(spark: SparkSession, path: str, library: Library | None = None) -> Deck:
     """One file alone, its includes listed but not visited."""
-    path = os.path.realpath(path, strict=True)
+    path = files.real(os.fspath(path))
     size, raw = includes.scan(path) or (0, [])
-    own = [includes.Directive(k, r, p := includes.resolve(r, os.path.dirname(path), ()), os.path.exists(p), o) for k, r, o in raw]
+    own = [includes.Directive(k, r, p := includes.resolve(r, os.path.dirname(path), ()), files.exists(p), o) for k, r, o in raw]
     return Deck(spark, [includes.FileNode(path, byte_count=size, includes=own)], library or Library())
 
 

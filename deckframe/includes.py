@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 
 from deckframe.functions.text import parse_id
 from deckframe.operators.ids import OFFSETS
-from deckframe.sources import cards
+from deckframe.sources import cards, files
 
 #: Bytes of a generation from which Spark scans it instead of threads on the driver.
 DISTRIBUTED_BYTES = 256 << 20
@@ -84,6 +84,10 @@ def directives(data: bytes | mmap.mmap, strict: bool = False) -> list[Raw]:
 def scan(path: str) -> tuple[int, list[Raw]] | None:
     """(bytes, directives) of a file, None if it cannot be read."""
     try:
+        if files.is_uri(path):
+            with files.open_file(path) as f:
+                data = f.read()
+            return len(data), directives(data)
         with open(path, "rb") as f:
             size = os.fstat(f.fileno()).st_size
             if not size:
@@ -95,7 +99,7 @@ def scan(path: str) -> tuple[int, list[Raw]] | None:
 
 
 def scan_all(paths: Sequence[str], spark: SparkSession | None = None) -> list[tuple[int, list[Raw]] | None]:
-    total = sum(os.path.getsize(p) for p in paths if os.path.isfile(p))
+    total = sum(files.size(p) for p in paths if files.exists(p))
     if spark is None or total < DISTRIBUTED_BYTES:
         with ThreadPoolExecutor(16) as pool:
             return list(pool.map(scan, paths))
@@ -117,14 +121,14 @@ def _search_dir(kind: str, raw: str, parent: str) -> str | None:
 def resolve(raw: str, parent: str, search: Sequence[str]) -> str:
     """Absolute; else beside the including file; else in the first search directory that has it; else beside it, missing."""
     beside = os.path.join(parent, raw)
-    if os.path.isabs(raw) or os.path.exists(beside):
-        return raw if os.path.isabs(raw) else beside
-    return next((p for d in search if os.path.exists(p := os.path.join(d, raw))), beside)
+    if files.absolute(raw) or files.exists(beside):
+        return raw if files.absolute(raw) else beside
+    return next((p for d in search if files.exists(p := os.path.join(d, raw))), beside)
 
 
 def walk(root: str, scan_files: Callable[[Sequence[str]], list] = scan_all) -> list[FileNode]:
     """The files of a deck in breadth-first order. A file is visited once for each set of offsets it is included with, and never below itself."""
-    nodes = [FileNode(os.path.realpath(root, strict=True))]
+    nodes = [FileNode(files.real(root))]
     seen = {(nodes[0].path, NONE)}
     front = 0
     while front < len(nodes):
@@ -140,11 +144,11 @@ def walk(root: str, scan_files: Callable[[Sequence[str]], list] = scan_all) -> l
             search = (*node.search, *own)
             for kind, name, offsets in raw:
                 path = resolve(name, parent, search)
-                node.includes.append(Directive(kind, name, path, os.path.exists(path), offsets))
+                node.includes.append(Directive(kind, name, path, files.exists(path), offsets))
             for inc in node.includes:
                 if not inc.exists or inc.kind in ("include_path", "include_path_relative"):
                     continue
-                path, up = os.path.realpath(inc.resolved_path), idx
+                path, up = files.real(inc.resolved_path), idx
                 while up is not None and nodes[up].path != path:
                     up = nodes[up].parent
                 total = tuple(a + b for a, b in zip(node.offsets, inc.offsets, strict=True))

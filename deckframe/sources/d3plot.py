@@ -8,7 +8,6 @@ The driver reads the control block, walks the geometry and indexes states; every
 from __future__ import annotations
 
 import functools
-import mmap
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from deckframe.functions.shell import ShellLayout
 from deckframe.operators import reductions
+from deckframe.sources import files
 
 #: The places of words in the control block.
 WORDS = {
@@ -119,7 +119,7 @@ class Control:
         return self.layout["end"][0] * self.word
 
 
-def read_control(data: bytes | mmap.mmap) -> Control:
+def read_control(data: bytes | files.Ranged) -> Control:
     """The control block, with the geometry walked."""
     def ints(word: int, size: int, n: int = 1) -> np.ndarray:
         raw = data[word * size : (word + n) * size]
@@ -167,16 +167,15 @@ def read_control(data: bytes | mmap.mmap) -> Control:
 
 def family(base: str) -> list[str]:
     """The base file and its numbered siblings, by number."""
-    base = os.path.abspath(base)
-    if not os.path.isfile(base):
-        raise FileNotFoundError(base)
+    base = base if files.is_uri(base) else os.path.abspath(base)
+    files.size(base)
     pattern = re.compile(re.escape(os.path.basename(base)) + r"(\d+)\Z")
-    numbered = [(int(m[1]), n) for n in os.listdir(os.path.dirname(base)) if (m := pattern.match(n))]
+    numbered = [(int(m[1]), n) for n in files.names(os.path.dirname(base)) if (m := pattern.match(n))]
     return [base, *(os.path.join(os.path.dirname(base), n) for _, n in sorted(numbered))]
 
 
 def _words(path: str, word: int, at: int, n: int, kind: str = "f") -> np.ndarray:
-    with open(path, "rb") as f:
+    with files.open_file(path) as f:
         f.seek(at)
         return np.frombuffer(f.read(n * word), f"<{kind}{word}")
 
@@ -184,14 +183,14 @@ def _words(path: str, word: int, at: int, n: int, kind: str = "f") -> np.ndarray
 class D3plot:
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.files = spark, family(base)
-        with open(self.files[0], "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as m:
-            self.control = read_control(m)
+        with files.Ranged(self.files[0]) as data:
+            self.control = read_control(data)
         if not self.control.iu:
             raise Unsupported("no nodal displacement (IU is 0)")
         self.states: list[tuple[int, int, float]] = []  # file, byte offset, time
         size = self.control.state_bytes
         for k, path in enumerate(self.files):
-            at, total = (self.control.geometry * self.control.word if k == 0 else 0), os.path.getsize(path)
+            at, total = (self.control.geometry * self.control.word if k == 0 else 0), files.size(path)
             # an end marker ends this file only
             while size and at + size <= total and (t := float(_words(path, self.control.word, at, 1)[0])) != EOF:
                 self.states.append((k, at, t))
@@ -234,9 +233,8 @@ class D3plot:
     def part_titles(self) -> dict[int, str]:
         """User part ids to titles, from the section behind an end marker after the geometry."""
         word, titles = self.control.word, {}
-        with open(self.files[0], "rb") as f:
-            f.seek(self.control.geometry * word)
-            data = f.read()
+        with files.Ranged(self.files[0]) as f:
+            data = f[self.control.geometry * word :] if len(self.files) > 1 or not self.states else f[self.control.geometry * word : self.states[0][1]]
         value = lambda at: int.from_bytes(data[at : at + word], "little", signed=True)
         if len(data) < word or np.frombuffer(data[:word], f"<f{word}")[0] != EOF:
             return titles
@@ -495,7 +493,7 @@ class Editor:
         self.plot = plot
         self.data = {}
         for p in plot.files:
-            with open(p, "rb") as f:
+            with files.open_file(p) as f:
                 self.data[p] = bytearray(f.read())
 
     def set_block(self, name: str, state: int, values: np.ndarray) -> None:

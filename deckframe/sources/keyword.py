@@ -20,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from deckframe.functions.text import canonical_base, has_title, parse_float, parse_id, parse_int
 from deckframe.library import FLOAT, INT, STR, Field, Library, Schema, definition_of
-from deckframe.sources import cards
+from deckframe.sources import cards, files
 
 #: Bytes of a block that one task reads.
 CHUNK = 8 << 20
@@ -31,7 +31,7 @@ PACK = 1 << 16
 
 
 def read_range(path: str, start: int = 0, end: int | None = None) -> bytes:
-    with open(path, "rb") as f:
+    with files.open_file(path) as f:
         f.seek(start)
         return f.read() if end is None else f.read(end - start)
 
@@ -147,7 +147,7 @@ def _aligned(path: str, start: int, end: int, first: bool, last: bool) -> tuple[
             return end, b""
         start, data = start - 1 + cut, data[cut:]
     if not last and data and not data.endswith(b"\n"):
-        with open(path, "rb") as f:
+        with files.open_file(path) as f:
             f.seek(end)
             while (more := f.read(4096)) and (stop := more.find(b"\n")) < 0:
                 data += more
@@ -307,7 +307,10 @@ def unpacked(packed: DataFrame) -> DataFrame:
     return each.select("path", "block_idx", (F.col("row") + F.col("_k")).alias("row"), (F.col("line") + F.col("_k")).alias("line"), "keyword", "field", "role", "per_line", "kinds", "id")
 
 
-def _mapped(path: str) -> mmap.mmap | bytes:
+def _mapped(path: str) -> mmap.mmap | files.Ranged | bytes:
+    """A file's bytes to be sliced: mapped, or fetched by range."""
+    if files.is_uri(path):
+        return files.Ranged(path)
     with open(path, "rb") as f:
         return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.fstat(f.fileno()).st_size else b""
 

@@ -20,6 +20,7 @@ from deckframe import includes, rules
 from deckframe.deck import Content, Deck
 from deckframe.library import Library
 from deckframe.operators import ids as ops
+from deckframe.sources import files
 
 
 @dataclass(frozen=True)
@@ -40,10 +41,12 @@ class Workspace:
     def _scan(self, paths: Sequence[str]) -> list:
         """Directives by path, size and time of change, so an unchanged file is scanned once."""
         def key(p: str) -> tuple[str, int, int]:
+            if files.is_uri(p):
+                return p, files.size(p), 0
             s = os.stat(p)
             return p, s.st_size, s.st_mtime_ns
 
-        keys = [key(p) if os.path.isfile(p) else (p, -1, -1) for p in paths]
+        keys = [key(p) if files.exists(p) else (p, -1, -1) for p in paths]
         new = list(dict.fromkeys(k for k in keys if k not in self._scans))
         self._scans |= dict(zip(new, includes.scan_all([k[0] for k in new], self.spark), strict=True))
         self._uses += len(keys)
