@@ -100,7 +100,7 @@ ORACLE = {
     "state_matrix_pivot": f"WITH {_SERIES} SELECT i, " + ", ".join(f"round(coalesce(sum(value) FILTER (event_type = '{c}'), 0e0), 6) AS {c}" for c in ("click", "error", "purchase", "view")) + " FROM s WHERE i < 20 GROUP BY i",
     "binout_long_to_wide": """SELECT CAST(a.l_linenumber AS BIGINT) AS state, a.l_suppkey AS id, fx, fy, energy FROM (SELECT l_linenumber, l_suppkey, max(l_quantity) AS fx, max(l_tax) AS fy FROM lineitem WHERE l_suppkey <= 5 GROUP BY 1, 2) a
       JOIN (SELECT l_linenumber, max(l_discount) AS energy FROM lineitem GROUP BY 1) b ON a.l_linenumber = b.l_linenumber""",
-    "census_rollup": "SELECT c_mktsegment, c_nationkey, count(*) AS n, count(DISTINCT c_custkey) AS n_ids FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)",
+    "census_rollup": "SELECT coalesce(seg, 'all') AS c_mktsegment, coalesce(nat, -1) AS c_nationkey, n, n_ids FROM (SELECT c_mktsegment AS seg, c_nationkey AS nat, count(*) AS n, count(DISTINCT c_custkey) AS n_ids FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey))",
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, max(value) AS peak FROM events GROUP BY 1, 2",
     "top_peaks": f"WITH {_SERIES} SELECT user_id, i, value FROM s ORDER BY value DESC, user_id, i LIMIT 10",
     "ids_intersect": "SELECT l_partkey FROM lineitem WHERE l_suppkey = 1 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey = 2",

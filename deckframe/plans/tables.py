@@ -436,7 +436,8 @@ def binout_long_to_wide(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def census_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Grouping sets over (segment, nation), as a census of several decks at once would take."""
-    return _t(spark, sf, "customer").cube("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_custkey").alias("n_ids"))
+    cube = _t(spark, sf, "customer").cube("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_custkey").alias("n_ids"))
+    return cube.select(F.coalesce("c_mktsegment", F.lit("all")).alias("c_mktsegment"), F.coalesce("c_nationkey", F.lit(-1)).alias("c_nationkey"), "n", "n_ids")
 
 
 @_query
