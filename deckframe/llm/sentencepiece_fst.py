@@ -38,7 +38,7 @@ UNIGRAM, BPE = 1, 2
 #: A unigram character that no piece covers costs this more than the worst piece.
 UNKNOWN_COST = 10.0
 #: Segments whose pieces are kept, in each of two generations.
-KEPT = 200_000
+KEPT = 300_000
 #: Bytes of text in one batch of results.
 BATCH = 4 << 20
 

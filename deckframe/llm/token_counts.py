@@ -27,7 +27,7 @@ from deckframe.llm.bpe import Lattice
 #: Fixed value: the pre-token pattern of byte-level BPE files with ``use_regex``.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pre-tokens whose counts are kept, in each of two generations.
-KEPT = 200_000
+KEPT = 400_000
 ROWS = 2_000
 
 
