@@ -24,11 +24,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckframe.llm.common import WORD, cut, free_name, let, text_of, words_of
+from deckframe.llm.common import WORD, cut, free_name, let, words_of
 
 MIN_WORDS = 50
 ROUNDS = 25
-SYMBOLS = "#*$%&|<>"
 #: Added to every count of votes, so that no estimate is 0 or 1.
 SMOOTH = 0.5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_letters")
@@ -99,9 +98,6 @@ class Rule:
     bad: str
     good: str
 
-    def vote(self) -> Column:
-        return F.when(F.expr(self.bad), -1).when(F.expr(self.good), 1).otherwise(0).cast("int")
-
 
 #: Bounds lie far outside what ordinary prose of any length shows, so a bad vote means something.
 RULES = (
@@ -118,10 +114,8 @@ RULES = (
 def voted(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", measured: str = "_quality", votes: str = "_votes") -> DataFrame:
     """``docs`` with the struct of measures and the array of votes."""
     out = docs.withColumn(measured, measures(F.col(text)))
-    # the rules read plain names, so they see the measures alone
-    cells = out.select(*(F.col(c) for c in docs.columns), measured)
     vote = [F.expr(f"case when {_on(r.bad, measured)} then -1 when {_on(r.good, measured)} then 1 else 0 end").cast("int") for r in rules]
-    return cells.withColumn(votes, F.array(*vote))
+    return out.withColumn(votes, F.array(*vote))
 
 
 def _on(condition: str, measured: str) -> str:
