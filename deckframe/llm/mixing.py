@@ -241,6 +241,6 @@ def draw(docs: DataFrame, mix: Mix, keep_shard: bool = False) -> DataFrame:
     taken = _takes(docs.withColumn(key, _key(mix.seed)), mix, key, pre)
     taken = taken.select(*docs.columns, key, F.posexplode(f"{pre}shards").alias(take, shard))
     taken = taken.withColumn(place, F.xxhash64(F.lit(mix.seed + 1), shard, key, take))
-    slice_ = F.shiftrightunsigned(F.col(place), 58)
+    slice_ = F.shiftrightunsigned(F.col(place), 44)  # a shard is dealt in up to 2**20 parts
     out = taken.repartition(shard, slice_).sortWithinPartitions(shard, slice_, place)
     return out.select(*docs.columns, *([F.col(shard).alias("shard")] if keep_shard else []))
