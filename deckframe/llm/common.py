@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rest() -> None:
+    """Gives Arrow's unused memory back; called at a task's end, as the Python process waits for the next one."""
+    pa.default_memory_pool().release_unused()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` for ``body`` so that it is evaluated once for each row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

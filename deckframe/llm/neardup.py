@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckframe.llm.common import cut, free_name, same
+from deckframe.llm.common import cut, free_name, rest, same
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -155,6 +155,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 ends.append(ends[-1] + len(b))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), lists], names=["doc_id", "node", "n", "bands"])
+        rest()
 
     return rows.mapInArrow(run, f"doc_id {kind}, node binary, n int, bands array<bigint>")
 
@@ -172,8 +173,11 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            sets = [np.unique(shingles(x.as_py(), words)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingles(x.as_py(), words)).tobytes() for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+        rest()
 
     return rows.mapInArrow(run, "node binary, set binary")
 
@@ -197,6 +201,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             ])
             keep = pa.array(score >= threshold) if len(score) else pa.array([], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["a", "b", "similarity"]).filter(keep)
+        rest()
 
     return with_b.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary, similarity double")
 

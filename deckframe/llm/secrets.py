@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deckframe.llm.common import rest
+
 
 #: Kinds in the order by which spans with one start are sorted.
 KINDS = ("assign", "access", "hex", "novel")
@@ -173,6 +175,7 @@ def redacted(docs: DataFrame, identifiers: str = IDENTIFIERS, text: str = "text"
                     t = masked(t, spans) if spans else t
                 clean.append(t)
             yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
+        rest()
 
     out = docs.mapInArrow(run, docs.schema)
     if dict(docs.dtypes).get("n_chars") in ("bigint", "int"):

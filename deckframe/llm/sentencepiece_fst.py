@@ -31,6 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from deckframe.llm.bpe import LONE, Lattice
+from deckframe.llm.common import rest
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -38,7 +39,7 @@ UNIGRAM, BPE = 1, 2
 #: A unigram character that no piece covers costs this more than the worst piece.
 UNKNOWN_COST = 10.0
 #: Segments whose pieces are kept, in each of two generations.
-KEPT = 300_000
+KEPT = 200_000
 #: Bytes of text in one batch of results.
 BATCH = 4 << 20
 
@@ -226,6 +227,7 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text: st
                     yield _batch(m, names.slice(begin, at + 1 - begin), parts, ids)
                     ids, parts, begin, size = [], [], at + 1, 0
         m.older = {}  # a resting process keeps one generation
+        rest()
 
     return rows.mapInArrow(run, f"{id_column} {kind.simpleString()}, n_pieces bigint, pieces array<int>, round_trip boolean")
 

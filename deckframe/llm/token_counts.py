@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from deckframe.llm.bpe import Lattice
+from deckframe.llm.common import rest
 
 #: Fixed value: the pre-token pattern of byte-level BPE files with ``use_regex``.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -202,5 +203,6 @@ def count(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_column: str
                     names=["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
                 )
         c.older = {}  # a resting process keeps one generation
+        rest()
 
     return rows.mapInArrow(run, f"{id_column} {docs.schema[id_column].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint")
