@@ -5,7 +5,9 @@ characters that mixes classes and stands near a sensitive word. A zstandard comp
 with a dictionary of identifiers and code; the candidate's *marginal* size is what it adds to its
 surroundings when both are compressed together. Names, paths and words are in the dictionary or
 repeat what surrounds them and add little; a candidate that adds nearly its own length in bytes
-cannot be predicted, and is reported unless a base span covers it.
+cannot be predicted, and is reported unless a base span covers it. Surroundings are taken without
+what they share with the candidate in ``SHARED`` characters or more, so a secret that stands
+several times is measured at every place as if it stood there alone.
 
 Defined cases: a null text is empty and has no spans; repeated rows are all returned; an empty
 table gives an empty result; offsets count code points, ends are exclusive; other columns are
@@ -38,6 +40,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CONTEXT = re.compile(r"(?i:pass|pwd|secret|token|key|auth|bearer|credential|private|session|cookie|signature|aws|access)", re.A)
 NEAR = 80
 AROUND = 256
+#: Characters in a row from which surroundings hold a copy of the candidate: the least that a candidate has.
+SHARED = 20
 PIECE = 4096
 #: Marginal bytes over bytes from which a candidate counts as incompressible. Random base 64 needs 0.75, random hex 0.5.
 NOVEL = 0.62
@@ -78,6 +82,17 @@ class Novelty:
         return added / len(candidate.encode())
 
 
+def without(text: str, start: int, end: int, candidate: str) -> str:
+    """``text[start:end]`` without what it shares with the candidate, also where the range cuts a copy."""
+    lo, hi = max(0, start - SHARED + 1), min(len(text), end + SHARED - 1)
+    kept, at = [], start
+    for i in range(lo, hi - SHARED + 1):
+        if text[i : i + SHARED] in candidate:
+            kept.append(text[at : max(at, min(i, end))])
+            at = max(at, min(i + SHARED, end))
+    return "".join(kept) + text[at:end]
+
+
 def mixed(candidate: str) -> bool:
     """Digits with letters, or both cases within: what no plain word shows."""
     digit = any(c.isdigit() for c in candidate)
@@ -104,8 +119,10 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
             at += 1
         if any(b[0] < e and s < b[1] for b in base[at:] if b[0] < e) or not mixed(m.group()):
             continue
-        before, after = text[max(0, s - AROUND) : s], text[e : e + AROUND]
-        if CONTEXT.search(before[-NEAR:]) and novelty.marginal(before, m.group(), after) >= NOVEL:
+        if not CONTEXT.search(text[max(0, s - NEAR) : s]):
+            continue
+        before, after = without(text, max(0, s - AROUND), s, m.group()), without(text, e, min(len(text), e + AROUND), m.group())
+        if novelty.marginal(before, m.group(), after) >= NOVEL:
             out.append((s, e, "novel"))
     return out
 

@@ -166,6 +166,20 @@ def test_novel_strings():
     assert found(f"token = {key}") == []  # the base span covers it
 
 
+@pytest.mark.parametrize("gap", [3, 60, 150, 230, 300])
+def test_a_secret_that_stands_twice_is_found_at_both_places(gap):
+    n = secrets.Novelty()
+    key = "Zq8fLx2Vb7RtPw9KsM4Jd1HyUc6GnAe3QmTo5XiB"
+    prose = ("the quick brown fox jumps over the lazy dog and runs on " * 6)[:gap]
+    text = f"session cookie {key} {prose} private key {key} and the rest"
+    places = [m.start() for m in re.finditer(key, text)]
+    assert [s for s, _, k in secrets.find(text, n)[1] if k == "novel"] == places
+    text = f"Authorization Bearer {key} {prose} session private_key={key}"
+    assert sum(k == "novel" for _, _, k in secrets.find(text, n)[1]) == 2
+    text = f"token = {key} {prose} session cookie {key}"
+    assert [k for _, _, k in secrets.find(text, n)[1]] == ["assign", "novel"]
+
+
 def test_masks_and_frames(spark):
     rows = [(1, f"é token = {HEXES} and {AKIA}.", 7, "k"), (None, None, 3, None), (2, "", 0, "k"), (3, "plain", 9, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
