@@ -4,7 +4,8 @@ A vector is represented by its nearest pivots in order of distance. It is posted
 file of its first ``post`` pivots; a query opens the files of its first ``probe`` pivots, ranks
 what is posted there by the footrule distance between permutations (the sum over pivots of how far
 their places differ, a pivot beyond the prefix counting as last), and computes true distances for
-the best ``share`` of each file. The ten nearest of all files are the result.
+the best ``share`` of each file. The ten nearest of all files are the result. Shares and neighbours
+are counted in ids, and an id counts by its best row, so rows that share an id take one place.
 
 Pivots are a bounded sample: those distinct vectors whose hashes are smallest. Every vector is
 indexed. Files are salted into parts of about ``CELL`` vectors and queries into blocks of about
@@ -95,8 +96,8 @@ def _search(found: DataFrame, ask: DataFrame, n_pivots: int, prefix: int, probe:
     salts, blocks = _parts(sizes, CELL, n_pivots), _parts(loads, QUERIES, n_pivots)
     part = lambda a, hashed: F.pmod(F.xxhash64(hashed), F.get(a, F.col("pivot")))
     every = lambda a: F.explode(F.sequence(F.lit(0).cast("long"), F.get(a, F.col("pivot")).cast("long") - 1))
-    # salted by vector and id, so copies of one vector spread too
-    left = posted.withColumn("salt", part(salts, F.col("vec_id"))).withColumn("block", every(blocks))
+    # salted by vector and id, so copies of one vector and rows of one id spread too
+    left = posted.withColumn("salt", part(salts, F.xxhash64("vec_id", "v"))).withColumn("block", every(blocks))
     right = opened.withColumn("block", part(blocks, F.col("query_id"))).withColumn("salt", every(salts))
 
     def run(cell: pa.Table, queries: pa.Table) -> pa.Table:
@@ -109,18 +110,24 @@ def _search(found: DataFrame, ask: DataFrame, n_pivots: int, prefix: int, probe:
             np.put_along_axis(places, perm.astype(np.int64), np.arange(perm.shape[1], dtype=np.int16)[None, :].repeat(len(ids), 0), 1)
             places = np.ascontiguousarray(places.T)
             asked, own = _matrix(queries["x"]), _matrix(queries["order"]).astype(np.int64)
-            keep = max(LEAST, int(np.ceil(share * len(ids))))
+            # rows of one id stand together; ``start`` is where each id's begin
+            start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            owner = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(ids)]))
+            keep = max(LEAST, int(np.ceil(share * len(start))))
             at = np.arange(own.shape[1], dtype=np.int16)[:, None]
             for q, (name, x) in enumerate(zip(queries["query_id"].to_numpy(), asked, strict=True)):
                 near = np.arange(len(ids))
-                if keep < len(ids):
+                if keep < len(start):
                     got = places[own[q]]
                     # pivots in both prefixes count once; what is left of the sum is the same for all
                     footrule = np.abs(got - at).sum(0, dtype=np.int64) - (prefix - got).sum(0, dtype=np.int64)
-                    near = np.argpartition(footrule * len(ids) + near, keep - 1)[:keep]
+                    least = np.minimum.reduceat(footrule, start)
+                    chosen = np.zeros(len(start), bool)
+                    chosen[np.argpartition(least * len(start) + np.arange(len(start)), keep - 1)[:keep]] = True
+                    near = np.flatnonzero(chosen[owner])
                 near = near[ids[near] != name]
                 score = np.sqrt(((v[near] - x) ** 2).sum(1))
-                best = np.lexsort((ids[near], score))[: 4 * k]
+                best = np.lexsort((ids[near], score))
                 near, score = near[best], score[best]
                 _, first = np.unique(ids[near], return_index=True)
                 first = np.sort(first)[:k]
@@ -139,7 +146,7 @@ def nearest(table: DataFrame, queries: Column, k: int = 10, n_pivots: int = PIVO
     if not len(piv):
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     prefix = min(prefix, len(piv))
-    indexed = cut(permuted(rows, piv, prefix), "ann-index")
+    indexed = cut(permuted(rows.distinct(), piv, prefix), "ann-index")
     ask = indexed.where(queries)
     found = cut(_search(indexed, ask, len(piv), prefix, min(probe, prefix), min(post, prefix), share, k), "ann-found")
     have = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= k)

@@ -261,6 +261,18 @@ def test_neighbours(spark):
         assert near == sorted(near, key=lambda p: (p[1], p[0])) and all(s == pytest.approx(dict(search(rows, lambda i, q=q: i == q, 2000)[q])[i], abs=1e-12) for i, s in near[:2])
 
 
+@pytest.mark.parametrize("spread", [0.0, 1e-4])
+def test_rows_of_one_id_take_one_place(spark, spread):
+    rng = np.random.default_rng(6)
+    rows = [(int(i) + 1, [10.0, 0.0] + (0.1 * rng.normal(size=2)).tolist()) for i in range(300)]
+    rows += [(10_000 + int(i), [0.0, 10.0] + rng.normal(size=2).tolist()) for i in range(300)]
+    rows += [(999, [10.0, 0.0, spread * float(rng.normal()), 0.0]) for _ in range(400)] + [(5000, [10.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = search(rows, lambda i: i == 5000)[5000]
+    got = ann.nearest(df, F.col("vec_id") == 5000, n_pivots=2, prefix=2, probe=2, share=1.0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [i for i, _ in want]
+
+
 def test_few_vectors_are_all_found(spark):
     rows = [(100 * i, [float(i), 1.0]) for i in range(6)] + [(0, [9.0, 9.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
