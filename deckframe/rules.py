@@ -234,18 +234,22 @@ def unreferenced_entities(kinds: Sequence[str] = LIBRARY_KINDS) -> Rule:
     return Rule("unreferenced_entities", check)
 
 
+def _resolved(df: DataFrame, key: str, site: DataFrame) -> DataFrame:
+    """``df`` with the site of its ids; an id that has none falls back to the one without a sign, as in ``Deck.get``."""
+    known = site.select(F.col("id").alias("known"))
+    return df.join(known, df[key] == known["known"], "left").withColumn("id", F.coalesce("known", F.abs(key))).drop("known").join(site, "id").drop("id")
+
+
 def rigid_context() -> Rule:
     """Keywords for rigid bodies whose part resolves to a material that is not rigid: two hops over references and sites."""
     def check(deck: Deck) -> DataFrame:
         fields = functools.reduce(lambda a, b: a | b, ((F.col("keyword") == k) & F.upper("field").isin(list(f)) for k, f in RIGID_FIELDS.items()))
         asked = deck.references.where(fields & F.array_contains("kinds", "Part")).select("file_idx", "block_idx", "keyword", "field", F.col("candidates")[0]["id"].alias("pid"))
-        # an id with a sign falls back to the one without
         site = deck.sites.select("kind", "id", F.col("file_idx").alias("sf"), F.col("block_idx").alias("sb"), F.col("keyword").alias("sk"))
-        parts = site.where("kind = 'Part'").select(F.col("id").alias("pid"), "sf", "sb")
-        part = asked.join(parts, "pid")
+        part = _resolved(asked, "pid", site.where("kind = 'Part'").select("id", "sf", "sb"))
         mid = deck.references.where(F.array_contains("kinds", "Material") & (F.col("keyword") == "PART")).select(F.col("file_idx").alias("sf"), F.col("block_idx").alias("sb"), F.col("candidates")[0]["id"].alias("mid"))
-        mats = site.where("kind = 'Material'").select(F.col("id").alias("mid"), F.col("sk").alias("material"))
-        bad = part.join(mid, ["sf", "sb"]).join(mats, "mid").where(~F.col("material").isin(list(RIGID_MATERIALS)))
+        mats = site.where("kind = 'Material'").select("id", F.col("sk").alias("material"))
+        bad = _resolved(part.join(mid, ["sf", "sb"]), "mid", mats).where(~F.col("material").isin(list(RIGID_MATERIALS)))
         message = F.concat("keyword", F.lit("."), F.upper("field"), F.lit(" references part "), F.col("pid").cast("string"), F.lit(", whose material *"), "material", F.lit(" is not *MAT_RIGID"))
         return _findings(_at_keyword(bad.withColumn("line", F.lit(0)), deck), deck, "rigid_context", ERROR, message)
 

@@ -141,6 +141,14 @@ def test_rigid_context(deck):
     ]
 
 
+def test_rigid_context_falls_back_to_the_id_without_a_sign(deck):
+    signed = RIGID.replace("*LOAD_RIGID_BODY\n        20", "*LOAD_RIGID_BODY\n       -20").replace("        20         1         2\n", "        20         1        -2\n")
+    assert messages(deck(root=signed), rules.rigid_context()) == [
+        "CONSTRAINED_RIGID_BODIES.PIDC references part 20, whose material *MAT_ELASTIC is not *MAT_RIGID",
+        "LOAD_RIGID_BODY.PID references part -20, whose material *MAT_ELASTIC is not *MAT_RIGID",
+    ]
+
+
 def test_untracked_kinds_are_not_judged(deck):
     d = deck(root="*KEYWORD\n*PART\np\n         1         1        99\n*SECTION_SOLID\n         2\n*END\n")
     assert messages(d, rules.references_resolve()) == ["PART.SECID references Section 1 — not defined in the deck"]
