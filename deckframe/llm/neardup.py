@@ -58,6 +58,8 @@ SIGN = 256
 BROADCAST_ROWS = 500_000
 #: Hubs of an unsettled bucket grow by this factor from round to round.
 FACTOR = 16
+#: By how much the size bounds are loosened, so that rounding loses no pair at exactly the threshold.
+SLACK = 1e-6
 KEPT_WORDS = 200_000
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -243,7 +245,7 @@ def _met(left: DataFrame, right: DataFrame, columns: Sequence[str], threshold: f
     """Both sides by bucket, columns named _x and _y, and whether classes differ and sizes and shared shingles allow the threshold."""
     side = lambda df, k: df.select("band", *(F.col(c).alias(f"{c}_{k}") for c in columns))
     most = F.least("common_x", "common_y", "n_x", "n_y")
-    fits = (F.col("class_x") != F.col("class_y")) & ((1 + threshold) * most >= threshold * (F.col("n_x") + F.col("n_y")))
+    fits = (F.col("class_x") != F.col("class_y")) & ((1 + threshold) * most >= threshold * (F.col("n_x") + F.col("n_y")) - SLACK)
     return side(left, "x"), side(right, "y"), fits
 
 
@@ -310,10 +312,10 @@ def _common(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _linkable(open_: DataFrame, threshold: float) -> DataFrame:
     """Rows of buckets in which some pair of different classes may still meet the bound."""
-    alive = open_.where(F.col("common") >= threshold * F.col("n"))
+    alive = open_.where(F.col("common") >= threshold * F.col("n") - SLACK)
     least = alive.groupBy("band").agg(F.min("n").alias("least"), F.min(F.xxhash64("class")).alias("lo"), F.max(F.xxhash64("class")).alias("hi"))
     least = least.where("lo <> hi").select("band", "least")
-    return alive.join(least, "band").where((1 + threshold) * F.col("common") >= threshold * (F.col("n") + F.col("least"))).drop("least")
+    return alive.join(least, "band").where((1 + threshold) * F.col("common") >= threshold * (F.col("n") + F.col("least")) - SLACK).drop("least")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> Classes:

@@ -57,6 +57,14 @@ def test_classes_equal_brute_force(spark, seed, edits, pool):
     assert run(spark, texts)[1] == brute(texts)
 
 
+def test_a_text_and_its_extension_at_exactly_the_threshold(spark):
+    texts = {}
+    for g in (7, 14, 23, 28, 33):  # 4g and 5g shingles
+        w = words(random.Random(g), 5 * g + 4, 10**9)
+        texts |= {10 * g: " ".join(w[: 4 * g + 4]), 10 * g + 1: " ".join(w)}
+    assert run(spark, texts)[1] == brute(texts) == {i: i // 10 * 10 for i in texts}
+
+
 def test_edges(spark):
     texts = {5: None, 6: None, 7: "", 8: "", 9: "a b", 10: "a  b", 11: "a b c", 12: " \n", 13: "x " * 50_000, 14: "x " * 50_001}
     _, got = run(spark, texts)
