@@ -3,10 +3,10 @@
 Sketch. Every shingle (five words) of a document is the source of a Poisson process whose rate is
 the shingle's weight; each arrival falls into one of ``REGISTERS`` registers. A register keeps the
 shingle of its earliest arrival. Two documents agree in a register with just the probability
-Jaccard similarity of their weighted shingles. Arrivals are drawn in rounds, and a shingle is
+Jaccard similarity of their weighted shingles. Every shingle of the set weighs the same here, so that
+is the plain Jaccard similarity which verification computes, however often passages repeat. Arrivals are drawn in rounds, and a shingle is
 dropped once its next arrival is later than the latest register's, so a long document costs about
-one draw a shingle. Weights are 1 + log(count), so repeats count, but no repeated line drowns the
-rest.
+one draw a shingle.
 
 Bands. Registers are grouped into bands; documents that agree in a whole band are candidates. At
 similarity 0.8 the chance to share none of 24 bands of 4 is 3e-6.
@@ -126,10 +126,10 @@ def sketch(elements: np.ndarray, weights: np.ndarray, registers: int = REGISTERS
 
 def bands(text: str, words: Words, n_bands: int = BANDS, rows: int = ROWS) -> tuple[int, np.ndarray]:
     """(number of different shingles, a hash for every band)."""
-    found, count = np.unique(shingles(text, words), return_counts=True)
+    found = np.unique(shingles(text, words))
     if not len(found):
         return 0, np.empty(0, np.int64)
-    got = sketch(found, 1 + np.log(count), n_bands * rows).reshape(n_bands, rows)
+    got = sketch(found, np.ones(len(found)), n_bands * rows).reshape(n_bands, rows)
     out = _mix(np.arange(1, n_bands + 1, dtype=np.uint64) * _M2)
     for k in range(rows):
         out = _mix((out + _GOLD) ^ got[:, k])

@@ -65,6 +65,14 @@ def test_a_text_and_its_extension_at_exactly_the_threshold(spark):
     assert run(spark, texts)[1] == brute(texts) == {i: i // 10 * 10 for i in texts}
 
 
+def test_equal_sets_share_every_band_however_often_a_passage_repeats():
+    rng = random.Random(5)
+    passage, tail = words(rng, 50, 10**9), words(rng, 100, 10**9)
+    n, few = nd.bands(" ".join(passage * 2 + tail), nd.Words())
+    m, many = nd.bands(" ".join(passage * 1000 + tail), nd.Words())
+    assert n == m and (few == many).all()
+
+
 def test_edges(spark):
     texts = {5: None, 6: None, 7: "", 8: "", 9: "a b", 10: "a  b", 11: "a b c", 12: " \n", 13: "x " * 50_000, 14: "x " * 50_001}
     _, got = run(spark, texts)
