@@ -11,21 +11,32 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-#: Ids of single symbols that are no token lie above this.
-LONE = 1 << 24
-_SHIFT = 26
+from deckframe.llm.wfst import LONE, ONE, ZERO, Trie
 
 
-class Lattice:
-    """Finds the path. Texts are str or bytes; answers about neighbours are kept, up to ``most`` of them."""
+class _Row(dict):
+    """label -> weight after one token, filled as it is asked for."""
+
+    def __init__(self, owner: Neighbours, before: int) -> None:
+        self.owner, self.before = owner, before
+
+    def __missing__(self, label: int) -> float:
+        self[label] = found = self.owner.judge(self.before, label)
+        return found
+
+
+class Neighbours(dict):
+    """The acceptor of merges: the weight of token b after token a is ``ONE`` if merging leaves the pair alone, else ``ZERO``.
+
+    Texts are str or bytes; answers are kept, up to ``most`` of them.
+    """
 
     def __init__(self, tokens: Mapping, rank: Callable[[object], float | None], unit: Callable[[object], list], most: int = 500_000) -> None:
         """tokens: string -> id. rank: of a merged string, lower merges first, None if it is no token. unit: splits a string into the symbols that merging starts from."""
         self.rank, self.unit, self.most = rank, unit, most
         self.string = {i: s for s, i in tokens.items()}
-        #: every ending of a token -> its id if it is a token itself, else -1
-        self.endings = {s[k:]: -1 for s in tokens for k in range(len(s))} | dict(tokens)
-        self.known: dict[int, bool] = {}
+        self.bytes = isinstance(next(iter(tokens), ""), bytes)
+        self.answers = 0
 
     def merge(self, text: object) -> list:
         """The encoding of a short string, by merging the best neighbours first, leftmost on ties."""
@@ -41,66 +52,51 @@ class Lattice:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def name(self, token: int, like: object) -> object:
+    def name(self, token: int) -> object:
         """The string of a token, or of a lone symbol."""
         if token < LONE:
             return self.string[token]
-        return bytes([token - LONE]) if isinstance(like, bytes) else chr(token - LONE)
-
-    def ask(self, key: int, like: object) -> bool:
-        """The slow answer for the pair in ``key``, which is kept. A first part of 0 asks whether the second encodes to itself."""
-        if len(self.known) >= self.most:
-            self.known.clear()
-        a, b = key >> _SHIFT, self.name(key & ((1 << _SHIFT) - 1), like)
-        if a:
-            a = self.name(a - 1, like)
-            yes = self.merge(a + b) == [a, b]
-        else:
-            yes = self.merge(b) == [b]
-        self.known[key] = yes
-        return yes
-
-    def table(self, text: object) -> tuple[list[int], list[int]]:
-        """For every prefix length its last token + 1 and where that token starts; (0, 0) for the empty prefix, (-1, 0) where there is no encoding."""
-        endings, known, last, begin = self.endings, self.known, [0], [0]
-        for i in range(1, len(text) + 1):
-            j, found = i - 1, []
-            while j >= 0:
-                token = endings.get(text[j:i])
-                if token is None:
-                    break
-                if token >= 0:
-                    found.append((j, token))
-                j -= 1
-            if not found or found[0][0] != i - 1:
-                found.insert(0, (i - 1, LONE + (text[i - 1] if isinstance(text, bytes) else ord(text[i - 1]))))
-            for j, token in reversed(found):
-                before = last[j]
-                if before >= 0:
-                    ok = known.get(key := before << _SHIFT | token)
-                    if ok or ok is None and self.ask(key, text):
-                        last.append(token + 1)
-                        begin.append(j)
-                        break
-            else:
-                last.append(-1)
-                begin.append(0)
-        return last, begin
-
-    def path(self, text: object) -> list[int]:
-        """The tokens of the encoding, in order."""
-        last, begin = self.table(text)
-        out, i = [], len(text)
-        while i > 0:
-            out.append(last[i] - 1)
-            i = begin[i]
-        out.reverse()
-        return out
+        return bytes([token - LONE]) if self.bytes else chr(token - LONE)
 
-    def counts(self, text: object) -> list[int]:
-        """How many tokens each prefix has; -1 for one that has no encoding."""
-        last, begin = self.table(text)
-        out = [0]
-        for i in range(1, len(last)):
-            out.append(-1 if last[i] < 0 else out[begin[i]] + 1)
+    def __missing__(self, before: int) -> _Row:
+        self[before] = row = _Row(self, before)
+        return row
+
+    def judge(self, before: int, token: int) -> float:
+        """The weight itself, by merging."""
+        self.answers += 1
+        if self.answers > self.most:
+            self.clear()
+            self.answers = 1
+        b = self.name(token)
+        if before < 0:
+            return ONE if self.merge(b) == [b] else ZERO
+        a = self.name(before)
+        return ONE if self.merge(a + b) == [a, b] else ZERO
+
+
+class Prefixes:
+    """The table of counts at every prefix of a byte string, left to right."""
+
+    def __init__(self, tokens: Mapping[bytes, int], after: Neighbours) -> None:
+        self.after = after
+        self.start = Trie((s, i, ONE) for s, i in tokens.items()).start
+
+    def counts(self, text: bytes) -> list[int]:
+        """How many tokens each prefix has. Every prefix has one encoding, so its last token is enough to go on."""
+        n, start, after = len(text), self.start, self.after
+        last, out = [-1] * (n + 1), [-1] * (n + 1)
+        out[0] = 0
+        for at in range(n):
+            if out[at] < 0:
+                raise ValueError("a byte is no token")
+            weight, more, state = after[last[at]], out[at] + 1, start
+            for k in range(at, n):
+                state = state.get(text[k])
+                if state is None:
+                    break
+                if out[k + 1] < 0 and None in state:
+                    token = state[None][0]
+                    if weight[token] == ONE:
+                        last[k + 1], out[k + 1] = token, more
         return out

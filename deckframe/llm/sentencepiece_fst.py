@@ -1,9 +1,14 @@
 """SentencePiece encoding and decoding as a weighted transducer in the tropical semiring.
 
-``Machine`` compiles a model file into three transducers: the normaliser (white space becomes the
-mark U+2581, a mark is put in front), the pieces (a path for every piece, weight minus its score)
-and the byte fallback (a character that no piece covers becomes the pieces of its UTF-8 bytes).
-An input is composed with them, and the shortest path is the encoding.
+``Machine`` compiles a model file into transducers (see ``wfst``): the normaliser (the model's
+character map, longest entry first; white space becomes the mark U+2581, a mark is put in front),
+the pieces (a path for every piece, weight minus its score) and the byte fallback (a character that
+no piece covers becomes the pieces of its UTF-8 bytes). An input is composed with them, and the
+shortest path is the encoding.
+
+The normaliser is sequential: of what could be rewritten at a place the longest entry is, so one
+path is left when it is composed with a text, and that path's output is the next machine's input.
+The character map's own double array is the machine: its states are places in the array.
 
 A *unigram* model needs nothing else: states are positions. The pieces of a *BPE* model are not
 chosen by summed scores but by merging, so its transducer is also composed with an acceptor whose
@@ -12,11 +17,12 @@ would leave the pair alone, else the weight is the semiring's zero, infinity. Ju
 left, and it is the library's encoding (see ``bpe``).
 
 No piece spans two *segments* (the compiler proves that from the pieces before it relies on it), so
-shortest paths are taken segment by segment and kept in a bounded table.
+shortest paths are taken segment by segment and kept in a table of bounded size.
 
 Defined cases: a null text is encoded as an empty one, to no pieces; decoding replaces invalid
 UTF-8 from byte pieces by U+FFFD; repeated rows are all returned; an empty table gives an empty
-result; other columns are ignored by ``encode`` and carried by nothing.
+result; a text of any length is encoded whole, in time and memory that grow with its length; other
+columns are ignored by ``encode`` and carried by nothing.
 """
 
 from __future__ import annotations
@@ -30,16 +36,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from deckframe.llm.bpe import LONE, Lattice
+from deckframe.llm.bpe import Neighbours
 from deckframe.llm.common import rest
+from deckframe.llm.wfst import FREE, LONE, ONE, Fallback, Trie, compose, shortest
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: A unigram character that no piece covers costs this more than the worst piece.
 UNKNOWN_COST = 10.0
-#: Segments whose pieces are kept, in each of two generations.
-KEPT = 200_000
+#: Segments whose pieces are kept, in each of two generations, and the characters that such a segment has at most.
+KEPT, KEPT_CHARS = 200_000, 48
 #: Bytes of text in one batch of results.
 BATCH = 4 << 20
 
@@ -71,6 +78,71 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         i += n
 
 
+class CharMap:
+    """The first transducer: entries of characters, each with what it becomes.
+
+    The bytes are a double array over UTF-8 (32-bit units) and the outputs, each ended by a zero.
+    A state is the place from which its arcs are counted, and whether an entry ends there.
+    """
+
+    def __init__(self, blob: bytes) -> None:
+        (size,) = struct.unpack_from("<I", blob)
+        self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist()
+        self.outputs = blob[4 + size :]
+        self.start = self._base(self.units[0]) if self.units else 0
+        # characters that stay as they are whatever ASCII character comes next
+        plain = [c for c in map(chr, range(0x21, 0x7F)) if not self._extends(c)]
+        self.plain = re.compile(rf"[{re.escape(''.join(plain))}]+(?=[\x00-\x7f]|\Z)") if plain else None
+
+    @staticmethod
+    def _base(unit: int) -> int:
+        return unit >> 10 << ((unit & 0x200) >> 6)
+
+    def step(self, state: int, byte: int) -> tuple[int, bool] | None:
+        """(state, whether an entry ends) behind a byte."""
+        at = state ^ byte
+        if at >= len(self.units) or (unit := self.units[at]) & 0x800000FF != byte:
+            return None
+        return at ^ self._base(unit), bool(unit >> 8 & 1)
+
+    def _extends(self, c: str) -> bool:
+        """Whether an entry is this ASCII character, or begins with it and another."""
+        first = self.step(self.start, ord(c))
+        return first is not None and (first[1] or any(self.step(first[0], b) for b in range(1, 128)))
+
+    def longest(self, text: str, at: int) -> tuple[int, str] | None:
+        """(position behind, output) of the longest entry that begins at a position."""
+        state, found = self.start, None
+        for k in range(at, len(text)):
+            for byte in text[k].encode("utf-8", "surrogatepass"):
+                behind = self.step(state, byte)
+                if behind is None:
+                    state = None
+                    break
+                state, ends = behind
+            if state is None:
+                break
+            if ends:
+                found = k + 1, self.units[state] & 0x7FFFFFFF
+        if found is None:
+            return None
+        return found[0], self.outputs[found[1] : self.outputs.index(b"\0", found[1])].decode()
+
+    def chunks(self, text: str) -> Iterator[tuple[str, bool]]:
+        """(what comes out, whether it was rewritten) along the one path of a text."""
+        at = 0
+        while at < len(text):
+            if self.plain and (m := self.plain.match(text, at)):
+                yield m.group(), False
+                at = m.end()
+            elif (entry := self.longest(text, at)) is not None:
+                at, out = entry
+                yield out, True
+            else:
+                yield text[at], False
+                at += 1
+
+
 class Machine:
     """A compiled model. ``encode`` and ``decode`` of single texts; ``ids`` of a segment."""
 
@@ -90,16 +162,20 @@ class Machine:
         self.squeeze = bool(normaliser.get(4, 1))
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError(f"model type {self.kind} is neither unigram nor BPE")
-        if normaliser.get(2) or trainer.get(24) or not normaliser.get(5, 1) or any(t in (USER, UNUSED) for _, _, t in pieces):
-            raise ValueError("models with a character map, white space as suffix, or user-defined or unused pieces are not supported")
+        if trainer.get(24) or not normaliser.get(5, 1) or any(t in (USER, UNUSED) for _, _, t in pieces):
+            raise ValueError("models with white space as suffix or unescaped, or with user-defined or unused pieces are not supported")
+        self.map = CharMap(normaliser[2]) if normaliser.get(2) else None
         self.pieces = [p for p, _, _ in pieces]
         self.id = {p: i for i, (p, _, t) in enumerate(pieces) if t == NORMAL}
         self.score = {p: s for p, s, t in pieces if t == NORMAL}
         self.unknown = next((i for i, (_, _, t) in enumerate(pieces) if t == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
-        self.worst = min(self.score.values(), default=0.0) - UNKNOWN_COST
-        self.longest = max(map(len, self.id), default=1)
-        self.lattice = Lattice(self.id, lambda s: None if (x := self.score.get(s)) is None else -x, list)
+        if self.kind == BPE:
+            self.entries, self.lone = Trie((p, i, ONE) for p, i in self.id.items()), Fallback(ONE)
+            self.after = Neighbours(self.id, lambda s: None if (x := self.score.get(s)) is None else -x, list)
+        else:
+            worst = min(self.score.values(), default=0.0) - UNKNOWN_COST
+            self.entries, self.lone, self.after = Trie((p, i, -self.score[p]) for p, i in self.id.items()), Fallback(-worst), FREE
         self.segments = regex.compile(self._segments(), regex.S)
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -128,33 +204,33 @@ class Machine:
         self.flat = np.frombuffer(b"".join(out), np.uint8)
 
     def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
+        if self.map is None:
+            if self.squeeze:
+                text = re.sub(" +", " ", text.strip(" "))
+        else:
+            text = self._mapped(text)
+            if text is None:
+                return ""
+        out = (MARK if self.prefix and (text or self.map) else "") + text.replace(" ", MARK)
+        return out.rstrip(MARK) if self.squeeze else out
+
+    def _mapped(self, text: str) -> str | None:
+        """The text rewritten by the map, runs of blanks made one; None if nothing but leading blanks comes out."""
+        out, blank, begun = [], self.squeeze, False
+        for x, rewritten in self.map.chunks(text):
+            if not begun and self.squeeze and x == " ":
+                continue
+            begun = True
+            if blank:
+                x = x.lstrip(" ")
+            if x:
+                out.append(x)
+                blank = self.squeeze and x[-1] == " "
+        return "".join(out) if begun else None
 
     def shortest(self, segment: str) -> list[int]:
-        """The ids on the shortest path; LONE + code point for a character that is no piece."""
-        if self.kind == BPE:
-            return self.lattice.path(segment)
-        cost, back = [0.0], [0]
-        score, longest, worst = self.score, self.longest, self.worst
-        for i in range(1, len(segment) + 1):
-            best, at = float("inf"), i - 1
-            for j in range(max(0, i - longest), i):
-                s = score.get(segment[j:i])
-                if s is None:
-                    if i - j > 1:
-                        continue
-                    s = worst
-                if cost[j] - s < best:
-                    best, at = cost[j] - s, j
-            cost.append(best)
-            back.append(at)
-        out, i = [], len(segment)
-        while i:
-            out.append(self.id.get(segment[back[i] : i], LONE + ord(segment[back[i]])))
-            i = back[i]
-        return out[::-1]
+        """The labels on the shortest path: ids, and LONE + code point for a character that is no piece."""
+        return shortest(compose(segment, self.entries, self.lone, self.after))
 
     def ids(self, segment: str) -> list[int]:
         out: list[int] = []
@@ -170,6 +246,8 @@ class Machine:
     def packed(self, segment: str) -> bytes:
         """The ids of a segment as 32-bit integers. What a generation did not ask for again goes with it."""
         out = self.older.get(segment) or np.array(self.ids(segment), np.int32).tobytes()
+        if len(segment) > KEPT_CHARS:
+            return out
         if len(self.kept) >= KEPT:
             self.older, self.kept = self.kept, {}
         self.kept[segment] = out
