@@ -10,8 +10,9 @@ what they share with the candidate in ``SHARED`` characters or more, so a secret
 several times is measured at every place as if it stood there alone.
 
 Defined cases: a null text is empty and has no spans; repeated rows are all returned; an empty
-table gives an empty result; offsets count code points, ends are exclusive; other columns are
-ignored by ``scan`` and carried by ``redacted``.
+table gives an empty result; offsets count code points, ends are exclusive; a text of any length is
+scanned whole, in time that grows with its length; other columns are ignored by ``scan`` and
+carried by ``redacted``.
 """
 
 from __future__ import annotations
@@ -112,12 +113,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
     """Incompressible strings near sensitive words that no base span overlaps."""
+    taken: list[list[int]] = []  # the base spans' union: apart from each other and in order, so one pointer follows the candidates
+    for s, e, _ in base:
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
     out, at = [], 0
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        while at < len(base) and base[at][1] <= s:
+        while at < len(taken) and taken[at][1] <= s:
             at += 1
-        if any(b[0] < e and s < b[1] for b in base[at:] if b[0] < e) or not mixed(m.group()):
+        if at < len(taken) and taken[at][0] < e or not mixed(m.group()):
             continue
         if not CONTEXT.search(text[max(0, s - NEAR) : s]):
             continue
