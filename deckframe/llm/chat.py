@@ -4,22 +4,29 @@ A conversation is rendered as a whole, each turn as
 
     <|im_start|> role <|im_sep|> text <|im_end|>
 
-without the blanks, and encoded once, with offsets. The control strings are tokens of their own, so
-every turn's text begins and ends at a token border. The turns' spans are sorted, as are the
-tokens' offsets, so the tokens of an assistant's text are found by two binary searches; they form
-the loss mask.
+without the blanks, and encoded once, with offsets: a byte-level token stands for as many bytes as
+its string has, so running sums of these widths are the tokens' offsets in the UTF-8 bytes. The
+control strings are tokens of their own, so every turn's text begins and ends at a token border.
+The turns' spans are sorted, as are the tokens' offsets, so the tokens of an assistant's text are
+found by two binary searches; they form the loss mask.
 
 Inside roles and texts ``<`` followed by backslashes and ``|`` gets one backslash more, so no
 control string can appear there, and taking that backslash away gives the text back exactly.
 
 Defined cases: a null text or role is empty; turns are ordered by turn, then role, then text, nulls
-first; a null conv_id is one conversation; repeated rows are repeated turns; an empty table gives
-an empty result; other columns are ignored.
+first, and turns equal in all three are the same whatever their order; a null conv_id is one
+conversation; repeated rows are repeated turns; an empty table gives an empty result; a text of any
+length is formatted whole; other columns are ignored.
+
+A conversation is one row of the result, so a task holds one at a time: its text, 4 bytes of id and
+16 of offsets for each token. That is the bound: a conversation that holds a third of all rows is
+one task's stream, not one task's table of other conversations.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deckframe.llm.token_counts import PATTERN, _letters
+
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 #: Turns that are encoded in one call; control tokens separate them, so the result is that of the whole.
@@ -48,23 +57,57 @@ def unescape(text: str) -> str:
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[list[str], list[tuple[int, int, bool]]]:
-    """The rendered turns, and for each the span of its text in the whole and whether it is trained on."""
+    """The rendered turns, and for each the span of its text in the whole's bytes and whether it is trained on."""
     out, spans, at = [], [], 0
     for role, text in turns:
         head, body = f"{START}{escape(role)}{SEPARATOR}", escape(text)
         out.append(f"{head}{body}{END}")
-        spans.append((at + len(head), at + len(head) + len(body), role == LOSS_ROLE))
-        at += len(out[-1])
+        begin = at + _bytes(head)
+        end = begin + _bytes(body)
+        spans.append((begin, end, role == LOSS_ROLE))
+        at = end + len(END)
     return out, spans
 
 
+def _bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
     """The turns of a rendered conversation."""
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
+class Encoder:
+    """A byte-level BPE file with the control strings as tokens, and how many bytes each token stands for."""
+
+    def __init__(self, content: str) -> None:
+        import tiktoken
+
+        spec, of = json.loads(content), _letters()
+        model, special = spec["model"], {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
+        ranks = {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        order = [model["vocab"][m] for m in merged]
+        if order != sorted(order):
+            raise ValueError("tokens are not numbered in the order of their merges")
+        for control in (START, SEPARATOR, END):
+            special.setdefault(control, max([*ranks.values(), *special.values()]) + 1)
+        self.model = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.width = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
+        for token, i in ranks.items():
+            self.width[i] = len(token)
+        for token, i in special.items():
+            self.width[i] = len(token.encode())
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.model.encode_to_numpy(text, allowed_special="all").astype(np.int32)
+
+
 @dataclass(frozen=True)
 class Formatted:
+    """A rendered conversation, its tokens, their offsets in the text's bytes, and the loss mask."""
+
     text: str
     ids: np.ndarray
     starts: np.ndarray
@@ -75,23 +118,18 @@ class Formatted:
 
     def loss_text(self) -> str:
         """All text under the mask, as the tokens' offsets say, unescaped."""
-        return "".join(unescape(self.text[self.starts[a] : self.ends[b - 1]]) for a, b in self.runs if b > a)
+        data = self.text.encode()
+        return "".join(unescape(data[self.starts[a] : self.ends[b - 1]].decode()) for a, b in self.runs if b > a)
 
 
-def formatted(turns: list[tuple[str, str]], tok) -> Formatted:  # noqa: ANN001
+def formatted(turns: list[tuple[str, str]], encoder: Encoder) -> Formatted:
     """Render, encode with offsets, and intersect the sorted spans with the sorted tokens."""
     parts, spans = render(turns)
-    ids, starts, ends, at = [], [], [], 0
-    for i in range(0, len(parts), CHUNK):
-        piece = "".join(parts[i : i + CHUNK])
-        e = tok.encode(piece, add_special_tokens=False)
-        off = np.array(e.offsets, np.int64).reshape(-1, 2) + at
-        ids.append(np.array(e.ids, np.int32))
-        starts.append(off[:, 0])
-        ends.append(off[:, 1])
-        at += len(piece)
-    cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-    ids, starts, ends = cat(ids, np.int32), cat(starts, np.int64), cat(ends, np.int64)
+    pieces = [encoder.encode("".join(parts[i : i + CHUNK])) for i in range(0, len(parts), CHUNK)]
+    ids = np.concatenate(pieces) if pieces else np.empty(0, np.int32)
+    width = encoder.width[ids]
+    ends = np.cumsum(width)
+    starts = ends - width
     mask, runs = np.zeros(len(ids), bool), []
     for s, e, loss in spans:
         if loss and e > s:
@@ -139,9 +177,9 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str) -> DataF
         content = conversations.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, types = _shared(content.value), [None]
+        encoder, types = _shared(content.value), [None]
         for conv, turns in _conversations(_noting(batches, types)):
-            f = formatted(turns, tok)
+            f = formatted(turns, encoder)
             ids, mask = pa.array([f.ids], pa.list_(pa.int32())), pa.array([f.mask], pa.list_(pa.bool_()))
             yield pa.RecordBatch.from_arrays([pa.array([conv], types[0]), pa.array([f.text]), ids, mask], names=["conv_id", "formatted", "ids", "mask"])
 
@@ -156,11 +194,11 @@ def digests(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, rows = _shared(content.value), []
+        encoder, rows = _shared(content.value), []
         types = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         whole = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         for conv, turns in _conversations(_noting(batches, types)):
-            f = formatted(turns, tok)
+            f = formatted(turns, encoder)
             back, loss = parse(f.text), f.loss_text()
             digest = hashlib.sha256()
             for role, text in back:
@@ -176,21 +214,14 @@ def digests(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
     return _ordered(conversations).mapInArrow(run, schema)
 
 
-_tokenizers: dict[int, object] = {}
-
-
-def _shared(content: str):  # noqa: ANN202
-    """The tokenizer, once for each Python process, single-threaded: Spark runs a process for each core."""
-    import os
+_encoders: dict[int, Encoder] = {}
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if (key := hash(content)) not in _tokenizers:
-        from tokenizers import AddedToken, Tokenizer
 
-        t = Tokenizer.from_str(content)
-        t.add_special_tokens([AddedToken(x, normalized=False, special=True) for x in (START, SEPARATOR, END)])
-        _tokenizers[key] = t
-    return _tokenizers[key]
+def _shared(content: str) -> Encoder:
+    """The encoder, once for each Python process."""
+    if (key := hash(content)) not in _encoders:
+        _encoders[key] = Encoder(content)
+    return _encoders[key]
 
 
 def attack(conversations: DataFrame) -> DataFrame:
