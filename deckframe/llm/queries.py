@@ -51,8 +51,9 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = sharding.shard(_read(spark, sf_dir, "documents"), 8)
-    return placed
+    path = sharding.new_map(spark)
+    placed, _ = sharding.shard(_read(spark, sf_dir, "documents"), 8, map_path=path)
+    return sharding.with_next(placed, path)
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

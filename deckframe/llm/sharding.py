@@ -3,16 +3,21 @@
 A record hashes into one of a few thousand virtual slots, once and for all. Bytes are added up
 for each slot, and a map from slots to shards is made from these sums: heaviest slot first, each
 to the lightest shard. Rebalancing edits the map, never the hash: ``grow`` moves just as many
-slots as a new shard needs. Every version of the map is kept as a table.
+slots as a new shard needs. The map is one table at a path of its own; every edit appends a version,
+and ``shard`` with the path of a map that is there places rows by its last version.
+
+Rows that repeat both id and text are counted before anything else, and the number of the copy
+enters the hash, so a row that is there a billion times spreads over all slots.
 
 Defined cases: a null text counts as empty; a null id is hashed as such; rows that repeat both id
-and text share a virtual slot; an empty table gives an empty result and a map of empty slots;
-other columns are ignored.
+and text each have a place of their own; an empty table gives an empty result and a map of empty
+slots; a text of any length is one row of its size; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,14 +25,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from deckframe.llm.common import cut, text_of
+from deckframe.llm.common import cut, shared_dir, text_of
 
 #: Virtual slots; it bounds what the driver gathers and what is broadcast.
 SLOTS = 8192
 SEED = 20240607
+#: Copies of one row that one task makes.
+COPIES = 1 << 16
 
 MAP_SCHEMA = T.StructType([
     T.StructField("version", T.IntegerType(), False),
+    T.StructField("n_shards", T.IntegerType(), False),
     T.StructField("vslot", T.IntegerType(), False),
     T.StructField("shard", T.IntegerType(), False),
     T.StructField("slot_bytes", T.LongType(), False),
@@ -52,14 +60,14 @@ class SlotMap:
         return out
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(self.version, i, *x) for i, x in enumerate(zip(self.shard, self.slot_bytes, self.slot_rows, strict=True))]
+        rows = [(self.version, self.n_shards, i, *x) for i, x in enumerate(zip(self.shard, self.slot_bytes, self.slot_rows, strict=True))]
         return spark.createDataFrame(rows, MAP_SCHEMA)
 
     @staticmethod
     def from_frame(df: DataFrame, version: int) -> SlotMap:
-        rows = sorted((r.vslot, r.shard, r.slot_bytes, r.slot_rows) for r in df.where(F.col("version") == version).collect())
-        _, shard, size, count = zip(*rows, strict=True)
-        return SlotMap(version, max(shard) + 1, shard, size, count)
+        rows = sorted((r.vslot, r.shard, r.slot_bytes, r.slot_rows, r.n_shards) for r in df.where(F.col("version") == version).collect())
+        _, shard, size, count, n_shards = zip(*rows, strict=True)
+        return SlotMap(version, n_shards[0], shard, size, count)
 
 
 def balanced(slot_bytes: list[int], slot_rows: list[int], n_shards: int) -> SlotMap:
@@ -92,37 +100,93 @@ def grow(old: SlotMap) -> SlotMap:
     return replace(old, version=old.version + 1, n_shards=new + 1, shard=tuple(shard))
 
 
-def slotted(docs: DataFrame, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, text_crc32, vslot: the hash of id and text decides the slot."""
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text_of()) + 1).cast("long").alias("size"),
-        F.crc32(text_of()).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.lit(seed), "doc_id", text_of()), F.lit(slots)).cast("int").alias("vslot"),
-    )
+# the table of versions ----------------------------------------------------------------------
+
+
+def new_map(spark: SparkSession) -> str:
+    """A path for a map in the shared folder."""
+    return f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+
+
+def versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of versions, None where there is none yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(MAP_SCHEMA).parquet(path)
+
+
+def latest(spark: SparkSession, path: str) -> SlotMap | None:
+    """The last version; the driver gathers one row for each slot."""
+    table = versions(spark, path)
+    last = None if table is None else table.agg(F.max("version").alias("v")).first().v
+    return None if last is None else SlotMap.from_frame(table, last)
+
+
+def append(spark: SparkSession, path: str, made: SlotMap) -> SlotMap:
+    """Adds a version, and reads it back."""
+    made.to_frame(spark).coalesce(1).write.mode("append").parquet(path)
+    return latest(spark, path)
 
 
-def slot_map(rows: DataFrame, n_shards: int, slots: int = SLOTS) -> SlotMap:
-    """The first map for rows from ``slotted``; the driver gathers one row for each slot."""
+def add_shard(spark: SparkSession, path: str) -> SlotMap:
+    """Edits the map at a path: its next version has one shard more."""
+    return append(spark, path, grow(latest(spark, path)))
+
+
+# rows ---------------------------------------------------------------------------------------
+
+
+def slotted(docs: DataFrame, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
+    """doc_id, size, text_crc32, vslot: the hash of id, text and the number of the copy decides the slot.
+
+    Only these short columns are shuffled, and copies are counted before that.
+    """
+    own = docs.select(
+        "doc_id", (F.octet_length(text_of()) + 1).cast("long").alias("size"), F.crc32(text_of()).alias("text_crc32"),
+        F.xxhash64(F.lit(seed), "doc_id", text_of()).alias("_hash"),
+    )
+    rows = cut(own.groupBy("doc_id", "size", "text_crc32", "_hash").agg(F.count(F.lit(1)).alias("_n")), "counted")
+    number = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last))
+    rows = rows.withColumn("_part", F.lit(0).cast("long"))
+    if (rows.agg(F.max("_n").alias("n")).first().n or 0) > COPIES:
+        rows = rows.withColumn("_part", number(F.floor((F.col("_n") - 1) / COPIES).cast("long"))).repartition("_hash", "_part")
+    left = F.least(F.lit(COPIES), F.col("_n") - F.col("_part") * COPIES)
+    rows = rows.withColumn("_copy", number((left - 1).cast("long"))).withColumn("_copy", F.col("_part") * COPIES + F.col("_copy"))
+    return rows.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("_hash", "_copy"), F.lit(slots)).cast("int").alias("vslot"))
+
+
+def slot_sums(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
+    """Bytes and rows of each slot; the driver gathers one row for each slot."""
     size, count = [0] * slots, [0] * slots
     for r in rows.groupBy("vslot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect():
         size[r.vslot], count[r.vslot] = r.b, r.n
-    return balanced(size, count, n_shards)
+    return size, count
 
 
-def shard(docs: DataFrame, n_shards: int = 8, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(placed rows, map table).
+def shard(docs: DataFrame, n_shards: int = 8, slots: int = SLOTS, map_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(placed rows, table of the map's versions).
 
     Placed rows: doc_id, size, text_crc32, law (``bytes``), shard, slot (the row's place in its
     shard, gapless from 0), grown_shard (null under this law), vslot, map_version. A place is its
     virtual slot's offset within the shard plus the rank within the virtual slot.
+
+    Without a map at ``map_path`` one is made and stored there. A map that is there is kept: it is
+    grown until it has ``n_shards``, each step a version, and rows go where its last version says.
     """
     spark = docs.sparkSession
+    path = map_path or new_map(spark)
+    made = latest(spark, path)
+    if made is not None and (made.n_shards > n_shards or len(made.shard) != slots):
+        raise ValueError(f"the map at {path} has {made.n_shards} shards and {len(made.shard)} slots")
     rows = cut(slotted(docs, slots), "slotted")
-    made = slot_map(rows, n_shards, slots)
-    stored = cut(made.to_frame(spark), "slot-map")
+    size, count = slot_sums(rows, slots)
+    if made is None:
+        made = append(spark, path, balanced(size, count, n_shards))
+    while made.n_shards < n_shards:
+        made = add_shard(spark, path)
     base, filled = [], [0] * n_shards
-    for s, n in zip(made.shard, made.slot_rows, strict=True):
+    for s, n in zip(made.shard, count, strict=True):
         base.append(filled[s])
         filled[s] += n
     places = spark.createDataFrame(list(zip(range(slots), made.shard, base, strict=True)), "vslot int, shard int, base long")
@@ -132,4 +196,12 @@ def shard(docs: DataFrame, n_shards: int = 8, slots: int = SLOTS) -> tuple[DataF
         (F.col("base") + F.col("rank") - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(made.version).alias("map_version"),
     )
-    return placed, stored
+    return placed, versions(spark, path)
+
+
+def with_next(placed: DataFrame, path: str) -> DataFrame:
+    """Adds next_shard: where rows go under the next version of the map at ``path``, which has one shard more and is appended here."""
+    spark = placed.sparkSession
+    after = add_shard(spark, path)
+    moved = versions(spark, path).where(F.col("version") == after.version).select("vslot", F.col("shard").alias("next_shard"))
+    return placed.join(F.broadcast(moved), "vslot").select(*placed.columns, "next_shard")
