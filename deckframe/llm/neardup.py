@@ -61,6 +61,8 @@ FACTOR = 16
 #: By how much the size bounds are loosened, so that rounding loses no pair at exactly the threshold.
 SLACK = 1e-6
 KEPT_WORDS = 200_000
+#: Members of a bucket that one task compares with the bucket's hubs.
+SALT = 256
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -241,19 +243,26 @@ class Classes:
     links: DataFrame
 
 
-def _met(left: DataFrame, right: DataFrame, columns: Sequence[str], threshold: float) -> tuple[DataFrame, DataFrame, Column]:
-    """Both sides by bucket, columns named _x and _y, and whether classes differ and sizes and shared shingles allow the threshold."""
-    side = lambda df, k: df.select("band", *(F.col(c).alias(f"{c}_{k}") for c in columns))
+def _met(left: DataFrame, right: DataFrame, columns: Sequence[str], threshold: float) -> tuple[DataFrame, Column]:
+    """Members of ``left`` beside those of ``right`` in each bucket, columns named _x and _y, and whether classes differ and sizes and shared shingles allow the threshold.
+
+    A bucket of more than ``SALT`` members is dealt to as many tasks as it has times that: each of
+    ``right`` goes to one of them by its hash, the few of ``left`` to all.
+    """
+    side = lambda df, k: df.select("band", "salt", *(F.col(c).alias(f"{c}_{k}") for c in columns))
+    parts = F.ceil(F.col("size") / SALT).cast("int")
+    few = left.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    many = right.withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int"))
     most = F.least("common_x", "common_y", "n_x", "n_y")
     fits = (F.col("class_x") != F.col("class_y")) & ((1 + threshold) * most >= threshold * (F.col("n_x") + F.col("n_y")) - SLACK)
-    return side(left, "x"), side(right, "y"), fits
+    return side(few, "x").join(side(many, "y"), ["band", "salt"]), fits
 
 
 def _hub_pairs(ranked: DataFrame, threshold: float) -> DataFrame:
     """a, b: every member of a bucket with the bucket's hub, each pair once."""
     hubs = ranked.groupBy("band").agg(F.max("rank").alias("rank"))
-    left, right, fits = _met(ranked.join(hubs, ["band", "rank"], "left_semi"), ranked, ["node", "n", "class", "common"], threshold)
-    return left.join(right, "band").where(fits).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    met, fits = _met(ranked.join(hubs, ["band", "rank"], "left_semi"), ranked, ["node", "n", "class", "common"], threshold)
+    return met.where(fits).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def _further_pairs(open_: DataFrame, hubs: int, threshold: float) -> DataFrame:
@@ -262,14 +271,14 @@ def _further_pairs(open_: DataFrame, hubs: int, threshold: float) -> DataFrame:
     A pair comes out once, in the first bucket that it shares; pairs of earlier rounds' hubs do not.
     """
     columns = ["node", "n", "class", "common", "turn", "anchor", "near", "bands", "sign"]
-    left, right, fits = _met(open_.where(F.col("turn") < hubs), open_, columns, threshold)
+    met, fits = _met(open_.where(F.col("turn") < hubs), open_, columns, threshold)
     before = hubs / FACTOR if hubs > FACTOR else 0
     once = ((F.col("turn_y") >= hubs) | (F.col("node_x") < F.col("node_y"))) & (F.least("turn_x", "turn_y") >= before)
     metric = (F.col("anchor_x") != F.col("anchor_y")) | (F.abs(F.col("near_x") - F.col("near_y")) <= 1 - threshold + 1e-9)
     first = F.get(F.filter(F.zip_with("bands_x", "bands_y", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0)) == F.col("band")
     agree = F.aggregate(F.zip_with("sign_x", "sign_y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
     least = SIGN * threshold - 5 * (SIGN * threshold * (1 - threshold)) ** 0.5
-    met = left.join(right, "band").where(fits & once & metric & first & (agree >= least))
+    met = met.where(fits & once & metric & first & (agree >= least))
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
 
 
