@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from deckframe.llm.common import cut
 
-PIVOTS, PREFIX, POST, PROBE, SHARE = 128, 128, 1, 100, 0.2
+PIVOTS, PREFIX, POST, PROBE, SHARE = 128, 128, 2, 48, 0.2
 CELL, QUERIES, LEAST = 20_000, 4_000, 128
 SEED = 31_337
 
@@ -154,12 +154,12 @@ def nearest(table: DataFrame, queries: Column, k: int = 10, n_pivots: int = PIVO
     if not short.isEmpty():
         # the whole permutation, so that every file is opened
         again = short.withColumn("perm", F.concat("perm", F.array_except(F.array(*(F.lit(p).cast("short") for p in range(len(piv)))), F.col("perm"))))
-        found = found.unionByName(_search_all(indexed, again, len(piv), prefix, min(post, prefix), k))
+        found = found.unionByName(_search_all(indexed, again, len(piv), k))
     one = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return one.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search_all(indexed: DataFrame, ask: DataFrame, n_pivots: int, prefix: int, post: int, k: int) -> DataFrame:
-    """The exact search: every file, every posted vector."""
-    return _search(indexed, ask, n_pivots, n_pivots, n_pivots, post, 1.0, k)
+def _search_all(indexed: DataFrame, ask: DataFrame, n_pivots: int, k: int) -> DataFrame:
+    """The exact search: every vector in one file, every file open, every vector reranked."""
+    return _search(indexed, ask, n_pivots, n_pivots, n_pivots, 1, 1.0, k)
