@@ -293,3 +293,33 @@ def test_hot_files_are_salted(spark, monkeypatch):
     for r in ann.nearest(df, F.col("vec_id") % 50 == 0, n_pivots=8, prefix=8, probe=8, share=1.0).orderBy("rank").collect():
         got[r.query_id].append((r.vec_id, pytest.approx(r.score)))
     assert dict(got) == want
+
+
+def test_the_map_lasts_and_is_edited(spark, tmp_path):
+    rows = [(i, f"text {i} " * (i % 7), "s", 9) for i in range(2000)]
+    df, path = spark.createDataFrame(rows, DOCS), str(tmp_path / "map")
+    first = {(r.doc_id, r.shard) for r in sharding.shard(df, 4, map_path=path)[0].collect()}
+    again, table = sharding.shard(df, 4, map_path=path)
+    assert {(r.doc_id, r.shard) for r in again.collect()} == first and [r.version for r in table.select("version").distinct().collect()] == [1]
+    planned = sharding.with_next(again, path).collect()
+    assert {r.next_shard for r in planned} == set(range(5)) and all(r.next_shard in (r.shard, 4) for r in planned)
+    grown, table = sharding.shard(df, 6, map_path=path)
+    assert {r.map_version for r in grown.collect()} == {3} and sorted(r.n_shards for r in table.select("version", "n_shards").distinct().collect()) == [4, 5, 6]
+    loads = collections.Counter()
+    for r in grown.collect():
+        loads[r.shard] += r.size
+    assert max(loads.values()) < 1.2 * min(loads.values())
+    with pytest.raises(ValueError):
+        sharding.shard(df, 3, map_path=path)
+
+
+def test_a_row_that_is_there_often_spreads(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 64)
+    rows = [(7, "same", "s", 9)] * 3000 + [(None, None, None, 1)] * 500 + [(i, "x" * 50, "s", 9) for i in range(500)] + [(9, "long " * 400_000, "s", 9)]
+    placed = sharding.shard(spark.createDataFrame(rows, DOCS).repartition(8), 8)[0].collect()
+    assert collections.Counter(r.doc_id for r in placed) == collections.Counter(r[0] for r in rows)
+    assert max(collections.Counter(r.vslot for r in placed).values()) < 20
+    places = collections.defaultdict(list)
+    for r in placed:
+        places[r.shard].append(r.slot)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())

@@ -1,17 +1,21 @@
 """Sentence pieces, token counts, secrets and chat formatting against libraries and brute force."""
 
 import hashlib
+import itertools
+import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
-from deckframe.llm import chat, secrets, token_counts
+from deckframe.llm import chat, secrets, token_counts, wfst
 from deckframe.llm import sentencepiece_fst as fst
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -56,16 +60,79 @@ def test_pieces_of_any_text(machine, library, text):
     assert ids == library.encode(text) and machine.decode(ids) == text.replace("▁", " ")
 
 
+def field(n, data):
+    """A length-delimited field of the wire format."""
+    size, out = len(data), b""
+    while size > 127:
+        out, size = out + bytes([size & 127 | 128]), size >> 7
+    return bytes([n << 3 | 2]) + out + bytes([size]) + data
+
+
+def mapped(rule, **options):
+    """The model's pieces with the character map that the library has for a rule."""
+    own = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+    spec = dict(fst._fields(own.serialized_normalizer_spec() if hasattr(own, "serialized_normalizer_spec") else dict(fst._fields(own.serialized_model_proto()))[3]))
+    flags = {3: 1, 4: 1, 5: 1} | options.get("flags", {})
+    spec = field(2, spec[2]) + b"".join(bytes([k << 3, v]) for k, v in flags.items())
+    parts = [(n, v) for n, v in fst._fields(open(PIECES, "rb").read()) if n != 3]
+    return b"".join(field(n, v) for n, v in parts) + field(3, spec)
+
+
+MAPS = [("nmt_nfkc", {4: 1}), ("nfkc_cf", {4: 0}), ("nmt_nfkc_cf", {3: 0})]
+WIDE = ["ﬁne ① Ａｂｃ　ｄ", "e\u0301 o\u0308\u0304 A\u030a", "한글 \u1112\u1161\u11ab", "\u00a0\u200b x\u00ad ", "´ ¨", "㍿ ﷺ", "İSTANBUL ẞ", "▁ x ▁", "\u3000", "a\u3000\u3000 b"]
+
+
+@pytest.mark.parametrize(("rule", "flags"), MAPS)
+def test_models_with_a_character_map(rule, flags):
+    model = mapped(rule, flags=flags)
+    m, own = fst.Machine(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    for text in [*ODD, *WIDE]:
+        assert m.encode(text).tolist() == own.encode(text), text[:40]
+        assert m.decode(own.encode(text)) == own.decode(own.encode(text))
+
+    @settings(max_examples=200, deadline=None, database=None)
+    @given(TEXT | st.text(alphabet=st.sampled_from("aé ﬁ①\u0301\u0308\u3000\u00a0Ａ▁ｶﾞ"), max_size=12))
+    def any_text(text):
+        assert m.encode(text).tolist() == own.encode(text)
+
+    any_text()
+
+
+def test_whole_tables_are_encoded_and_counted_as_the_libraries_do(spark, library, tokens):
+    """Every document of the smallest tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in fst.encode(docs, PIECES).collect():
+        assert r.pieces == library.encode(texts[r.doc_id]) and r.round_trip
+    for r in token_counts.count(docs, BYTES).collect():
+        assert r.n_tokens == len(tokens.encode(texts[r.doc_id], add_special_tokens=False).ids)
+
+
+def test_every_path_costs_at_least_the_shortest():
+    entries = wfst.Trie([("a", 1, 2.0), ("ab", 2, 3.5), ("b", 3, 2.0), ("ba", 4, 1.0), ("aba", 5, 9.0)])
+    after = {-1: {1: 0.0, 2: 0.0, 3: 0.0, 4: 0.5, 5: 0.0, wfst.LONE + ord("c"): 0.0}}
+    rule = {k: {**after[-1], 4: wfst.ZERO if k == 3 else 0.5} for k in [*after[-1]]} | after
+
+    def paths(m, at, state, cost, labels):
+        if at == len(m.text):
+            yield cost, labels
+            return
+        for end, label, weight in m.arcs(at):
+            yield from paths(m, end, label, cost + weight + m.after[state][label], [*labels, label])
+
+    for n in range(1, 7):
+        for word in map("".join, itertools.product("abc", repeat=n)):
+            m = wfst.compose(word, entries, wfst.Fallback(4.0))
+            best = min(c for c, _ in paths(m, 0, -1, 0.0, []))
+            got = next(c for c, labels in paths(m, 0, -1, 0.0, []) if labels == wfst.shortest(m))
+            assert got == best
+    assert wfst.shortest(wfst.compose("bba", entries, wfst.Fallback(4.0), rule)) == [3, 3, 1]
+
+
 def unigram(scores, fallback=False):
     """A model file's bytes: the wire format of a unigram model."""
     import struct
 
-    def field(n, data):
-        size, out = len(data), b""
-        while size > 127:
-            out, size = out + bytes([size & 127 | 128]), size >> 7
-        return bytes([n << 3 | 2]) + out + bytes([size]) + data
-
     pieces = [("<unk>", 0.0, 2)] + [(p, s, 1) for p, s in scores.items()] + ([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else [])
     own = b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + bytes([3 << 3, t])) for p, s, t in pieces)
     return own + field(2, bytes([3 << 3, 1]) + (bytes([0x98, 0x02, 1]) if fallback else b"")) + field(3, bytes([3 << 3, 1, 4 << 3, 0, 5 << 3, 1]))
@@ -117,9 +184,23 @@ def test_budgets(counter, tokens, text, budget):
     p = counter.prefixes(text)
     size = lambda t: len(tokens.encode(t, add_special_tokens=False).ids)
     assert p.total == size(text) and size(text[: p.fit(budget)]) <= budget
+    if p.total > budget:
+        end = int(p.ends[int(np.searchsorted(p.sums, budget, side="right"))])
+        assert p.fit(budget) == max(k for k in range(end + 1) if size(text[:k]) <= budget)
     assert all(p.at(k) == size(text[:k]) for k in range(len(text) + 1))
 
 
+def test_a_long_run_is_counted_once(counter, tokens):
+    rng = random.Random(4)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(150_000))
+    begin, before = time.monotonic(), len(counter.kept)
+    p = counter.prefixes(run)
+    fit = p.fit(512)
+    assert time.monotonic() - begin < 30 and len(counter.kept) <= before + 1
+    size = lambda t: len(tokens.encode(t, add_special_tokens=False).ids)
+    assert size(run[:fit]) <= 512 < size(run[: fit + 1]) and all(p.at(k) == size(run[:k]) for k in (1, 77, 5000, 5001))
+
+
 def test_every_space_like_character(counter, tokens):
     for cp in [*range(0x20), *range(0x7F, 0xA1), 0xAD, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]:
         x = f"a{chr(cp)}b {chr(cp)}{chr(cp)} 1{chr(cp)}  {chr(cp)}."
@@ -180,6 +261,29 @@ def test_a_secret_that_stands_twice_is_found_at_both_places(gap):
     assert [k for _, _, k in secrets.find(text, n)[1]] == ["assign", "novel"]
 
 
+def test_marginal_sizes_are_what_the_compressor_says():
+    n = secrets.Novelty()
+    plain = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(secrets.IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = lambda t: len(plain.compress(t.encode()))
+    rng = random.Random(2)
+    for k in range(40):
+        key = "".join(rng.choice("ABCDEFGHabcdefgh0123456789") for _ in range(rng.randint(20, 60))) + "aZ9"
+        before, after = "session cookie " * (k % 3 + 1), " and the rest of it " * (k % 2)
+        text = before + key + after
+        ratio = (size(text) - size(before + after)) / len(key)
+        assert n.marginal(before, key, after) == pytest.approx(max(0.0, ratio), abs=2 / len(key))
+        found = any(kind == "novel" for _, _, kind in secrets.find(text, n)[1])
+        assert found == (n.marginal(before[-secrets.AROUND :], key, after[: secrets.AROUND]) >= secrets.NOVEL)
+
+
+def test_many_base_spans_do_not_slow_the_search():
+    n = secrets.Novelty()
+    text = "password = abcdefgh12345678 x cookie Zq8fLx2Vb7RtPw9KsM4J " * 8000
+    begin = time.monotonic()
+    base, every = secrets.find(text, n)
+    assert len(base) == 8000 and len(every) == 16000 and time.monotonic() - begin < 20
+
+
 def test_masks_and_frames(spark):
     rows = [(1, f"é token = {HEXES} and {AKIA}.", 7, "k"), (None, None, 3, None), (2, "", 0, "k"), (3, "plain", 9, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
@@ -201,13 +305,24 @@ def chat_tokens():
     return chat._shared(open(BYTES, encoding="utf-8").read())
 
 
+@pytest.fixture(scope="module")
+def chat_library():
+    own = Tokenizer.from_file(BYTES)
+    own.add_special_tokens([AddedToken(x, normalized=False, special=True) for x in (chat.START, chat.SEPARATOR, chat.END)])
+    return own
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system"]) | TURN, TURN), max_size=5))
-def test_formatting_reads_back(chat_tokens, turns):
+def test_formatting_reads_back(chat_tokens, chat_library, turns):
     f = chat.formatted(turns, chat_tokens)
     assert chat.parse(f.text) == turns
     assert f.loss_text() == "".join(t for r, t in turns if r == "assistant")
-    assert f.ids.tolist() == chat_tokens.encode(f.text, add_special_tokens=False).ids
+    own = chat_library.encode(f.text, add_special_tokens=False)
+    assert f.ids.tolist() == own.ids
+    place = np.cumsum([0, *(len(c.encode()) for c in f.text)])
+    if f.text.isascii():
+        assert [(int(place[a]), int(place[b])) for a, b in own.offsets] == list(zip(f.starts.tolist(), f.ends.tolist(), strict=True))
     assert sum(f.text.count(x) for x in (chat.START, chat.SEPARATOR, chat.END)) == 3 * len(turns)
 
 
