@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckframe.sources import cards
+from deckframe.sources import cards, files
 
 
 def write_keyword(path: str | os.PathLike, name: str, columns: Mapping[str, Sequence]) -> None:
@@ -23,13 +23,13 @@ def write_keyword(path: str | os.PathLike, name: str, columns: Mapping[str, Sequ
         f.write("*END\n")
 
 
-def write_frame(df: DataFrame, folder: str, name: str, order: Sequence[str]) -> None:
-    """A deck from a frame of any size: a root file that includes a part file for each range of rows.
+def write_lines(lines: DataFrame, folder: str, order: Sequence[str], head: str = "*KEYWORD") -> list[str]:
+    """Part files of a deck from a column ``value`` (a line or a whole keyword), each below ``head``. Gives their paths.
 
     Rows are range-partitioned by the order columns, so part files are in order and are written in
     parallel; nothing passes through the driver.
     """
-    lines = df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.concat_ws(",", *(F.col(c).cast("string") for c in df.columns)).alias("value"))
+    dealt = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value")
 
     def headed(batches):  # noqa: ANN001, ANN202
         import pandas as pd
@@ -37,13 +37,19 @@ def write_frame(df: DataFrame, folder: str, name: str, order: Sequence[str]) ->
         first = True
         for b in batches:
             if len(b):
-                yield pd.concat([pd.DataFrame({"value": [f"*KEYWORD\n*{name}"]}), b]) if first else b
+                yield pd.concat([pd.DataFrame({"value": [head]}), b]) if first else b
                 first = False
 
-    lines.mapInPandas(headed, "value string").write.mode("overwrite").text(f"{folder}/parts")
-    parts = sorted(p for p in os.listdir(f"{folder}/parts") if p.startswith("part-") and os.path.getsize(f"{folder}/parts/{p}"))
+    dealt.mapInPandas(headed, "value string").write.mode("overwrite").text(folder)
+    return sorted(f"{folder}/{p}" for p in files.names(folder) if p.startswith("part-") and files.size(f"{folder}/{p}"))
+
+
+def write_frame(df: DataFrame, folder: str, name: str, order: Sequence[str]) -> None:
+    """A deck of one keyword from a frame of any size: a root file that includes a part file for each range of rows."""
+    lines = df.select(*order, F.concat_ws(",", *(F.col(c).cast("string") for c in df.columns)).alias("value"))
+    parts = write_lines(lines, f"{folder}/parts", order, f"*KEYWORD\n*{name}")
     with open(f"{folder}/root.k", "w") as f:
-        f.write("*KEYWORD\n" + "".join(f"*INCLUDE\nparts/{p}\n" for p in parts) + "*END\n")
+        f.write("*KEYWORD\n" + "".join(f"*INCLUDE\nparts/{os.path.basename(p)}\n" for p in parts) + "*END\n")
 
 
 def generate(folder: str | os.PathLike, depth: int, breadth: int, nodes: int) -> int:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,6 +60,35 @@ def max_shear(xx: Column, yy: Column, zz: Column, xy: Column, yz: Column, zx: Co
     return (F.get(p, F.lit(0)) - F.get(p, F.lit(2))) / 2.0
 
 
+def with_principal(df: DataFrame, six: Sequence[Column], names: Sequence[str] = ("s1", "s2", "s3")) -> DataFrame:
+    """``df`` with the three principal values as columns, descending.
+
+    The same values as ``principal``, in steps: what a step names is evaluated once for each row,
+    however many columns need it, and each step stays small enough to be compiled.
+    """
+    pre = "_p"
+    while any(c.lower().startswith(pre) for c in df.columns):
+        pre = f"_{pre}"
+    at = lambda c: F.col(f"{pre}{c}")
+    step = df.withColumns({f"{pre}{c}": v for c, v in zip(("xx", "yy", "zz", "xy", "yz", "zx"), six, strict=True)})
+    own = [at(c) for c in ("xx", "yy", "zz", "xy", "yz", "zx")]
+    xx, yy, zz, xy, yz, zx = own
+    step = step.withColumns({f"{pre}q": mean_stress(xx, yy, zz), f"{pre}j2": second_invariant(*own), f"{pre}shear": (xy != 0) | (yz != 0) | (zx != 0)})
+    a, b, c = xx - at("q"), yy - at("q"), zz - at("q")
+    step = step.withColumn(f"{pre}j3", a * b * c + 2.0 * xy * yz * zx - a * yz * yz - b * zx * zx - c * xy * xy)
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1.5 * math.sqrt(3.0) * at("j3") / (at("j2") * F.sqrt(at("j2")))))
+    step = step.withColumns({f"{pre}angle": F.acos(cosine) / 3.0, f"{pre}size": 2.0 * F.sqrt(at("j2") / 3.0)})
+    first = F.when(at("shear"), at("q") + at("size") * F.cos(at("angle"))).otherwise(F.greatest(xx, yy, zz))
+    last = F.when(at("shear"), at("q") + at("size") * F.cos(at("angle") + 2.0 * math.pi / 3.0)).otherwise(F.least(xx, yy, zz))
+    step = step.withColumns({f"{pre}first": first, f"{pre}last": last})
+    return step.select(*df.columns, at("first").alias(names[0]), (3.0 * at("q") - at("first") - at("last")).alias(names[1]), at("last").alias(names[2]))
+
+
+def half_range(first: str, last: str) -> Column:
+    """Largest shear from columns of principal values."""
+    return (F.col(first) - F.col(last)) / 2.0
+
+
 def triaxiality(xx: Column, yy: Column, zz: Column, xy: Column, yz: Column, zx: Column) -> Column:
     """Mean over equivalent stress; 0 where that is 0."""
     vm = von_mises(xx, yy, zz, xy, yz, zx)

@@ -8,7 +8,8 @@ _TENSOR = """t AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quan
   l_tax * 1e2 AS xy, (l_quantity - 25) * l_discount AS yz, l_extendedprice / 1e4 * l_tax AS zx FROM lineitem)"""
 _VM = "sqrt(5e-1 * ((xx-yy)*(xx-yy) + (yy-zz)*(yy-zz) + (zz-xx)*(zz-xx)) + 3e0 * (xy*xy + yz*yz + zx*zx))"
 _LOADS = "f AS (SELECT l_suppkey, l_quantity - 25e0 AS fx, l_extendedprice / 1e1 - 25e2 AS fz, l_discount * 1e3 - 5e1 AS my, l_tax * 1e3 AS mx FROM lineitem)"
-_PRINCIPAL = f"""{_TENSOR}, q AS (SELECT *, (xx+yy+zz)/3e0 AS m, xy*xy + yz*yz + zx*zx AS p1 FROM t),
+_SCALE = "7390851332151607e-16"
+_PRINCIPAL = f"""{_TENSOR}, z AS (SELECT l_orderkey, l_linenumber, {', '.join(f"{c} * {_SCALE} AS {c}" for c in ("xx", "yy", "zz", "xy", "yz", "zx"))} FROM t), q AS (SELECT *, (xx+yy+zz)/3e0 AS m, xy*xy + yz*yz + zx*zx AS p1 FROM z),
   p AS (SELECT *, sqrt(((xx-m)*(xx-m) + (yy-m)*(yy-m) + (zz-m)*(zz-m) + 2e0*p1)/6e0) AS p FROM q),
   b AS (SELECT *, ((xx-m)*((yy-m)*(zz-m) - yz*yz) - xy*(xy*(zz-m) - yz*zx) + zx*(xy*yz - (yy-m)*zx)) / (p*p*p) / 2e0 AS r FROM p),
   a AS (SELECT *, acos(greatest(-1e0, least(1e0, r))) / 3e0 AS phi FROM b),
@@ -32,31 +33,18 @@ ORACLE = {
       SELECT kind, count(*) AS n FROM r WHERE kind IN (SELECT kind FROM defs) AND NOT EXISTS (SELECT 1 FROM defs d WHERE d.kind = r.kind AND d.id = r.id) GROUP BY kind""",
     "duplicate_ids": "SELECT * FROM (SELECT 'Line:' || l_linenumber AS kind, l_orderkey AS id, l_partkey, count(*) OVER (PARTITION BY l_linenumber, l_orderkey) AS n FROM lineitem) WHERE n > 1",
     "unreferenced_entities": "SELECT 'Part' AS kind, p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48)",
-    "rigid_context": "SELECT o_orderkey, o_custkey, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice > 300000 AND r_name <> 'ASIA'",
-    "reference_follow": "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
     "first_site_wins": "SELECT p_brand AS id, p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) WHERE k = 1",
     "definition_census": f"WITH {_DEFS} SELECT kind, count(DISTINCT id) AS n FROM defs GROUP BY kind",
     "deck_diff": """WITH c AS (SELECT c_mktsegment AS seg, CAST(c_nationkey AS VARCHAR) AS kind, count(DISTINCT c_custkey) AS n FROM customer GROUP BY 1, 2)
       SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b FROM (SELECT * FROM c WHERE seg = 'BUILDING') a FULL OUTER JOIN (SELECT * FROM c WHERE seg = 'MACHINERY') b ON a.kind = b.kind""",
     "include_transform_apply": """WITH k AS (SELECT c_custkey, ['Node', 'Part', 'Curve', 'Section', 'NodeSet', 'Material'][c_custkey % 6 + 1] AS kind, c_custkey - 700 AS raw FROM customer)
       SELECT c_custkey, kind, CAST(sign(raw) * (abs(raw) + CASE kind WHEN 'Node' THEN 1000 WHEN 'Part' THEN 3000 WHEN 'Curve' THEN 6000 WHEN 'Section' THEN 8000 WHEN 'NodeSet' THEN 5000 ELSE 4000 END) AS BIGINT) AS logical_id FROM k""",
-    "include_tree_rollup": "SELECT r_name, n_name, count(*) AS n_customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
-    "keyword_forbidden": "SELECT event_id, user_id FROM events WHERE event_type = 'error'",
-    "field_forbidden_values": "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 7, 13, 42)",
-    "field_required_when": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND NOT l_quantity > 5",
     "predicate_tree": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE (l_quantity >= 45 OR l_discount < 1e-2) AND l_linestatus <> 'O' GROUP BY 1, 2",
-    "file_scope_only": "SELECT page_id, url FROM pages WHERE contains(lower(url), 'example.net')",
-    "file_scope_except": "SELECT page_id, url FROM pages WHERE NOT contains(lower(url), 'example.net')",
-    "severity_report": """SELECT severity, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'Error' AS severity, count(*) AS n FROM events WHERE event_type = 'error'
-      UNION ALL SELECT 'Error', count(*) FROM lineitem WHERE l_returnflag = 'R' AND NOT l_quantity > 5
-      UNION ALL SELECT 'Warning', count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48)) GROUP BY severity""",
     "table_fixed_reparse": "SELECT p_partkey AS nid, CAST(printf('%.6f', p_retailprice) AS DOUBLE) AS x, CAST(p_size AS BIGINT) AS tc FROM part",
     "table_free_reparse": "SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS nation, CAST(0 AS BIGINT) AS text, CAST(0 AS BIGINT) AS absent FROM supplier",
     "fortran_float_parse": """SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN round((n_nationkey + 25e-2) / 1e2, 6) WHEN 1 THEN round((n_nationkey + 25e-2) * 1e3, 6)
       WHEN 2 THEN round(-(n_nationkey + 25e-2) / 1e2, 6) WHEN 3 THEN NULL ELSE round((n_nationkey + 25e-2) * 1e1, 6) END AS x FROM nation""",
     "canonical_base": "SELECT p_partkey, replace(upper(p_type), ' ', '_') AS base FROM part",
-    "block_split_lines": "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(length(string_split(text, chr(10))[-1]) AS BIGINT) AS last_chars FROM documents",
-    "write_keyword_roundtrip": "SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, p_brand FROM part",
     "integrate": f"WITH {_SERIES}, d AS (SELECT *, coalesce(1e-3 * (value + lag(value) OVER w) / 2e0, 0e0) AS a FROM s WINDOW w AS (PARTITION BY user_id ORDER BY i)) SELECT user_id, i, round(sum(a) OVER (PARTITION BY user_id ORDER BY i), 6) AS integral FROM d",
     "integrate_over": f"""WITH {_SERIES}, t AS (SELECT *, i * 1e-3 + i * i * 1e-5 AS t FROM s), d AS (SELECT *, coalesce((t - lag(t) OVER w) * (value + lag(value) OVER w) / 2e0, 0e0) AS a FROM t WINDOW w AS (PARTITION BY user_id ORDER BY i))
       SELECT user_id, i, round(sum(a) OVER (PARTITION BY user_id ORDER BY i), 8) AS integral FROM d""",
@@ -72,8 +60,8 @@ ORACLE = {
     "hic15": f"""WITH {_SERIES}, d AS (SELECT user_id, i, coalesce(1e-3 * (value + lag(value) OVER w) / 2e0, 0e0) AS a FROM s WINDOW w AS (PARTITION BY user_id ORDER BY i)),
       v AS (SELECT user_id, i, sum(a) OVER (PARTITION BY user_id ORDER BY i) AS v FROM d)
       SELECT x.user_id, round(sqrt(max((y.v - x.v) ** 5 / (y.i - x.i) ** 3) / 1e-9), 4) AS hic15 FROM v x JOIN v y ON x.user_id = y.user_id AND y.i > x.i AND y.i <= x.i + 15 GROUP BY x.user_id""",
-    "vc": f"""WITH {_SERIES}, d AS (SELECT user_id, value, (8e0 * (lead(value, 1) OVER w - lag(value, 1) OVER w) - (lead(value, 2) OVER w - lag(value, 2) OVER w)) / 12e-3 AS r FROM s WINDOW w AS (PARTITION BY user_id ORDER BY i))
-      SELECT user_id, round(coalesce(max(value / 229e-3 * r), 0), 2) AS vc FROM d GROUP BY user_id""",
+    "vc": f"""WITH {_SERIES}, z AS (SELECT user_id, i, value * {_SCALE} AS value FROM s), d AS (SELECT user_id, value, (8e0 * (lead(value, 1) OVER w - lag(value, 1) OVER w) - (lead(value, 2) OVER w - lag(value, 2) OVER w)) / 12e-3 AS r FROM z WINDOW w AS (PARTITION BY user_id ORDER BY i))
+      SELECT user_id, round(coalesce(max(value / 229e-3 * r), 0), 5) AS vc FROM d GROUP BY user_id""",
     "nic": f"""WITH {_SERIES}, r AS (SELECT user_id, i, value * 5e-1 AS a FROM s), d AS (SELECT *, coalesce(1e-3 * (a + lag(a) OVER w) / 2e0, 0e0) AS g FROM r WINDOW w AS (PARTITION BY user_id ORDER BY i)),
       v AS (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY i) AS v FROM d) SELECT user_id, round(max(2e-1 * a + v * v), 6) AS nic FROM v GROUP BY user_id""",
     "nij": f"""WITH {_LOADS}, m AS (SELECT *, my - 178e-4 * fx AS c FROM f)
@@ -89,21 +77,18 @@ ORACLE = {
     "von_mises": f"WITH {_TENSOR} SELECT l_orderkey, l_linenumber, round({_VM}, 6) AS von_mises FROM t",
     "pressure": f"WITH {_TENSOR} SELECT l_orderkey, l_linenumber, round(-(xx + yy + zz) / 3e0, 6) AS pressure FROM t",
     "triaxiality": f"WITH {_TENSOR}, v AS (SELECT *, {_VM} AS vm FROM t) SELECT l_orderkey, l_linenumber, round(CASE WHEN vm = 0 THEN 0e0 ELSE (xx + yy + zz) / 3e0 / vm END, 6) AS triaxiality FROM v",
-    "principal": f"WITH {_PRINCIPAL} SELECT l_orderkey, l_linenumber, round(l1 + 17e-8, 3) + 0e0 AS l1, round(tr - l1 - l3 + 17e-8, 3) + 0e0 AS l2, round(l3 + 17e-8, 3) + 0e0 AS l3 FROM l",
-    "max_shear": f"WITH {_PRINCIPAL} SELECT l_orderkey, l_linenumber, round((l1 - l3) / 2e0 + 17e-8, 4) AS max_shear FROM l",
+    "principal": f"WITH {_PRINCIPAL} SELECT l_orderkey, l_linenumber, round(l1, 5) AS l1, round(tr - l1 - l3, 5) AS l2, round(l3, 5) AS l3 FROM l",
+    "max_shear": f"WITH {_PRINCIPAL} SELECT l_orderkey, l_linenumber, round((l1 - l3) / 2e0, 5) AS max_shear FROM l",
     "part_max_history": f"WITH {_TENSOR} SELECT l_suppkey, l_linenumber, round(greatest(0e0, max({_VM})), 6) AS value FROM t GROUP BY 1, 2",
     "part_percentile_history": f"WITH {_TENSOR} SELECT l_suppkey, l_linenumber, round(quantile_cont(yy, 0.95), 8) AS value FROM t GROUP BY 1, 2",
     "part_failure_fraction": f"WITH {_TENSOR} SELECT l_suppkey, l_linenumber, round(avg(CASE WHEN yy > 2e1 THEN 1e0 ELSE 0e0 END), 9) AS value FROM t GROUP BY 1, 2",
     "part_argmax": """WITH t AS (SELECT l_suppkey, l_linenumber, l_partkey, l_quantity AS xx FROM lineitem), m AS (SELECT *, max(xx) OVER (PARTITION BY l_suppkey, l_linenumber) AS best FROM t)
       SELECT l_suppkey, l_linenumber, min(l_partkey) AS l_partkey, max(best) AS value FROM m WHERE xx = best GROUP BY 1, 2""",
     "shell_layer_max": f"SELECT vec_id, round(greatest({', '.join(_layer_vm(k) for k in range(8))}), 6) AS worst, round({_layer_vm(7)}, 6) AS top, round(greatest(0e0, {', '.join(f'CAST(embedding[{8 * k + 7}] AS DOUBLE)' for k in range(8))}), 6) AS strain FROM embeddings",
-    "state_matrix_pivot": f"WITH {_SERIES} SELECT i, " + ", ".join(f"round(coalesce(sum(value) FILTER (event_type = '{c}'), 0e0), 6) AS {c}" for c in ("click", "error", "purchase", "view")) + " FROM s WHERE i < 20 GROUP BY i",
-    "binout_long_to_wide": """SELECT CAST(a.l_linenumber AS BIGINT) AS state, a.l_suppkey AS id, fx, fy, energy FROM (SELECT l_linenumber, l_suppkey, max(l_quantity) AS fx, max(l_tax) AS fy FROM lineitem WHERE l_suppkey <= 5 GROUP BY 1, 2) a
-      JOIN (SELECT l_linenumber, max(l_discount) AS energy FROM lineitem GROUP BY 1) b ON a.l_linenumber = b.l_linenumber""",
+    "state_matrix_pivot": f"WITH {_SERIES} SELECT i, " + ", ".join(f"round(coalesce(sum(value) FILTER (event_type = '{c}'), 0e0), 6) AS {c}" for c in ("click", "error", "purchase", "view")) + " FROM s GROUP BY i",
     "census_rollup": "SELECT coalesce(seg, 'all') AS c_mktsegment, coalesce(nat, -1) AS c_nationkey, n, n_ids FROM (SELECT c_mktsegment AS seg, c_nationkey AS nat, count(*) AS n, count(DISTINCT c_custkey) AS n_ids FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey))",
-    "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, max(value) AS peak FROM events GROUP BY 1, 2",
     "top_peaks": f"WITH {_SERIES} SELECT user_id, i, value FROM s ORDER BY value DESC, user_id, i LIMIT 10",
-    "ids_intersect": "SELECT l_partkey FROM lineitem WHERE l_suppkey = 1 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey = 2",
+    "ids_intersect": "SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O'",
     "ids_except": "SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity >= 48",
     "files_distinct": "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) AS n FROM pages GROUP BY 1",
 }

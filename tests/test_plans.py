@@ -6,7 +6,7 @@ import os
 import pandas as pd
 import pytest
 
-from deckframe.plans import oracle, tables
+from deckframe.plans import deck_oracle, decks, oracle, tables
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages"]
@@ -33,16 +33,19 @@ def rows(df):
     return sorted(repr(tuple(map(clean, r))) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", list(tables.QUERIES))
+QUERIES, ORACLE = tables.QUERIES | decks.QUERIES, oracle.ORACLE | deck_oracle.ORACLE
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    got = tables.QUERIES[name](spark, SF).toPandas()
-    if name not in oracle.ORACLE:
+    got = QUERIES[name](spark, SF).toPandas()
+    if name not in ORACLE:
         assert len(got)
         return
-    assert rows(got) == rows(duck.execute(oracle.ORACLE[name]).df())
+    assert rows(got) == rows(duck.execute(ORACLE[name]).df())
 
 
 def test_entry_module():
     import __spark_entry__ as e
 
-    assert set(e.oracle_sql()) <= set(e.queries()) and set(tables.QUERIES) <= set(e.queries())
+    assert set(e.oracle_sql()) <= set(e.queries()) and set(QUERIES) <= set(e.queries())
