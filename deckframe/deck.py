@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from deckframe import includes
 from deckframe.functions.text import canonical_base, parse_id, parse_int, parse_plain
-from deckframe.library import Field, Library, Schema, definition_of
+from deckframe.library import Field, Library, Schema, definition_of, is_known
 from deckframe.operators import ids as ops
 from deckframe.sources import cards, files
 from deckframe.sources import keyword as source
@@ -42,7 +42,9 @@ def parse_keyword_file(spark: SparkSession, path: str, library: Library | None =
 class Deck:
     def __init__(self, spark: SparkSession, nodes: Sequence[includes.FileNode], library: Library, content: Content | None = None) -> None:
         self.spark, self.nodes, self.library = spark, list(nodes), library
-        self.content = content or Content(spark, sorted({n.path for n in nodes}), library)
+        self.content = content or Content(spark, sorted({(n.path, n.byte_count) for n in nodes}), library)
+        #: Columns of ``files`` that ids are resolved within; a batch of decks has its ``deck_id`` here.
+        self.scope: tuple[str, ...] = ()
         self.edits: dict[tuple[str, int], bytes] = {}
 
     # what the walk found --------------------------------------------------------------------
@@ -53,6 +55,11 @@ class Deck:
         rows = [(i, n.path, n.parent, n.kind, n.depth, n.byte_count, n.offsets) for i, n in enumerate(self.nodes)]
         return self.spark.createDataFrame(rows, f"file_idx int, path string, parent_idx int, kind string, depth int, byte_count long, offsets {_OFFSETS}")
 
+    def _with_files(self, content: DataFrame, *columns: str, on: str = "path") -> DataFrame:
+        """``content`` in the deck's files. The files are sent to all tasks as long as they are a bounded number, so content stays where it is."""
+        own = self.files.select(on, *columns, *(c for c in self.scope if c not in content.columns))
+        return content.join(F.broadcast(own) if len(self.nodes) <= source.BROADCAST_ROWS else own, on)
+
     @functools.cached_property
     def includes(self) -> DataFrame:
         """file_idx, seq, kind, raw_path, resolved_path, is_there, offsets of every directive."""
@@ -78,20 +85,18 @@ class Deck:
     @functools.cached_property
     def blocks(self) -> DataFrame:
         """Every block in the deck's order keys (file_idx, block_idx); a file included twice counts twice."""
-        return self.content.blocks.join(self.files.select("file_idx", "path"), "path")
+        return self._with_files(self.content.blocks, "file_idx")
 
     def table(self, name: str) -> DataFrame:
         """The rows of a keyword by its library layout. The exact name counts: a ``_TITLE`` form is another table."""
         layout = self.library.find(name)
         if layout is None:
-            raise KeyError(f"no layout for *{name.upper()}")
+            raise KeyError(f"*{name.upper()} is known, but has no layout here: register one" if is_known(name) else f"no keyword is called *{name.upper()}")
         return self.table_with(Schema(name, layout.cards, layout.repeat))
 
     def table_with(self, schema: Schema) -> DataFrame:
-        found = self.content.blocks.where(F.upper("name") == schema.keyword.upper())
-        tasks = min(4 * self.spark.sparkContext.defaultParallelism, -(-self.total_bytes // source.CHUNK))
-        rows = source.rows(found, schema, tasks)
-        return rows.join(self.files.select("file_idx", "path"), "path").select("file_idx", "block_idx", "pos", *(c for c, _ in schema.columns()))
+        rows = source.rows(self.content.context, schema, self.content.n_ranges)
+        return self._with_files(rows, "file_idx").select("file_idx", "block_idx", "pos", *(c for c, _ in schema.columns()))
 
     def columns(self, name: str) -> dict:
         """The table as numpy arrays, in the deck's order."""
@@ -101,28 +106,28 @@ class Deck:
     def register_schema(self, schema: Schema) -> None:
         """Adds or replaces a layout. Its references are checked like any other's."""
         self.library.register(schema)
-        self.content = Content(self.spark, self.content.paths, self.library)
-        for name in ("blocks", "definitions", "references", "sites"):
+        self.content.forget_ids()
+        for name in ("definitions", "references", "sites"):
             self.__dict__.pop(name, None)
 
     # ids ------------------------------------------------------------------------------------
 
     def _logical(self, ids: DataFrame) -> DataFrame:
         """Joins content with the deck's files and shifts ids; candidates: one (kind, id) for each kind that the id may have."""
-        own = ids.withColumnRenamed("id", "phys_id").join(self.files.select("path", "file_idx", "offsets"), "path")
+        own = self._with_files(ids.withColumnRenamed("id", "phys_id"), "file_idx", "offsets")
         shifted = F.transform("kinds", lambda k: F.struct(k.alias("kind"), ops.shifted(F.col("phys_id"), ops.offset_of(k, F.col("offsets"))).alias("id")))
         return own.withColumn("candidates", shifted).drop("offsets", "path")
 
     def _placed(self, ids: DataFrame) -> DataFrame:
         """The same for ids of one kind: kind and id as plain columns, which stay in generated code."""
-        own = ids.withColumnRenamed("id", "phys_id").join(self.files.select("path", "file_idx", "offsets"), "path")
+        own = self._with_files(ids.withColumnRenamed("id", "phys_id"), "file_idx", "offsets")
         own = own.withColumn("kind", F.col("kinds")[0])
         return own.withColumn("id", ops.shifted(F.col("phys_id"), ops.offset_of(F.col("kind"), F.col("offsets")))).drop("offsets")
 
     @functools.cached_property
     def definitions(self) -> DataFrame:
         """kind, id (logical), phys_id, file_idx, block_idx, row, line, keyword, per_line."""
-        return self._placed(self.content.ids.where("role = 'def'")).select("kind", "id", "phys_id", "file_idx", "block_idx", "row", "line", "keyword", "per_line")
+        return self._placed(self.content.ids.where("role = 'def'")).select(*self.scope, "kind", "id", "phys_id", "path", "file_idx", "block_idx", "row", "line", "keyword", "per_line")
 
     @functools.cached_property
     def references(self) -> DataFrame:
@@ -132,35 +137,41 @@ class Deck:
     def dangling_connectivity(self) -> DataFrame:
         """The same columns for element lines whose nodes or parts are not defined.
 
-        Tasks first reduce each block to the different ids it refers to; those are joined. Lines are
-        read in place only for blocks that hold an id that failed.
+        Tasks first reduce each range of a file to the different ids it refers to; those are joined.
+        Lines are read in place only in ranges that hold an id that failed.
         """
-        defs = self.definitions.select("kind", "id")
-        asked = self._placed(self.content.distinct).select("file_idx", "path", "block_idx", "kind", "id")
-        failed = ops.dangling(asked, defs).persist()  # few; read twice
-        places = failed.select("path", "block_idx").distinct()
-        lines = self._placed(self.content.lines(places))
-        return lines.join(failed.select("file_idx", "block_idx", "kind", "id"), ["file_idx", "block_idx", "kind", "id"], "left_semi")
+        defs = self.definitions.select(*self.scope, "kind", "id")
+        asked = self._placed(self.content.distinct).select(*self.scope, "file_idx", "path", "chunk", "kind", "id")
+        failed = ops.dangling(asked, defs, self.scope, few=True, tracked=self._tracked()).persist()  # read twice
+        lines = self._placed(self.content.lines(failed.select("path", "chunk").distinct()))
+        return lines.join(ops.few_or_not(failed.select("file_idx", "chunk", "kind", "id")), ["file_idx", "chunk", "kind", "id"], "left_semi")
 
     @functools.cached_property
     def sites(self) -> DataFrame:
         """The first block that defines each (kind, id), of kinds that are not defined by line."""
-        return ops.first_sites(self.definitions.where("not per_line"), ["file_idx", "block_idx", "row"])
+        return ops.first_sites(self.definitions.where("not per_line"), ["file_idx", "block_idx", "row"], self.scope)
 
     def definition_counts(self) -> DataFrame:
-        return ops.census(self.definitions)
+        return ops.census(self.definitions, self.scope)
+
+    def _tracked(self) -> DataFrame:
+        """The kinds of which something is defined: a look at the packed ids, not at each."""
+        own = self.content.packed.where((F.col("role") == "def") & (F.size("id") > 0)).select("path", F.col("kinds")[0].alias("kind")).distinct()
+        return self._with_files(own).select(*self.scope, "kind").distinct()
 
     def dangling(self, connectivity: bool = False) -> DataFrame:
         """References that nothing in the deck defines: kinds, phys_id, file_idx, block_idx, row, line, keyword, field.
 
         References to one kind are an anti-join of ids; the few that may be of several kinds are folded.
         """
-        names = ["kinds", "phys_id", "file_idx", "block_idx", "row", "line", "keyword", "field"]
-        defs = self.definitions.select("kind", "id")
+        names = [*self.scope, "kinds", "phys_id", "file_idx", "block_idx", "row", "line", "keyword", "field"]
+        defs = self.definitions.select(*self.scope, "kind", "id")
         one = self._placed(self.content.ids.where((F.col("role") == "ref") & (F.size("kinds") == 1))).select(*names, "kind", "id")
         many = self.references.where(F.size("kinds") > 1)
         key = ["file_idx", "block_idx", "row", "field", "phys_id"]
-        found = ops.dangling(one, defs).select(*names).unionByName(ops.dangling_any(many, defs, key).select(*names))
+        found = ops.dangling(one, defs, self.scope, few=True, tracked=self._tracked()).select(*names)
+        if any(len(f.refs) > 1 for s in self.library.all() for c in s.cards for f in c.fields):
+            found = found.unionByName(ops.dangling_any(many, defs, key, self.scope).select(*names))
         return found.unionByName(self.dangling_connectivity().select(*names)) if connectivity else found
 
     # navigation -----------------------------------------------------------------------------
@@ -254,24 +265,33 @@ class Deck:
 class Content:
     """What files hold, whatever decks include them: persisted, so that each is read once."""
 
-    def __init__(self, spark: SparkSession, paths: Sequence[str], library: Library) -> None:
-        self.spark, self.paths, self.library = spark, list(paths), library
+    def __init__(self, spark: SparkSession, sizes: Sequence[tuple[str, int]], library: Library) -> None:
+        """``sizes``: (path, bytes) of the files."""
+        self.spark, self.sizes, self.library = spark, list(sizes), library
 
     @functools.cached_property
-    def blocks(self) -> DataFrame:
-        n = max(1, min(len(self.paths), 4 * self.spark.sparkContext.defaultParallelism))
-        paths = self.spark.createDataFrame([(p,) for p in self.paths], "path string").repartition(n, "path")
-        return source.blocks(paths).persist()
+    def _found(self) -> tuple[DataFrame, int]:
+        found, n = source.scanned(self.spark, self.sizes)
+        return found.persist(), n
+
+    @property
+    def n_ranges(self) -> int:
+        return self._found[1]
 
-    def _spread(self) -> DataFrame:
-        """Blocks dealt out so that a file of many blocks is many tasks."""
-        n = 2 * self.spark.sparkContext.defaultParallelism
-        return self.blocks.repartition(n, "path", F.floor(F.col("block_idx") / 2000)).sortWithinPartitions("path", "block_idx")
+    @functools.cached_property
+    def context(self) -> DataFrame:
+        """A row a range; it says what a task must know to read the range."""
+        sizes = self.spark.createDataFrame(self.sizes, "path string, byte_count long")
+        return source.contexts(self._found[0], F.broadcast(sizes) if len(self.sizes) <= source.BROADCAST_ROWS else sizes).persist()
+
+    @functools.cached_property
+    def blocks(self) -> DataFrame:
+        return source.blocks(self._found[0], F.broadcast(self.context) if self.n_ranges <= source.BROADCAST_ROWS else self.context)
 
     @functools.cached_property
     def packed(self) -> DataFrame:
-        """Definitions, and references of cards; those of lines in arrays."""
-        return source.packed_ids(self._spread(), self.library).persist()
+        """Definitions, and references of cards."""
+        return source.packed_ids(self.context, self.library, self.n_ranges).persist()
 
     @property
     def ids(self) -> DataFrame:
@@ -279,17 +299,26 @@ class Content:
 
     @property
     def distinct(self) -> DataFrame:
-        """The different ids that each block of elements refers to."""
-        return source.unpacked(source.packed_ids(self._spread().where(F.col("base").startswith("ELEMENT_")), self.library, "distinct"))
+        """The different ids that the element lines of each range refer to."""
+        return source.unpacked(source.packed_ids(self.context, self.library, self.n_ranges, "distinct"))
 
     def lines(self, places: DataFrame) -> DataFrame:
-        """References of the element lines in some blocks (path, block_idx)."""
-        return source.unpacked(source.packed_ids(self._spread().join(places, ["path", "block_idx"], "left_semi"), self.library, "conn"))
+        """References of the element lines in some ranges (path, chunk)."""
+        few = F.broadcast(places) if self.n_ranges <= source.BROADCAST_ROWS else places
+        return source.unpacked(source.packed_ids(self.context.join(few, ["path", "chunk"], "left_semi"), self.library, self.n_ranges, "conn"))
+
+    def forget_ids(self) -> None:
+        """After a change of layouts; what was found without them stays."""
+        if "packed" in self.__dict__:
+            self.__dict__.pop("packed").unpersist()
 
     def unpersist(self) -> None:
-        for name in ("blocks", "packed"):
+        self.forget_ids()
+        for name in ("context", "_found"):
             if name in self.__dict__:
-                self.__dict__.pop(name).unpersist()
+                kept = self.__dict__.pop(name)
+                (kept[0] if name == "_found" else kept).unpersist()
+        self.__dict__.pop("blocks", None)
 
 
 @dataclass

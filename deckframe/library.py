@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
-from types import SimpleNamespace
 
 from deckframe.functions.text import canonical_base
 
@@ -148,8 +147,32 @@ STARTER = [
     _layout("INCLUDE_TRANSFORM", "filename:s:80", "idnoff ideoff idpoff idmoff idsoff idfoff iddoff", "idroff"),
 ]
 
-#: Names of the starter set as attributes: ``Names.MAT_ELASTIC``.
-Names = SimpleNamespace(**{s.keyword: s.keyword for s in STARTER})
+#: Fixed value: the first words of keyword names. Any name that begins with one is known, with or without a layout here.
+FAMILIES = (
+    "AIRBAG ALE BATTERY BOUNDARY CASE CESE CHANGE CHEMISTRY COMMENT COMPONENT CONSTRAINED CONTACT CONTROL CONTROLLER COSIM DAMPING DATABASE DEFINE DEFORMABLE DELETE DUALCESE EF ELEMENT EM EOS "
+    "FATIGUE FREQUENCY HOURGLASS ICFD IGA INCLUDE INITIAL INTEGRATION INTERFACE KEYWORD LOAD LSO MAT MESH MODULE NODE PARAMETER PART PARTICLE PERTURBATION RAIL RIGID RIGIDWALL RVE SECTION SENSOR SET"
+).split()
+
+
+def is_known(name: str) -> bool:
+    """Whether a name is one of a keyword: a family, then words of capitals and digits."""
+    words = canonical_base(name).split("_")
+    return words[0] in FAMILIES and all(w.isascii() and w.replace("-", "").isalnum() for w in words)
+
+
+class _Names:
+    """Names of keywords as attributes: ``Names.MAT_ELASTIC`` is that text; a name of no family is an AttributeError."""
+
+    def __getattr__(self, name: str) -> str:
+        if name != name.upper() or not is_known(name):
+            raise AttributeError(f"no keyword is called {name}")
+        return name
+
+    def __dir__(self) -> list[str]:
+        return [s.keyword for s in STARTER]
+
+
+Names = _Names()
 
 #: Fixed value: codes by which run-time descriptions name what a field refers to.
 LINK_KINDS = {
@@ -172,6 +195,10 @@ class Library:
         base = canonical_base(name)
         return self.own.get(base) or self.starter.get(base)
 
+    def all(self) -> list[Schema]:
+        """Every layout that may be found."""
+        return list((self.starter | self.own).values())
+
     def register(self, schema: Schema) -> None:
         self.own[canonical_base(schema.keyword)] = schema
 

@@ -39,21 +39,36 @@ def shift(raw: int, offset: int) -> int:
     return 0 if raw == 0 else (abs(raw) + offset) * (1 if raw > 0 else -1)
 
 
-def dangling(refs: DataFrame, defs: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+#: Rows of ids up to which they are sent to all tasks (some 40 bytes each).
+FEW = 500_000
+
+
+def few_or_not(ids: DataFrame) -> DataFrame:
+    """``ids``, computed and kept; to be broadcast if it is few rows, else joined by shuffle."""
+    ids = ids.persist()
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
+def dangling(refs: DataFrame, defs: DataFrame, scope: Sequence[str] = (), few: bool = False, tracked: DataFrame | None = None) -> DataFrame:
     """References (kind, id, ...) to one kind each that nothing defines.
 
     A left-anti join on (scope, kind, id), trying also the id without its sign. Conservative: a kind
     of which the scope defines nothing is not judged. The distinct ids are resolved first, so the
-    many rows that refer to one entity are joined once, by the few ids that fail.
+    many rows that refer to one entity are joined once, by the few ids that fail. With ``few`` those
+    ids are computed first and counted, and if they are few the references are not shuffled.
+    ``tracked`` (scope, kind) spares a look at all definitions, where it is known otherwise.
     """
     on = [*scope, "kind"]
     known = defs.select(*on, "id").distinct()
-    tracked = known.select(*on).distinct()
+    tracked = known.select(*on).distinct() if tracked is None else tracked
+    if not scope:
+        tracked = F.broadcast(tracked)  # a row a kind
     asked = refs.select(*on, "id").distinct().join(tracked, on, "left_semi")
     failed = asked.join(known, [*on, "id"], "left_anti")
     again = failed.where("id < 0").withColumn("_signed", F.col("id")).withColumn("id", -F.col("id"))
     saved = again.join(known, [*on, "id"], "left_semi").select(*on, F.col("_signed").alias("id"))
-    return refs.join(failed.join(saved, [*on, "id"], "left_anti"), [*on, "id"], "left_semi")
+    left = failed.join(saved, [*on, "id"], "left_anti")
+    return refs.join(few_or_not(left) if few else left, [*on, "id"], "left_semi")
 
 
 def dangling_any(refs: DataFrame, defs: DataFrame, key: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:

@@ -7,19 +7,16 @@ order, with rule_seq.
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deckframe.deck import CardRow, Deck
-from deckframe.functions.text import canonical_base, has_title, parse_plain
-from deckframe.library import definition_of
+from deckframe.deck import Deck
+from deckframe.functions.text import canonical_base
 from deckframe.operators import ids as ops
 from deckframe.operators.predicates import Predicate, number_text
-from deckframe.sources import cards
 from deckframe.sources import keyword as source
 
 ERROR, WARNING, INFO = "Error", "Warning", "Info"
@@ -68,10 +65,10 @@ class Rule:
 
 
 def validate(deck: Deck, rules: Sequence[Rule]) -> DataFrame:
-    """All findings, with rule_seq to order them by rule."""
+    """All findings, with rule_seq to order them by rule, and for a batch with deck_id."""
     if not rules:
-        return deck.spark.createDataFrame([], f"rule_seq int, {FINDINGS}")
-    found = [r.run(deck).select(F.lit(k).alias("rule_seq"), "rule", "severity", "keyword", "file", "line", "message") for k, r in enumerate(rules)]
+        return deck.spark.createDataFrame([], f"{'deck_id int, ' if deck.scope else ''}rule_seq int, {FINDINGS}")
+    found = [r.run(deck).select(*deck.scope, F.lit(k).alias("rule_seq"), "rule", "severity", "keyword", "file", "line", "message") for k, r in enumerate(rules)]
     return functools.reduce(DataFrame.unionByName, found)
 
 
@@ -91,8 +88,8 @@ def custom(name: str, check: Callable[[Deck], DataFrame]) -> Rule:
 
 def _findings(df: DataFrame, deck: Deck, rule: str, severity: str, message: object) -> DataFrame:
     """Findings of rows that have file_idx, keyword and line."""
-    named = df.join(deck.files.select("file_idx", F.col("path").alias("file")), "file_idx")
-    return named.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "keyword", "file", F.col("line").cast("long").alias("line"), message.alias("message"))
+    named = deck._with_files(df.drop("path"), "path", on="file_idx").withColumnRenamed("path", "file")
+    return named.select(*deck.scope, F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "keyword", "file", F.col("line").cast("long").alias("line"), message.alias("message"))
 
 
 def keyword_forbidden(keyword: str) -> Rule:
@@ -107,34 +104,8 @@ def keyword_forbidden(keyword: str) -> Rule:
 
 def _block_fields(deck: Deck, base: str, fields: Sequence[str]) -> DataFrame:
     """One row for each keyword of a base: its order keys and, for every field, the text in the first card that has it (null if missing)."""
-    library = deck.library
-    found = deck.blocks.where(F.col("base") == base).select("file_idx", "path", "block_idx", "name", "body_start", "span_end", "line", "format")
-    wanted = list(dict.fromkeys(f.lower() for f in fields))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, data = None, b""
-        for batch in batches:
-            cells: dict[str, list] = {f: [] for f in wanted}
-            for b in batch.itertuples(index=False):
-                if b.path != path:
-                    path, data = b.path, source._mapped(b.path)
-                rows = cards.lines(bytes(data[b.body_start : b.span_end]))[int(has_title(b.name)) :]
-                layout, d = library.find(b.name), definition_of(canonical_base(b.name))
-                own = canonical_base(b.name) in library.own
-                for f in wanted:
-                    value = None
-                    if layout is not None:
-                        tile = (d and d.per_line) or (own and layout.repeat and len(layout.cards) == 1)
-                        for k in range(min(1, len(rows)) if tile else min(len(rows), len(layout.cards))):
-                            v = CardRow(rows[k], layout.cards[k].fields, b.format).field(f)
-                            if v is not None:
-                                value = v.raw
-                                break
-                    cells[f].append(value)
-            yield pd.DataFrame({"file_idx": batch["file_idx"], "block_idx": batch["block_idx"], "line": batch["line"], **{f"f_{f}": pd.Series(cells[f], dtype=object) for f in wanted}})
-
-    schema = "file_idx int, block_idx int, line long, " + ", ".join(f"f_{f} string" for f in wanted)
-    return found.sortWithinPartitions("path", "block_idx").mapInPandas(run, schema).withColumn("keyword", F.lit(base))
+    found = source.fields(deck.content.context, deck.library, base, list(dict.fromkeys(f.lower() for f in fields)), deck.content.n_ranges)
+    return deck._with_files(found, "file_idx").withColumn("keyword", F.lit(base))
 
 
 def _number(name: str):  # noqa: ANN202
@@ -148,14 +119,11 @@ def _text(name: str):  # noqa: ANN202
 
 
 def _shown(name: str):  # noqa: ANN202
-    """A field's value as messages show it."""
-    show = F.udf(lambda raw: number_text(_value(raw)) if raw is not None else None, "string")
-    return show(F.col(f"f_{name.lower()}"))
-
-
-def _value(raw: str) -> object:
-    number = parse_plain(raw)
-    return raw if number is None else number
+    """A field's value as messages show it (see ``number_text``): numbers without an exponent, whole ones without a point, other text as it is."""
+    n, raw = _number(name), _text(name)
+    fraction = F.regexp_replace(F.regexp_replace(n.cast("decimal(38,17)").cast("string"), "0+$", ""), r"\.$", "")
+    plain = F.when(n == F.floor(n), n.cast("decimal(38,0)").cast("string")).otherwise(fraction)
+    return F.when(F.isnan(n), F.lit("NaN")).when(F.abs(n) == float("inf"), F.when(n > 0, "inf").otherwise("-inf")).when(n.isNotNull(), plain).otherwise(raw)
 
 
 def field_forbidden_values(keyword: str, field: str, values: Sequence[object]) -> Rule:
@@ -212,7 +180,7 @@ def references_resolve(connectivity: bool = False) -> Rule:
 def duplicate_ids() -> Rule:
     """Every keyword of an id that several keywords define."""
     def check(deck: Deck) -> DataFrame:
-        bad = ops.duplicates(deck.definitions.where("not per_line"), sites=["file_idx", "block_idx", "line", "keyword", "row"])
+        bad = ops.duplicates(deck.definitions.where("not per_line"), deck.scope, sites=["file_idx", "block_idx", "line", "keyword", "row"])
         message = F.concat(F.lit("duplicate "), "kind", F.lit(" id "), F.col("id").cast("string"), F.lit(" — defined by "), F.col("n").cast("string"), F.lit(" keywords in the deck"))
         return _findings(_at_keyword(bad, deck), deck, "duplicate_ids", ERROR, message)
 
@@ -226,30 +194,31 @@ def _at_keyword(df: DataFrame, deck: Deck) -> DataFrame:
 
 def unreferenced_entities(kinds: Sequence[str] = LIBRARY_KINDS) -> Rule:
     def check(deck: Deck) -> DataFrame:
-        refs = deck.references.select(F.explode("candidates").alias("c")).select("c.kind", "c.id")
-        bad = ops.unreferenced(deck.sites.where(F.col("kind").isin(list(kinds))), refs)
+        refs = deck.references.select(*deck.scope, F.explode("candidates").alias("c")).select(*deck.scope, "c.kind", "c.id")
+        bad = ops.unreferenced(deck.sites.where(F.col("kind").isin(list(kinds))), refs, deck.scope)
         message = F.concat("kind", F.lit(" "), F.col("id").cast("string"), F.lit(" is defined but never referenced"))
         return _findings(_at_keyword(bad, deck), deck, "unreferenced_entities", WARNING, message)
 
     return Rule("unreferenced_entities", check)
 
 
-def _resolved(df: DataFrame, key: str, site: DataFrame) -> DataFrame:
+def _resolved(df: DataFrame, key: str, site: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """``df`` with the site of its ids; an id that has none falls back to the one without a sign, as in ``Deck.get``."""
-    known = site.select(F.col("id").alias("known"))
-    return df.join(known, df[key] == known["known"], "left").withColumn("id", F.coalesce("known", F.abs(key))).drop("known").join(site, "id").drop("id")
+    known = site.select(*scope, F.col("id").alias(key), F.col("id").alias("known"))
+    return df.join(known, [*scope, key], "left").withColumn("id", F.coalesce("known", F.abs(key))).drop("known").join(site, [*scope, "id"]).drop("id")
 
 
 def rigid_context() -> Rule:
     """Keywords for rigid bodies whose part resolves to a material that is not rigid: two hops over references and sites."""
     def check(deck: Deck) -> DataFrame:
+        scope = deck.scope
         fields = functools.reduce(lambda a, b: a | b, ((F.col("keyword") == k) & F.upper("field").isin(list(f)) for k, f in RIGID_FIELDS.items()))
-        asked = deck.references.where(fields & F.array_contains("kinds", "Part")).select("file_idx", "block_idx", "keyword", "field", F.col("candidates")[0]["id"].alias("pid"))
-        site = deck.sites.select("kind", "id", F.col("file_idx").alias("sf"), F.col("block_idx").alias("sb"), F.col("keyword").alias("sk"))
-        part = _resolved(asked, "pid", site.where("kind = 'Part'").select("id", "sf", "sb"))
+        asked = deck.references.where(fields & F.array_contains("kinds", "Part")).select(*scope, "file_idx", "block_idx", "keyword", "field", F.col("candidates")[0]["id"].alias("pid"))
+        site = deck.sites.select(*scope, "kind", "id", F.col("file_idx").alias("sf"), F.col("block_idx").alias("sb"), F.col("keyword").alias("sk"))
+        part = _resolved(asked, "pid", site.where("kind = 'Part'").select(*scope, "id", "sf", "sb"), scope)
         mid = deck.references.where(F.array_contains("kinds", "Material") & (F.col("keyword") == "PART")).select(F.col("file_idx").alias("sf"), F.col("block_idx").alias("sb"), F.col("candidates")[0]["id"].alias("mid"))
-        mats = site.where("kind = 'Material'").select("id", F.col("sk").alias("material"))
-        bad = _resolved(part.join(mid, ["sf", "sb"]), "mid", mats).where(~F.col("material").isin(list(RIGID_MATERIALS)))
+        mats = site.where("kind = 'Material'").select(*scope, "id", F.col("sk").alias("material"))
+        bad = _resolved(part.join(mid, ["sf", "sb"]), "mid", mats, scope).where(~F.col("material").isin(list(RIGID_MATERIALS)))
         message = F.concat("keyword", F.lit("."), F.upper("field"), F.lit(" references part "), F.col("pid").cast("string"), F.lit(", whose material *"), "material", F.lit(" is not *MAT_RIGID"))
         return _findings(_at_keyword(bad.withColumn("line", F.lit(0)), deck), deck, "rigid_context", ERROR, message)
 

@@ -19,6 +19,17 @@ from deckframe.sources import lsda
 LEAVES = "path string, branch string, state string, var string, file string, type int, data long, count long, little boolean"
 
 
+_PLACE = "struct<file:string,type:int,data:bigint,count:bigint,little:boolean>"
+
+
+def _place(leaf: lsda.Leaf, paths: Sequence[str]) -> tuple:
+    return paths[leaf.file], leaf.type, leaf.data, leaf.count, leaf.little
+
+
+def _leaf(place: dict) -> lsda.Leaf:
+    return lsda.Leaf(place["type"], place["data"], place["count"], 0, place["little"])
+
+
 def _is_state(name: str) -> bool:
     return len(name) > 1 and name[0] == "d" and name[1:].isascii() and name[1:].isdigit()
 
@@ -31,10 +42,28 @@ class Binout:
 
     # the tree -------------------------------------------------------------------------------
 
-    def read(self, *path: str) -> list[str] | np.ndarray:
-        """The names in a directory, or a dataset's values."""
-        node = self.tree.find(*path)
-        return sorted(node.children) if isinstance(node, lsda.Tree) else node.read(self.paths[node.file])
+    def read(self, *path: str, **select: object) -> list[str] | np.ndarray:
+        """What a path stands for.
+
+        A dataset gives its values; a branch with states the names of its variables; any other
+        directory its names; and a branch and a variable all states of it, (states,) or (states,
+        columns), of which ``id``, ``ids``, ``name`` or ``names`` selects columns.
+        """
+        if select:
+            if len(path) != 2:
+                raise ValueError("columns are selected of a branch and a variable")
+            return self.matrix(*path, **select)[1]
+        try:
+            node = self.tree.find(*path)
+        except KeyError:
+            if len(path) == 2 and any(path[1] in self.tree.find(path[0], s).children for s in self.states(path[0])):
+                values = self.matrix(*path)[1]
+                return values[:, 0] if values.shape[1] == 1 else values
+            raise
+        if not isinstance(node, lsda.Tree):
+            return node.read(self.paths[node.file])
+        first = next((k for k in sorted(node.children) if _is_state(k)), None)
+        return sorted(node.children if first is None else node.children[first].children)
 
     def read_many(self, paths: Sequence[Sequence[str]]) -> list[list[str] | np.ndarray]:
         return [self.read(*p) for p in paths]
@@ -44,7 +73,9 @@ class Binout:
         return np.array([]) if isinstance(got, list) or got.dtype.kind == "S" else got.astype(float)
 
     def channels(self, *path: str) -> list[str]:
-        return self.read(*path) if isinstance(self.tree.find(*path), lsda.Tree) else []
+        """The names in a directory as they are."""
+        node = self.tree.find(*path)
+        return sorted(node.children) if isinstance(node, lsda.Tree) else []
 
     def _meta(self, branch: str, name: str) -> bytes:
         got = self.read(branch, "metadata", name)
@@ -107,32 +138,29 @@ class Binout:
         states = self.states(branch)
         if variables is None:
             variables = sorted({v for s in states for v in self.tree.find(branch, s).children if v != "time"})
-        per_task = max(1, -(-len(states) // (4 * self.spark.sparkContext.defaultParallelism)))
-        paths, tree = self.paths, self.tree
-        jobs = []
-        for k in range(0, len(states), per_task):
-            cells = []
-            for s in states[k : k + per_task]:
-                own = tree.find(branch, s).children
-                t = own.get("time")
-                cells.append((s, t and (t, paths[t.file]), [(v, own[v], paths[own[v].file]) for v in variables if isinstance(own.get(v), lsda.Leaf)]))
-            jobs.append((k, cells))
+        cells = []
+        for state in states:
+            own = self.tree.find(branch, state).children
+            t = own.get("time")
+            clock = _place(t, self.paths) if isinstance(t, lsda.Leaf) and t.count else None
+            cells += [(state, clock, v, _place(own[v], self.paths)) for v in variables if isinstance(own.get(v), lsda.Leaf) and own[v].type != 11]
         wanted = None if columns is None else list(columns)
-        rows = self.spark.sparkContext.broadcast(dict(jobs))
-        base = self.spark.range(len(jobs), numPartitions=max(1, len(jobs))).select((F.col("id") * per_task).alias("k"))
+        tasks = max(1, min(len(states), 4 * self.spark.sparkContext.defaultParallelism))
+        base = self.spark.createDataFrame(cells, f"state string, clock {_PLACE}, var string, leaf {_PLACE}").repartition(tasks, "state")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            times: dict[tuple, float] = {}
             for batch in batches:
-                for k in batch.column(0).to_pylist():
-                    for state, t, cells in rows.value[k]:
-                        time = float(t[0].read(t[1])[0]) if t and t[0].count else 0.0
-                        for var, leaf, path in cells:
-                            if leaf.type == 11:
-                                continue
-                            col = np.arange(leaf.count) if wanted is None else np.array(wanted)
-                            value = leaf.read(path).astype(float) if wanted is None else leaf.read(path, wanted)
-                            n = len(col)
-                            yield pa.RecordBatch.from_arrays([pa.array([state] * n), pa.array(np.full(n, time)), pa.array(col.astype(np.int32)), pa.array([var] * n), pa.array(value)], names=["state", "time", "col", "var", "value"])
+                for cell in batch.to_pylist():
+                    state, clock = cell["state"], cell["clock"]
+                    if clock is not None and (key := (clock["file"], clock["data"])) not in times:
+                        times = {key: float(_leaf(clock).read(clock["file"])[0])}
+                    time = times[key] if clock is not None else 0.0
+                    leaf = _leaf(cell["leaf"])
+                    col = np.arange(leaf.count) if wanted is None else np.array(wanted)
+                    value = leaf.read(cell["leaf"]["file"], wanted).astype(float)
+                    n = len(col)
+                    yield pa.RecordBatch.from_arrays([pa.array([state] * n), pa.array(np.full(n, time)), pa.array(col.astype(np.int32)), pa.array([cell["var"]] * n), pa.array(value)], names=["state", "time", "col", "var", "value"])
 
         got = base.mapInArrow(run, "state string, time double, col int, var string, value double")
         own, legend = self.ids(branch), self._legend_or_none(branch)

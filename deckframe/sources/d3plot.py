@@ -1,7 +1,7 @@
 """State databases (d3plot) and interface-force files (intfor).
 
-The driver reads the control block, walks the geometry and indexes states; every state is a
-(file, offset), so tasks read runs of states by byte range. Values come as one row a
+The driver reads the control block, the sizes of the geometry and the times of states; every state is
+a (file, offset), so tasks read ranges of entities by byte range, geometry as well as results. Values come as one row a
 (state, entity) with an array of words. Words are little-endian, 4 or 8 bytes wide.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,9 +30,13 @@ WORDS = {
     "nwear": 59, "npresu": 60, "nshear": 61, "nforce": 62, "ngapc": 63,
 }
 CONTROL, EOF, PRESENT, INTFOR = 64, -999999.0, 1000, 4
+#: Entities that a task takes at a time, and files up to which the driver itself looks for states.
+ENTITIES, FILES = 65_536, 64
 #: The words of a connectivity record, the last one its part.
 CONNECTIVITY = {"solid": 9, "tshell": 9, "beam": 6, "shell": 5}
 COUNTS = {"solid": "nel8", "tshell": "nelth", "beam": "nel2", "shell": "nel4"}
+#: The flags of the SPH section, in order.
+SPH_FLAGS = ("words", "radius", "pressure", "stress", "plastic_strain", "density", "internal_energy", "neighbours", "strain", "mass", "history")
 GLOBALS = ("kinetic_energy", "internal_energy", "total_energy", "velocity_x", "velocity_y", "velocity_z")
 INTERFACE = ("wear", "pressure", "shear", "force", "gap")
 
@@ -131,37 +135,63 @@ def read_control(data: bytes | files.Ranged) -> Control:
     head = ints(0, size, CONTROL)
     signed = {"ndim", "it", "iu", "iv", "ia", "nv2d", "maxint", "ioshl1", "ioshl2", "ioshl3", "ioshl4", "idtdt", "npefg", "filetype", "icode"}
     c = Control(size, {k: int(head[w]) if k in signed else max(0, int(head[w])) for k, w in WORDS.items()})
+    if not c.iu:
+        raise Unsupported("no nodal displacement (IU is 0)")
     at = lambda w: int(ints(w, size)[0])
     natural = lambda w: max(0, at(w))
     if c.extra > 1:
         c.nt3d = natural(65)
-    w = CONTROL + c.extra
-    if c.ndim in (5, 7):
+
+    # The sections between the control block and the states, in the format's order: each says how
+    # many words it takes, and may note what it finds at its beginning.
+    def rigid_material(w: int) -> int:
         c.rigid_shells = natural(w)
-        w += 2 + c.nmmat
-    w += c.ialemat
-    if c.nmsph:
-        flags = [at(w + k) for k in range(11)]
-        c.sph_vars = max(0, sum(flags[1:8]) + abs(flags[8]) + flags[9]) + (0 if flags[0] == 10 else max(0, flags[10])) + 1
-        w += max(0, flags[0])
-    if 0 < c.npefg <= 10_000_000:
+        return 2 + c.nmmat
+
+    def sph(w: int) -> int:
+        flags = dict(zip(SPH_FLAGS, (at(w + k) for k in range(len(SPH_FLAGS))), strict=True))
+        history = 0 if flags["words"] == len(SPH_FLAGS) - 1 else max(0, flags["history"])
+        c.sph_vars = max(0, sum(flags[k] for k in SPH_FLAGS[1:8]) + abs(flags["strain"]) + flags["mass"]) + history + 1
+        return max(0, flags["words"])
+
+    def airbag(w: int) -> int:
         words, particle_words, particles, bag_words = (natural(w + k) for k in range(4))
         c.airbags = (c.npefg % 1000, words, particle_words, particles, bag_words)
-        w += 4 + (c.npefg // 1000 == 4) + 9 * (words + particle_words + bag_words)
-    c.coords = w
-    w += 3 * c.numnp + sum(CONNECTIVITY[b] * c.values[COUNTS[b]] for b in CONNECTIVITY) + c.narbs
-    if c.ndim in (8, 9):
-        c.rigids, w = natural(w), w + 1
-        for _ in range(c.rigids):
-            w += 2 + natural(w + 1)
-            w += 1 + natural(w)
-    w += 2 * c.nmsph + c.airbags[0] * c.airbags[1]
-    if c.ndim in (6, 9):
+        return 4 + (c.npefg // 1000 == 4) + 9 * (words + particle_words + bag_words)
+
+    def rigid_bodies(w: int) -> int:
+        c.rigids, end = natural(w), w + 1
+        for _ in range(min(c.rigids, size_in_words)):
+            end += 2 + natural(end + 1)
+            end += 1 + natural(end)
+        return end - w
+
+    def rigid_roads(w: int) -> int:
         nodes, c.roads = natural(w), natural(w + 2)
-        w += 4 + 4 * nodes
-        for _ in range(c.roads):
-            w += 2 + 4 * natural(w + 1)
-    c.geometry = w + 5 * c.nel48
+        end = w + 4 + 4 * nodes
+        for _ in range(min(c.roads, size_in_words)):
+            end += 2 + 4 * natural(end + 1)
+        return end - w
+
+    size_in_words = len(data) // size
+    before = [
+        (c.ndim in (5, 7), rigid_material), (True, c.ialemat), (c.nmsph > 0, sph), (c.npefg > 0, airbag),
+    ]
+    behind = [
+        (True, 3 * c.numnp), *((True, words * c.values[COUNTS[b]]) for b, words in CONNECTIVITY.items()), (True, c.narbs),
+        (c.ndim in (8, 9), rigid_bodies), (True, 2 * c.nmsph), (True, lambda _: c.airbags[0] * c.airbags[1]), (c.ndim in (6, 9), rigid_roads), (True, 5 * c.nel48),
+    ]
+
+    def through(w: int, sections: list) -> int:
+        for there, words in sections:
+            if there:
+                w += words(w) if callable(words) else words
+            if w > size_in_words:
+                raise BadHeader("the geometry reaches past the end of the file")
+        return w
+
+    c.coords = through(CONTROL + c.extra, before)
+    c.geometry = through(c.coords, behind)
     return c
 
 
@@ -174,27 +204,63 @@ def family(base: str) -> list[str]:
     return [base, *(os.path.join(os.path.dirname(base), n) for _, n in sorted(numbered))]
 
 
+def _column(values: np.ndarray) -> pa.Array:
+    """Numbers, or rows of numbers as lists."""
+    if values.ndim == 1:
+        return pa.array(values)
+    n, k = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)), pa.array(np.ascontiguousarray(values).ravel()))
+
+
 def _words(path: str, word: int, at: int, n: int, kind: str = "f") -> np.ndarray:
     with files.open_file(path) as f:
         f.seek(at)
         return np.frombuffer(f.read(n * word), f"<{kind}{word}")
 
 
+def state_times(path: str, at: int, size: int, word: int) -> list[tuple[int, float]]:
+    """(offset, time) of the states of one file. An end marker ends this file only."""
+    out, total = [], files.size(path)
+    with files.open_file(path) as f:
+        while at + size <= total:
+            f.seek(at)
+            time = float(np.frombuffer(f.read(word), f"<f{word}")[0])
+            if time == EOF:
+                break
+            out.append((at, time))
+            at += size
+    return out
+
+
 class D3plot:
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.files = spark, family(base)
         with files.Ranged(self.files[0]) as data:
             self.control = read_control(data)
-        if not self.control.iu:
-            raise Unsupported("no nodal displacement (IU is 0)")
-        self.states: list[tuple[int, int, float]] = []  # file, byte offset, time
-        size = self.control.state_bytes
-        for k, path in enumerate(self.files):
-            at, total = (self.control.geometry * self.control.word if k == 0 else 0), files.size(path)
-            # an end marker ends this file only
-            while size and at + size <= total and (t := float(_words(path, self.control.word, at, 1)[0])) != EOF:
-                self.states.append((k, at, t))
-                at += size
+        #: (file, byte offset, time) of every state
+        self.states: list[tuple[int, int, float]] = []
+        size, word = self.control.state_bytes, self.control.word
+        starts = [(k, p, self.control.geometry * word if k == 0 else 0) for k, p in enumerate(self.files)]
+        for k, found in self._times(starts if size else []):
+            self.states += [(k, at, t) for at, t in found]
+
+    def _times(self, starts: list[tuple[int, str, int]]) -> list[tuple[int, list[tuple[int, float]]]]:
+        """For each file the offsets and times of its states: a file is opened once, and many files by tasks."""
+        size, word = self.control.state_bytes, self.control.word
+        if len(starts) <= FILES:
+            return [(k, state_times(p, at, size, word)) for k, p, at in starts]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k, p, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    found = state_times(p, at, size, word)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int32()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())], names=["k", "at", "time"])
+
+        jobs = self.spark.createDataFrame(starts, "k int, path string, at long").repartition(4 * self.spark.sparkContext.defaultParallelism, "k")
+        out: dict[int, list] = {k: [] for k, *_ in starts}
+        for r in jobs.mapInArrow(run, "k int, at long, time double").collect():
+            out[r.k].append((r.at, r.time))
+        return [(k, sorted(v)) for k, v in out.items()]
 
     # geometry -------------------------------------------------------------------------------
 
@@ -223,12 +289,18 @@ class D3plot:
         """User ids of node, solid, beam, shell, tshell or part; 1, 2, 3 and so on without a numbering section."""
         c = self.control
         sizes = {"node": c.numnp, "solid": c.nel8, "beam": c.nel2, "shell": c.nel4, "tshell": c.nelth, "part": c.nmmat}
+        w = self._ids_at(what)
+        return np.arange(1, sizes[what] + 1) if w is None else self._geometry(w, sizes[what], "i").astype(np.int64)
+
+    def _ids_at(self, what: str) -> int | None:
+        """The word where user ids begin, None without a numbering section."""
+        c = self.control
+        sizes = {"node": c.numnp, "solid": c.nel8, "beam": c.nel2, "shell": c.nel4, "tshell": c.nelth, "part": c.nmmat}
         if not c.narbs or not sizes[what]:
-            return np.arange(1, sizes[what] + 1)
+            return None
         w = self._connectivity_at("shell") + CONNECTIVITY["shell"] * c.nel4
         head = 16 if self._geometry(w, 1, "i")[0] < 0 else 10
-        skip = sum(n for k, n in list(sizes.items())[: list(sizes).index(what)])
-        return self._geometry(w + head + skip, sizes[what], "i").astype(np.int64)
+        return w + head + sum(n for k, n in list(sizes.items())[: list(sizes).index(what)])
 
     def part_titles(self) -> dict[int, str]:
         """User part ids to titles, from the section behind an end marker after the geometry."""
@@ -285,34 +357,82 @@ class D3plot:
         """state, time, entity (from 0), vars. A task reads a run of states, and of each only the block's bytes."""
         if name not in self.control.layout or name.startswith("_"):
             raise Unsupported(f"no block {name}")
+        return self._read(name, states)
+
+    def _read(self, name: str, states: int | Sequence[int] | None = None, beside: Sequence[str] = (), part: tuple[str, int] | None = None) -> DataFrame:
+        """The block, with columns of the geometry beside it, for all entities or those of one part.
+
+        A task has a range of entities and a run of states. It reads the geometry of its range once
+        and then, of each state, just the bytes from the range's first wanted entity to its last.
+        ``beside``: any of node_id, start, element_id, part_index, part_id. ``part``: (part_index or
+        part_id, value). Nothing is joined and nothing but the rows asked for leaves the task.
+        """
         at, n, k = self.control.layout[name]
         if not n * k:
             raise Unsupported(f"the file has no {name}")
         word, wanted = self.control.word, self.select_states(states)
+        chunks, parallel = -(-n // ENTITIES), 4 * self.spark.sparkContext.defaultParallelism
+        groups = max(1, min(len(wanted), -(-parallel // chunks)))
         index = self.state_index if states is None else self.state_index.where(F.col("state").isin(wanted))
-        tasks = max(1, min(len(wanted), 4 * self.spark.sparkContext.defaultParallelism))
+        run_of = F.pmod("state", F.lit(groups))
+        jobs = index.groupBy(run_of.alias("g")).agg(F.sort_array(F.collect_list(F.struct("state", "file", "offset", "time"))).alias("states"))
+        jobs = jobs.select("g", "states", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")).repartition(min(parallel, chunks * groups), "g", "chunk")
+        places = self._places(name, beside, part)
+        numbers = self.ids("part") if {"part_id"} & {*beside, *(part or ())[:1]} else None  # a row a part
+        kinds = {"node_id": "long", "start": "array<double>", "element_id": "long", "part_index": "int", "part_id": "long"}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for state, path, offset, time in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    values = _words(path, word, offset + at * word, n * k).astype(float)
-                    for a in range(0, n, 65_536):
-                        b = min(n, a + 65_536)
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * k + 1, k, dtype=np.int32)), pa.array(values[a * k : b * k]))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, state, np.int32)), pa.array(np.full(b - a, time)), pa.array(np.arange(a, b, dtype=np.int32)), lists], names=["state", "time", "entity", "vars"])
-
-        return index.repartition(tasks).mapInArrow(run, "state int, time double, entity int, vars array<double>")
+                for job in batch.to_pylist():
+                    a, b = job["chunk"] * ENTITIES, min(n, (job["chunk"] + 1) * ENTITIES)
+                    own = {c: read(a, b) for c, read in places.items()}
+                    if numbers is not None:
+                        p = own["part_index"]
+                        own["part_id"] = np.where((p >= 1) & (p <= len(numbers)), numbers[np.clip(p - 1, 0, max(0, len(numbers) - 1))] if len(numbers) else p, p)
+                    keep = np.arange(b - a) if part is None else np.flatnonzero(own[part[0]] == part[1])
+                    if not len(keep):
+                        continue
+                    lo, hi = int(keep[0]), int(keep[-1]) + 1
+                    extra = [_column(own[c][keep].astype(np.int32) if c == "part_index" else own[c][keep]) for c in beside]
+                    for s in job["states"]:
+                        values = _words(s["file"], word, s["offset"] + (at + (a + lo) * k) * word, (hi - lo) * k).astype(float).reshape(-1, k)[keep - lo]
+                        m = len(keep)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(m, s["state"], np.int32)), pa.array(np.full(m, s["time"])), pa.array((keep + a).astype(np.int32)), _column(values), *extra], names=["state", "time", "entity", "vars", *beside],
+                        )
+
+        return jobs.mapInArrow(run, "state int, time double, entity int, vars array<double>" + "".join(f", {c} {kinds[c]}" for c in beside))
+
+    def _places(self, name: str, beside: Sequence[str], part: tuple[str, int] | None) -> dict[str, Callable[[int, int], np.ndarray]]:
+        """For each column of the geometry how a task reads it for a range of entities."""
+        c, base, word = self.control, self.files[0], self.control.word
+        need, out = {*beside, *(part or ())[:1]}, {}
+
+        def reader(first: int, k: int, kind: str, column: int | None = None) -> Callable[[int, int], np.ndarray]:
+            def read(a: int, b: int) -> np.ndarray:
+                got = _words(base, word, (first + a * k) * word, (b - a) * k, kind).astype(float if kind == "f" else np.int64)
+                return got if k == 1 else got.reshape(-1, k) if column is None else got.reshape(-1, k)[:, column]
+            return read
+
+        if "start" in need:
+            out["start"] = reader(c.coords, 3, "f")
+        for column, what in (("node_id", "node"), ("element_id", name)):
+            if column in need:
+                w = self._ids_at(what)
+                out[column] = reader(w, 1, "i") if w is not None else lambda a, b: np.arange(a + 1, b + 1)
+        if need & {"part_index", "part_id"}:
+            k = CONNECTIVITY[name]
+            out["part_index"] = reader(self._connectivity_at(name), k, "i", k - 1)
+        return out
 
     def nodes(self, states: int | Sequence[int] | None = None) -> DataFrame:
         """state, time, node_id, x, y, z: current coordinates, which is what the displacement block holds."""
-        ids = self.spark.createDataFrame([(i, int(x)) for i, x in enumerate(self.ids("node"))], "entity int, node_id long")
-        return self.block("displacement", states).join(ids, "entity").select("state", "time", "node_id", *(F.col("vars")[i].alias(a) for i, a in enumerate("xyz")))
+        return self._read("displacement", states, ["node_id"]).select("state", "time", "node_id", *(F.col("vars")[i].alias(a) for i, a in enumerate("xyz")))
 
     def displacement_magnitude(self, states: int | Sequence[int] | None = None) -> DataFrame:
         """state, entity, value: how far each node is from where it began."""
-        x0 = self.spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(self.node_coordinates())], "entity int, start array<double>")
         moved = F.aggregate(F.zip_with("vars", "start", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        return self.block("displacement", states).join(x0, "entity").select("state", "time", "entity", F.sqrt(moved).alias("value"))
+        return self._read("displacement", states, ["start"]).select("state", "time", "entity", F.sqrt(moved).alias("value"))
 
     def max_final_displacement(self) -> float:
         return float(self.displacement_magnitude(-1).agg(F.max("value")).first()[0] or 0.0)
@@ -342,11 +462,7 @@ class D3plot:
         """state, time, entity, element_id, part_index (from 1), part_id, vars."""
         if block == "shell" and self.control.rigid_shells:
             raise Unsupported("shells of rigid bodies have no results, so shells cannot be told by their place")
-        _, parts = self.connectivity(block)
-        own = self.ids("part")
-        part_id = lambda p: int(own[p - 1]) if 1 <= p <= len(own) else int(p)
-        names = self.spark.createDataFrame([(i, int(e), int(p), part_id(int(p))) for i, (e, p) in enumerate(zip(self.ids(block), parts, strict=True))], "entity int, element_id long, part_index int, part_id long")
-        return self.block(block, states).join(names, "entity").select("state", "time", "entity", "element_id", "part_index", "part_id", "vars")
+        return self._read(block, states, ["element_id", "part_index", "part_id"]).select("state", "time", "entity", "element_id", "part_index", "part_id", "vars")
 
     def element(self, block: str, state: int, entity: int) -> np.ndarray:
         """The words of one element in one state: one read of its bytes."""
@@ -360,8 +476,9 @@ class D3plot:
     def _part(self, block: str, part_index: int | None, part_id: int | None) -> DataFrame:
         if (part_index is None) == (part_id is None):
             raise ValueError("give part_index or part_id")
-        rows = self.elements(block)
-        return rows.where(F.col("part_index") == part_index if part_id is None else F.col("part_id") == part_id)
+        if block == "shell" and self.control.rigid_shells:
+            raise Unsupported("shells of rigid bodies have no results, so shells cannot be told by their place")
+        return self._read(block, part=("part_id", part_id) if part_index is None else ("part_index", part_index))
 
     def part_max_history(self, block: str, quantity: Column, part_index: int | None = None, part_id: int | None = None) -> DataFrame:
         """state, value: the largest quantity (a Column over ``vars``) of a part's elements, 0 at least."""

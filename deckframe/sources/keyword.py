@@ -1,32 +1,44 @@
-"""Readers of keyword files as Arrow batches: blocks, typed rows, and ids.
+"""Readers of keyword files as Arrow batches: blocks, typed rows, ids and fields.
 
-Rows keep explicit order keys (block_idx, pos); nothing relies on the order of partitions. Files
-are read by byte range, so one file of any size is many tasks.
+A file of any size is many tasks: it is cut into ranges of ``CHUNK`` bytes, and a line belongs to the
+range of its first byte. A first pass looks at each range alone and notes its keywords, how many
+lines it has and how its last keyword goes on. From these notes, a row a range, windows make what a
+range must know of those before it (its *context*): the number of its first block and line, and the
+keyword that is open where it begins. All later passes read a range with its context, so no file is
+read as a whole and no block is shuffled. Inside a range lines are handled as columns.
+
+Rows keep explicit order keys (block_idx, pos); nothing relies on the order of partitions.
 """
 
 from __future__ import annotations
 
-import mmap
-import os
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
 
 from deckframe.functions.text import canonical_base, has_title, parse_float, parse_id, parse_int
-from deckframe.library import FLOAT, INT, STR, Field, Library, Schema, definition_of
+from deckframe.library import FLOAT, INT, STR, Card, Field, Library, Schema, definition_of
 from deckframe.sources import cards, files
 
-#: Bytes of a block that one task reads.
+#: Bytes of a file that one task reads at a time.
 CHUNK = 8 << 20
-BLOCK_SCHEMA = "path string, block_idx int, name string, base string, options array<string>, span_start long, span_end long, name_start long, body_start long, line long, format string, title_offset int"
-#: Ids of a column of lines come packed: ``ids`` holds those of rows row, row + 1 and so on, null where there is none.
-ID_SCHEMA = "path string, block_idx int, row int, line long, keyword string, field string, role string, per_line boolean, kinds array<string>, ids array<long>"
+#: Rows up to which a table of ranges or files is broadcast (some 300 bytes each); beyond it the join is by shuffle.
+BROADCAST_ROWS = 100_000
+HEAD_SCHEMA = (
+    "path string, chunk int, n int, name string, base string, options array<string>, span_start long, span_end long, name_start long, body_start long, line long, title_offset int, "
+    "lines long, long_format boolean, tail_rows long, names array<string>"
+)
+_HEAD_NAMES = [c.strip().split()[0] for c in HEAD_SCHEMA.split(", ")]
+#: Ids of one keyword's field, as parallel arrays.
+ID_SCHEMA = "path string, chunk int, keyword string, field string, role string, per_line boolean, kinds array<string>, block_idx array<int>, row array<int>, line array<long>, id array<long>"
+_ID_NAMES = [c.split()[0] for c in ID_SCHEMA.split(", ")]
 PACK = 1 << 16
 
 
@@ -36,22 +48,223 @@ def read_range(path: str, start: int = 0, end: int | None = None) -> bytes:
         return f.read() if end is None else f.read(end - start)
 
 
-def blocks(paths: DataFrame) -> DataFrame:
-    """The blocks of every file in ``paths`` (path)."""
+def _aligned(path: str, start: int, end: int, first: bool, last: bool) -> tuple[int, bytes]:
+    """(offset, bytes) of the lines that begin in a range: a line belongs to the range of its first byte."""
+    skip = 0 if first else 1
+    data = read_range(path, start - skip, end)
+    if skip:
+        cut = data.find(b"\n") + 1
+        if not cut:
+            return end, b""
+        start, data = start - 1 + cut, data[cut:]
+    if not last and data and not data.endswith(b"\n"):
+        data += _line_from(path, end)
+    return start, data
+
+
+def _line_from(path: str, at: int) -> bytes:
+    """The bytes from a place to the end of its line."""
+    out = b""
+    with files.open_file(path) as f:
+        f.seek(at)
+        while more := f.read(4096):
+            stop = more.find(b"\n")
+            if stop >= 0:
+                return out + more[: stop + 1]
+            out += more
+    return out
+
+
+def _trivia_from(path: str, at: int) -> int:
+    """Where the run of blank and comment lines that ends at a place begins."""
+    size = 4096
+    while True:
+        begin = max(0, at - size)
+        data = read_range(path, begin, at)
+        if begin:
+            cut = data.find(b"\n") + 1
+            begin, data = begin + cut, data[cut:]
+        found = cards._trivia(data, len(data))
+        if found or not begin or at - size <= 0:
+            return begin + found
+        size *= 8
+
+
+def _data_lines_from(path: str, at: int, want: int) -> bytes:
+    """The lines from a place on until ``want`` data lines are there, or a keyword begins."""
+    out, found, rest = b"", 0, b""
+    with files.open_file(path) as f:
+        f.seek(at)
+        while found < want:
+            more = f.read(1 << 16)
+            rest += more
+            *whole, rest = rest.split(b"\n") if more else [rest, b""]
+            for x in whole:
+                if x[:1] == b"*" or found == want:
+                    return out
+                found += not cards.skippable(x)
+                out += x + (b"\n" if more or rest else b"")
+            if not more:
+                break
+    return out
+
+
+class Part:
+    """The lines of one range: which are keywords, which data, and for each its keyword and its place among that one's data lines.
+
+    Block 0 is the keyword that is open where the range begins; 1, 2 and so on begin in it. ``tail``
+    adds up to so many data lines behind the range to its last keyword; ``owned`` counts the others.
+    """
+
+    def __init__(self, job: dict, tail: int = 0) -> None:
+        self.job, self.path = job, job["path"]
+        self.begin, data = _aligned(self.path, job["a"], job["b"], job["first"], job["last"])
+        own = len(data)
+        if tail and not job["last"] and data:
+            data += _data_lines_from(self.path, self.begin + own, tail)
+        raw = np.frombuffer(data, np.uint8)
+        ends = np.flatnonzero(raw == 10) + 1
+        if len(raw) and (not len(ends) or ends[-1] != len(raw)):
+            ends = np.append(ends, len(raw))
+        self.starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+        self.ends, self.owned = ends, int(np.searchsorted(self.starts, own)) if len(ends) else 0
+        offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
+        self.lines = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(data)])
+        self.newlines = int(np.count_nonzero(raw[:own] == 10))
+        self.head = raw[self.starts] == 42 if len(ends) else np.zeros(0, bool)
+        self.skip = np.asarray(pc.match_substring_regex(self.lines, r"^[ \t\r\n]*(\$|$)")) if len(ends) else np.zeros(0, bool)
+        self.at = np.flatnonzero(self.head)
+        coded = self.lines.take(pa.array(self.at)).dictionary_encode()
+        self.code, self.spelled = np.asarray(coded.indices), [_spelled(x) for x in coded.dictionary.to_pylist()]
+        self.block = np.cumsum(self.head)
+        data_line = ~self.head & ~self.skip
+        run = np.cumsum(data_line)
+        before = np.concatenate([[-(job.get("open_rows") or 0)], run[self.at]]).astype(np.int64)
+        self.row = np.where(data_line, run - 1 - before[self.block], -1)
+
+    @property
+    def format(self) -> str:
+        return cards.LONG if self.job["long_format"] else cards.FIXED
+
+    def block_names(self) -> tuple[list[str], np.ndarray]:
+        """(names, the number of its name for each block)."""
+        names = [x[0] for x in self.spelled] + [self.job["open_name"] or ""]
+        return names, np.concatenate([[len(names) - 1], self.code]).astype(np.int64)
+
+    def block_idx(self) -> np.ndarray:
+        return np.arange(self.job["block0"] - 1, self.job["block0"] + len(self.at), dtype=np.int32)
+
+    def block_line(self) -> np.ndarray:
+        return np.concatenate([[self.job["open_line"] or 0], self.job["line0"] + 1 + self.at]).astype(np.int64)
+
+    def cells(self, at: np.ndarray, widths: Sequence[int]) -> list[pa.Array]:
+        """The fields of some lines as trimmed text."""
+        return _cells(self.lines.take(pa.array(at)), widths, self.format)
+
+
+def _spelled(line: bytes) -> tuple[str, list[str], bool]:
+    """(name, options, whether it asks for the long format) of a keyword line."""
+    line = line.rstrip(b"\n")
+    name = cards._NAME.match(line)
+    return cards.text(name[1]), line[name.end() :].decode(errors="replace").split(), line[1:8].upper() == b"KEYWORD" and cards._LONG.match(line) is not None
+
+
+# ranges and their context -------------------------------------------------------------------
+
+_RANGE = "path string, chunk int, a long, b long, first boolean, last boolean"
+
+
+def ranges(sizes: Sequence[tuple[str, int]]) -> Iterator[tuple]:
+    """(path, chunk, a, b, first, last) of files with their sizes."""
+    for path, size in sizes:
+        n = max(1, -(-size // CHUNK))
+        for k in range(n):
+            yield path, k, k * CHUNK, min(size, (k + 1) * CHUNK), k == 0, k == n - 1
+
+
+def heads(part: Part) -> pa.RecordBatch:
+    """A row for each keyword that begins in a range, and one (n = -1) for the range itself."""
+    n, own, spelled = len(part.at), part.owned, part.spelled
+    plain = np.maximum.accumulate(np.where(part.skip[:own], -1, np.arange(own)))
+    first = np.concatenate([[-1], plain])[part.at] + 1  # the lines where the trivia above keywords begin
+    spans = (part.begin + part.starts[first]).astype(np.int64)
+    if n and first[0] == 0 and not part.job["first"]:
+        spans[0] = _trivia_from(part.path, part.begin)
+    whole, text, flag, texts = pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string())
+
+    def column(values: pa.Array | np.ndarray | None, kind: pa.DataType, last: object) -> pa.Array:
+        each = pa.nulls(n, kind) if values is None else values if isinstance(values, pa.Array) else pa.array(values, kind)
+        return pa.concat_arrays([each, pa.array([last], kind)])
+
+    take = lambda values, kind: pa.array(values, kind).take(pa.array(part.code))
+    return pa.RecordBatch.from_arrays([
+        pa.array([part.path] * (n + 1)), pa.array(np.full(n + 1, part.job["chunk"], np.int32)), column(np.arange(n, dtype=np.int32), pa.int32(), -1),
+        column(take([x[0] for x in spelled], text), text, spelled[part.code[-1]][0] if n else None),
+        column(take([canonical_base(x[0]) for x in spelled], text), text, None),
+        column(take([x[1] for x in spelled], texts), texts, None),
+        column(spans, whole, int(spans[0]) if n else None),
+        pa.concat_arrays([pa.array(spans[1:], whole), pa.nulls(2 if n else 1, whole)]),
+        column((part.begin + part.starts[part.at]).astype(np.int64), whole, None),
+        column((part.begin + part.ends[part.at]).astype(np.int64), whole, None),
+        column((part.at + 1).astype(np.int64), whole, int(part.at[-1]) + 1 if n else None),
+        column(take([int(has_title(x[0])) for x in spelled], pa.int32()), pa.int32(), None),
+        column(None, whole, part.newlines), column(None, flag, any(x[2] for x in spelled)),
+        column(None, whole, int(np.count_nonzero((part.block[:own] == n) & (part.row[:own] >= 0)))),
+        column(None, texts, sorted({x[0].upper() for x in spelled})),
+    ], names=_HEAD_NAMES)
+
+
+def scanned(spark: SparkSession, sizes: Sequence[tuple[str, int]]) -> tuple[DataFrame, int]:
+    """(rows of ``heads`` for all ranges of some files, the number of ranges)."""
+    jobs = list(ranges(sizes))
+    frame = spark.createDataFrame(jobs, _RANGE).repartition(_tasks(spark, len(jobs)), "path", "chunk")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                found = cards.split_blocks(read_range(path))
-                for at in range(0, len(found), 50_000):
-                    part = found[at : at + 50_000]
-                    n = len(part)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([path] * n), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array([b.name for b in part]), pa.array([canonical_base(b.name) for b in part]),
-                        pa.array([list(b.options) for b in part], pa.list_(pa.string())), *(pa.array([getattr(b, k) for b in part], pa.int64()) for k in ("start", "end", "name_start", "body_start", "line")),
-                        pa.array([b.fmt for b in part]), pa.array([int(has_title(b.name)) for b in part], pa.int32()),
-                    ], names=["path", "block_idx", "name", "base", "options", "span_start", "span_end", "name_start", "body_start", "line", "format", "title_offset"])
+            for job in batch.to_pylist():
+                yield heads(Part(job))
+
+    return frame.mapInArrow(run, HEAD_SCHEMA), len(jobs)
+
+
+def _tasks(spark: SparkSession, jobs: int) -> int:
+    return max(1, min(jobs, max(4 * spark.sparkContext.defaultParallelism, jobs // 16)))
+
+
+def contexts(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """What each range must know: its bytes, block0, line0, long_format, next_start (where the first keyword behind it begins), open_name, open_line, open_rows, names.
+
+    ``found``: rows of ``heads``; ``sizes``: path, byte_count. Windows over one row a range.
+    """
+    count = found.where("n >= 0").groupBy("path", "chunk").agg(F.count(F.lit(1)).alias("own"))
+    rows = found.where("n = -1").select("path", "chunk", F.col("name").alias("last_name"), F.col("span_start").alias("first_start"), F.col("line").alias("last_line"), "lines", "long_format", "tail_rows", "names")
+    rows = rows.join(count, ["path", "chunk"], "left").join(sizes, "path").withColumn("own", F.coalesce("own", F.lit(0)))
+    w = Window.partitionBy("path").orderBy("chunk")
+    before, behind = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.select(
+        "*", F.coalesce(F.sum("own").over(before), F.lit(0)).cast("int").alias("block0"), F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("line0"),
+        F.max("long_format").over(Window.partitionBy("path")).alias("is_long"), F.first("first_start", ignorenulls=True).over(behind).alias("next_start"), F.last("last_name", ignorenulls=True).over(before).alias("open_name"),
+    )
+    rows = rows.withColumn("through", F.col("block0") + F.col("own")).withColumn("at_line", F.col("line0") + F.col("last_line"))
+    kept = F.sum("tail_rows").over(Window.partitionBy("path", "through").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("kept", kept).withColumn("open_rows", F.coalesce(F.lag("kept").over(w), F.lit(0))).withColumn("open_line", F.last("at_line", ignorenulls=True).over(before))
+    a = F.col("chunk").cast("long") * CHUNK
+    return rows.select(
+        "path", "chunk", a.alias("a"), F.least(F.col("byte_count"), a + CHUNK).alias("b"), (F.col("chunk") == 0).alias("first"), (a + CHUNK >= F.col("byte_count")).alias("last"),
+        "block0", "line0", F.col("is_long").alias("long_format"), "byte_count", "next_start", "open_name", "open_line", "open_rows", "names",
+    )
+
 
-    return paths.select("path").mapInArrow(run, BLOCK_SCHEMA)
+def blocks(found: DataFrame, context: DataFrame) -> DataFrame:
+    """path, block_idx, name, base, options, span_start, span_end, name_start, body_start, line, format, title_offset."""
+    own = found.where("n >= 0").select("path", "chunk", "n", "name", "base", "options", "span_start", "span_end", "name_start", "body_start", "line", "title_offset")
+    end = F.coalesce("span_end", "next_start", "byte_count")
+    return own.join(context.select("path", "chunk", "block0", "line0", "long_format", "next_start", "byte_count"), ["path", "chunk"]).select(
+        "path", (F.col("block0") + F.col("n")).cast("int").alias("block_idx"), "name", "base", "options",
+        # what stands above a file's first keyword belongs to it, whatever it is
+        F.when(F.col("block0") + F.col("n") == 0, F.lit(0).cast("long")).otherwise(F.col("span_start")).alias("span_start"), end.alias("span_end"), "name_start", F.least("body_start", end).alias("body_start"),
+        (F.col("line0") + F.col("line")).alias("line"), F.when(F.col("long_format"), cards.LONG).otherwise(cards.FIXED).alias("format"), "title_offset",
+    )
 
 
 # typed rows ---------------------------------------------------------------------------------
@@ -86,6 +299,16 @@ def _text(column: pa.Array) -> pa.Array:
         return pa.array([cards.text(x) for x in column.to_pylist()], pa.string())
 
 
+def _cells(lines: pa.Array, widths: Sequence[int], fmt: str) -> list[pa.Array]:
+    """The fields of lines, free or in columns line by line, as trimmed text."""
+    free = np.asarray(pc.match_substring(lines, b",")) if fmt != cards.FREE else np.ones(len(lines), bool)
+    if free.all() or not free.any():
+        return _fields(lines, widths, cards.FREE if free.any() else fmt)
+    back = pa.array(np.argsort(np.concatenate([np.flatnonzero(free), np.flatnonzero(~free)]), kind="stable"))
+    some, rest = _fields(lines.filter(pa.array(free)), widths, cards.FREE), _fields(lines.filter(pa.array(~free)), widths, fmt)
+    return [pa.concat_arrays([a, b]).take(back) for a, b in zip(some, rest, strict=True)]
+
+
 def _fields(lines: pa.Array, card_widths: Sequence[int], fmt: str) -> list[pa.Array]:
     """The fields of lines that are all free, or all in columns, as trimmed text."""
     if fmt == cards.FREE:
@@ -103,127 +326,60 @@ def _fields(lines: pa.Array, card_widths: Sequence[int], fmt: str) -> list[pa.Ar
     return out
 
 
-def parse_rows(body: bytes, base: int, schema: Schema, fmt: str) -> tuple[np.ndarray, list[pa.Array]]:
-    """(byte offset of every row, columns) of a block's body that starts at ``base`` in its file."""
-    raw = np.frombuffer(body, np.uint8)
-    ends = np.flatnonzero(raw == 10) + 1
-    if not len(ends) or ends[-1] != len(raw):
-        ends = np.append(ends, len(raw))
-    starts = np.concatenate([[0], ends[:-1]])
-    every = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([starts, ends[-1:]]).astype(np.int32)), pa.py_buffer(body)])
-    data = np.asarray(pc.invert(pc.match_substring_regex(every, r"^[ \t\r\n]*(\$|$)")))
-    lines, starts = every.filter(pa.array(data)), starts[data]
-    k = len(schema.cards)
-    rows = len(lines) // k if schema.repeat else int(len(lines) >= k)
-    columns: list[pa.Array] = []
-    for c, card in enumerate(schema.cards):
-        own = lines.take(pa.array(np.arange(c, rows * k, k)))
-        free = np.asarray(pc.match_substring(own, b",")) if fmt != cards.FREE else np.ones(len(own), bool)
-        if free.all() or not free.any():
-            cells = _fields(own, card.widths, cards.FREE if free.any() else fmt)
-        else:
-            back = pa.array(np.argsort(np.concatenate([np.flatnonzero(free), np.flatnonzero(~free)]), kind="stable"))
-            some, rest = _fields(own.filter(pa.array(free)), card.widths, cards.FREE), _fields(own.filter(pa.array(~free)), card.widths, fmt)
-            cells = [pa.concat_arrays([a, b]).take(back) for a, b in zip(some, rest, strict=True)]
+def _columns(schema: Schema, by_card: list[list[pa.Array]], n: int) -> list[pa.Array]:
+    """Typed columns from the cells of each card."""
+    out: list[pa.Array] = []
+    for card, cells in zip(schema.cards, by_card, strict=True):
         at = 0
         for f in card.fields:
             typed = [_typed(x, f.type) for x in cells[at : at + f.count]]
             at += f.count
             if f.count == 1:
-                columns.append(typed[0])
+                out.append(typed[0])
             else:
-                turn = pa.array(np.arange(rows * f.count).reshape(f.count, rows).T.ravel())
-                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, rows * f.count + 1, f.count, dtype=np.int32)), pa.concat_arrays(typed).take(turn)))
-    return base + starts[: rows * k : k], columns
-
-
-def _aligned(path: str, start: int, end: int, first: bool, last: bool) -> tuple[int, bytes]:
-    """(offset, bytes) of the lines that begin in a range: a line belongs to the range of its first byte."""
-    skip = 0 if first else 1
-    data = read_range(path, start - skip, end)
-    if skip:
-        cut = data.find(b"\n") + 1
-        if not cut:
-            return end, b""
-        start, data = start - 1 + cut, data[cut:]
-    if not last and data and not data.endswith(b"\n"):
-        with files.open_file(path) as f:
-            f.seek(end)
-            while (more := f.read(4096)) and (stop := more.find(b"\n")) < 0:
-                data += more
-            data += more[: stop + 1] if more else b""
-    return start, data
-
+                turn = pa.array(np.arange(n * f.count).reshape(f.count, n).T.ravel())
+                out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, n * f.count + 1, f.count, dtype=np.int32)), pa.concat_arrays(typed).take(turn)))
+    return out
 
-def rows(found: DataFrame, schema: Schema, tasks: int = 0) -> DataFrame:
-    """Typed rows of blocks (path, block_idx, body_start, span_end, format), in chunks of lines.
 
-    Blocks of several cards a row, or of one row only, are read whole. ``tasks`` spreads the chunks.
-    """
-    split = schema.repeat and len(schema.cards) == 1
-    size = F.col("span_end") - F.col("body_start")
-    n = F.greatest(F.lit(1), F.ceil(size / CHUNK)).cast("int") if split else F.lit(1)
-    step = F.ceil(size / F.col("n")).cast("long")
-    parts = found.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    parts = parts.select(
-        "path", "block_idx", (F.col("body_start") + F.col("k") * step).alias("a"), F.least("span_end", F.col("body_start") + (F.col("k") + 1) * step).alias("b"),
-        (F.col("k") == 0).alias("first"), (F.col("k") == F.col("n") - 1).alias("last"), "format",
-    )
-    if tasks > 1:
-        parts = parts.repartition(tasks, "path", "block_idx", "a")
-    names = [c for c, _ in schema.columns()]
+def part_rows(part: Part, schema: Schema) -> pa.RecordBatch:
+    """Rows of one keyword whose first card begins in a range."""
+    names, code = part.block_names()
+    wanted = np.array([x.upper() == schema.keyword.upper() for x in names])[code]
+    k = len(schema.cards)
+    data = np.flatnonzero((part.row >= 0) & wanted[part.block]) if len(part.block) else np.zeros(0, np.int64)
+    row, block = part.row[data], part.block[data]
+    begin = (row % k == 0 if schema.repeat else row == 0) & (data < part.owned)
+    # a row is whole if its last card is there, in the same block
+    last = np.flatnonzero(begin) + k - 1
+    whole = last < len(data)
+    whole[whole] = block[last[whole]] == block[last[whole] - k + 1]
+    first = last[whole] - k + 1
+    by_card = [part.cells(data[first + c], card.widths) for c, card in enumerate(schema.cards)]
+    pos = part.begin + part.starts[data[first]] if len(first) else np.zeros(0, np.int64)
+    head = [pa.array([part.path] * len(first), pa.string()), pa.array(part.block_idx()[block[first]], pa.int32()), pa.array(pos.astype(np.int64))]
+    return pa.RecordBatch.from_arrays([*head, *_columns(schema, by_card, len(first))], names=["path", "block_idx", "pos", *(c for c, _ in schema.columns())])
+
+
+def rows(context: DataFrame, schema: Schema, n_ranges: int) -> DataFrame:
+    """Typed rows of a keyword. Only ranges that have the keyword are read."""
+    name = schema.keyword.upper()
+    jobs = context.where(F.array_contains("names", name) | (F.upper("open_name") == name))
+    tail = len(schema.cards) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p in batch.to_pylist():
-                at, body = _aligned(p["path"], p["a"], p["b"], p["first"], p["last"])
-                pos, columns = parse_rows(body, at, schema, p["format"])
-                if len(pos):
-                    yield pa.RecordBatch.from_arrays([pa.array([p["path"]] * len(pos)), pa.array(np.full(len(pos), p["block_idx"], np.int32)), pa.array(pos.astype(np.int64)), *columns], names=["path", "block_idx", "pos", *names])
+            for job in batch.to_pylist():
+                yield part_rows(Part(job, tail), schema)
 
-    return parts.mapInArrow(run, row_schema(schema))
-
-
-# ids ----------------------------------------------------------------------------------------
+    return _dealt(jobs, n_ranges).mapInArrow(run, row_schema(schema))
 
 
-def block_ids(body: bytes, block_line: int, name: str, fmt: str, library: Library) -> Iterator[tuple]:
-    """(row, line, field, role, per_line, kinds, id) of what a block that does not define by line defines and refers to."""
-    base = canonical_base(name)
-    layout = library.find(name)
-    if layout is None:
-        return
-    d = definition_of(base)
-    own = base in library.own
-    refs = any(f.refs for c in layout.cards for f in c.fields)
-    if not (d or refs):
-        return
-    title = int(has_title(name))
-    widths = [[f.width for f in c.fields for _ in range(f.count)] for c in layout.cards]
-    for k, line in enumerate(cards.lines(body)):
-        row = k - title
-        if row < 0:
-            continue
-        c = 0 if own and layout.repeat and len(layout.cards) == 1 else row
-        if c >= len(layout.cards):
-            break
-        cells = None
-        if d and row == d.card:
-            cells = cards.slices(line, widths[c], fmt)
-            if (i := parse_id(cards.text(cells[0]))) is not None:
-                yield row, block_line + k, layout.cards[c].fields[0].name, "def", False, [d.kind], i
-        at = 0
-        for f in layout.cards[c].fields:
-            if f.refs:
-                cells = cells or cards.slices(line, widths[c], fmt)
-                for x in cells[at : at + f.count]:
-                    if i := parse_id(cards.text(x)):
-                        yield row, block_line + k, f.name, "ref", False, list(f.refs), i
-            at += f.count
+def _dealt(jobs: DataFrame, n_ranges: int) -> DataFrame:
+    return jobs.repartition(_tasks(jobs.sparkSession, n_ranges), "path", "chunk")
 
 
-_ID_NAMES = [c.split()[0] for c in ID_SCHEMA.split(", ")]
-_ID_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64())]
+# ids ----------------------------------------------------------------------------------------
 
 
 def _id_values(column: pa.Array) -> pa.Array:
@@ -234,94 +390,142 @@ def _id_values(column: pa.Array) -> pa.Array:
         return pa.array([parse_id(x) for x in column.to_pylist()], pa.int64())
 
 
-def line_ids(path: str, block: dict, body: bytes, library: Library, want: str) -> Iterator[tuple]:
-    """The ids of a block that defines by every line, column by column instead of line by line.
-
-    ``want``: ``def`` for definitions; ``conn`` for references in place; ``distinct`` for the
-    different ids that each group of columns of one kind refers to.
-    """
-    base, layout = canonical_base(block["name"]), library.find(block["name"])
-    card, title = layout.cards[0], int(has_title(block["name"]))
-    as_text = Schema(base, (type(card)(tuple(Field(f.name, STR, f.width, f.count) for f in card.fields)),))
-    _, columns = parse_rows(body, 0, as_text, block["format"])
-    kind, groups = definition_of(base).kind, {}
-    for k, f in enumerate(card.fields):
-        if f.count > 1 or (k > 0 if want == "def" else not f.refs):
-            continue
-        value = _id_values(columns[k].slice(title))
-        if want == "distinct":
-            groups.setdefault(f.refs, []).append(value)
-            continue
-        value = value if want == "def" else pc.if_else(pc.equal(value, 0), pa.scalar(None, pa.int64()), value)
-        for at in range(0, len(value), PACK):
-            yield path, block["block_idx"], at, block["line"] + title + at, base, f.name, want, True, [kind] if want == "def" else list(f.refs), value.slice(at, PACK)
-    for refs, values in groups.items():
-        value = pc.unique(pa.concat_arrays(values))
-        value = value.filter(pc.fill_null(pc.not_equal(value, 0), False))
-        for at in range(0, len(value), PACK):
-            yield path, block["block_idx"], 0, block["line"], base, "", want, True, list(refs), value.slice(at, PACK)
+def _cards_of(layout: Schema, base: str, library: Library) -> list[tuple[int | None, Card]]:
+    """(data line, or None for every one, and the card that it is read by)."""
+    d = definition_of(base)
+    if d and d.per_line or base in library.own and layout.repeat and len(layout.cards) == 1:
+        return [(None, layout.cards[0])]
+    return list(enumerate(layout.cards))
 
 
-def packed_ids(found: DataFrame, library: Library, want: str = "def") -> DataFrame:
-    """Ids of blocks (path, block_idx, name, body_start, span_end, line, format), packed.
+def part_ids(part: Part, library: Library, want: str) -> Iterator[tuple]:
+    """(keyword, field, role, per_line, kinds, block_idx, row, line, ids) of what a range defines and refers to.
 
-    ``def`` gives definitions, and references of cards; ``conn`` and ``distinct`` only those of element lines.
+    ``def``: definitions, and references of cards; ``conn``: references of element lines, in place;
+    ``distinct``: the different ids that element lines refer to.
     """
+    names, code = part.block_names()
+    if not len(part.block):
+        return
+    which, idx, lines = code[part.block], part.block_idx(), part.block_line()
+    for u, name in enumerate(names):
+        base, layout = canonical_base(name), library.find(name)
+        d = definition_of(base)
+        lined = bool(d and d.per_line)
+        if layout is None or want != "def" and not lined:
+            continue
+        title = int(has_title(name))
+        own = np.flatnonzero((which == u) & (part.row >= title))
+        row = part.row[own] - title
+        for number, card in _cards_of(layout, base, library):
+            here = np.arange(len(own)) if number is None else np.flatnonzero(row == number)
+            if not len(here) or not (d or any(f.refs for f in card.fields)):
+                continue
+            cells, at, distinct = None, 0, {}
+            for k, f in enumerate(card.fields):
+                defines = want == "def" and d is not None and k == 0 and (lined or number is None or number == d.card)
+                refers = bool(f.refs) and (want == "def") != lined and not (lined and f.count > 1)
+                for j in range(at, at + f.count) if defines or refers else ():
+                    cells = cells or part.cells(own[here], card.widths)
+                    ids = _id_values(cells[j])
+                    if defines and j == 0:
+                        keep = np.flatnonzero(np.asarray(pc.is_valid(ids)) & (lined | (row[here] == d.card)))
+                        yield base, f.name, "def", lined, [d.kind], *_placed(part, ids, own[here], row[here], keep, idx, lines)
+                    if refers and want == "distinct":
+                        distinct.setdefault(f.refs, []).append(ids)
+                    elif refers:
+                        keep = np.flatnonzero(np.asarray(pc.fill_null(pc.not_equal(ids, 0), False)))
+                        yield base, f.name, "conn" if lined else "ref", lined, list(f.refs), *_placed(part, ids, own[here], row[here], keep, idx, lines)
+                at += f.count
+            for refs, values in distinct.items():
+                ids = pc.unique(pa.concat_arrays(values))
+                ids = np.asarray(ids.filter(pc.fill_null(pc.not_equal(ids, 0), False)))
+                void = np.zeros(len(ids), np.int64)
+                yield base, "", "distinct", True, list(refs), void, void, void, ids
+
+
+def _placed(part: Part, ids: pa.Array, own: np.ndarray, row: np.ndarray, keep: np.ndarray, idx: np.ndarray, lines: np.ndarray) -> tuple:
+    """(block_idx, row, line, ids) of the ids that are kept."""
+    at = own[keep]
+    return idx[part.block[at]], row[keep], lines[part.block[at]] + part.row[at], np.asarray(ids.take(pa.array(keep)))
+
+
+def packed_ids(context: DataFrame, library: Library, n_ranges: int, want: str = "def") -> DataFrame:
+    """The ids of ranges, an array of up to ``PACK`` a row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def full(got: list[tuple]) -> pa.RecordBatch:
-            *head, values = zip(*got, strict=True)
-            ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays([v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for v in values]))
-            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(head, _ID_TYPES, strict=False)), lists], names=_ID_NAMES)
-
-        path, data, got, size = None, None, [], 0
         for batch in batches:
-            for b in batch.to_pylist():
-                base = canonical_base(b["name"])
-                d = definition_of(base)
-                lined = bool(d and d.per_line)
-                if want != "def" and not lined or library.find(b["name"]) is None:
-                    continue
-                if b["path"] != path:
-                    path, data = b["path"], _mapped(b["path"])
-                body = bytes(data[b["body_start"] : b["span_end"]])
-                if lined:
-                    found_ = line_ids(path, b, body, library, want)
-                else:
-                    found_ = ((path, b["block_idx"], row, line, base, field, role, per_line, kinds, [i]) for row, line, field, role, per_line, kinds, i in block_ids(body, b["line"], b["name"], b["format"], library))
-                for row in found_:
-                    got.append(row)
-                    size += len(row[-1])
-                    if size >= PACK:
-                        yield full(got)
-                        got, size = [], 0
-        if got:
-            yield full(got)
-
-    return found.select("path", "block_idx", "name", "body_start", "span_end", "line", "format").mapInArrow(run, ID_SCHEMA)
+            for job in batch.to_pylist():
+                for *head, block, row, line, ids in part_ids(Part(job), library, want):
+                    for a in range(0, len(ids), PACK):
+                        arrays = [pa.array([v[a : a + PACK].astype(t)]) for v, t in zip((block, row, line, ids), (np.int32, np.int32, np.int64, np.int64), strict=True)]
+                        keyword, field, role, per_line, kinds = head
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array([job["path"]]), pa.array([job["chunk"]], pa.int32()), pa.array([keyword]), pa.array([field]), pa.array([role]), pa.array([per_line]), pa.array([kinds], pa.list_(pa.string())), *arrays,
+                        ], names=_ID_NAMES)
+
+    return _dealt(context, n_ranges).mapInArrow(run, ID_SCHEMA)
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
-    """A row an id, with its own row and line."""
-    each = packed.select("*", F.posexplode("ids").alias("_k", "id")).where("id is not null")
-    return each.select("path", "block_idx", (F.col("row") + F.col("_k")).alias("row"), (F.col("line") + F.col("_k")).alias("line"), "keyword", "field", "role", "per_line", "kinds", "id")
+    """A row an id, with its own block, row and line."""
+    return packed.select("path", "chunk", "keyword", "field", "role", "per_line", "kinds", F.inline(F.arrays_zip("block_idx", "row", "line", "id")))
+
 
+# fields -------------------------------------------------------------------------------------
 
-def _mapped(path: str) -> mmap.mmap | files.Ranged | bytes:
-    """A file's bytes to be sliced: mapped, or fetched by range."""
-    if files.is_uri(path):
-        return files.Ranged(path)
-    with open(path, "rb") as f:
-        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.fstat(f.fileno()).st_size else b""
+
+def fields(context: DataFrame, library: Library, base: str, wanted: Sequence[str], n_ranges: int) -> DataFrame:
+    """path, block_idx, line, and f_NAME for each field: its text in the first card that has it, null without that line. A row a keyword."""
+    like = [base, f"{base}_TITLE", f"{base}_ID", f"{base}_ID_TITLE"]
+    jobs = context.where(F.arrays_overlap("names", F.array(*(F.lit(x) for x in like))))
+    layout = library.find(base)
+    places: dict[str, tuple[int, int, Card]] = {}
+    if layout is not None:
+        for number, card in _cards_of(layout, base, library):
+            at = 0
+            for f in card.fields:
+                if f.name.lower() in wanted:
+                    places.setdefault(f.name.lower(), (number or 0, at, card))
+                at += f.count
+    tail = 1 + max((p[0] for p in places.values()), default=0) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for job in batch.to_pylist():
+                part = Part(job, tail)
+                names, code = part.block_names()
+                mine = np.flatnonzero(np.array([canonical_base(x) == base for x in names])[code[1:]]) + 1 if len(code) > 1 else np.zeros(0, np.int64)
+                if not len(mine):
+                    continue
+                title = np.array([int(has_title(x)) for x in names])[code]
+                row = part.row - title[part.block]
+                slot = np.full(len(code), -1)
+                slot[mine] = np.arange(len(mine))
+                out = []
+                for f in wanted:
+                    texts = pa.nulls(len(mine), pa.string())
+                    if f in places:
+                        number, at, card = places[f]
+                        own = np.flatnonzero((part.row >= title[part.block]) & (row == number) & (slot[part.block] >= 0))
+                        source = np.full(len(mine), -1)
+                        source[slot[part.block[own]]] = np.arange(len(own))
+                        texts = part.cells(own, card.widths)[at].take(pa.array(source, mask=source < 0))
+                    out.append(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.path] * len(mine)), pa.array(part.block_idx()[mine], pa.int32()), pa.array(part.block_line()[mine], pa.int64()), *out], names=["path", "block_idx", "line", *(f"f_{f}" for f in wanted)],
+                )
+
+    return _dealt(jobs, n_ranges).mapInArrow(run, "path string, block_idx int, line long, " + ", ".join(f"`f_{f}` string" for f in wanted))
 
 
 # spark.read.format("keyword") ---------------------------------------------------------------
 
 
 class KeywordSource(DataSource):
-    """``spark.read.format("keyword").option("keyword", "NODE").load(path)``: a keyword's rows of one file.
+    """``spark.read.format("keyword").option("keyword", "NODE").load(path)``: a keyword's rows of a file, or of a deck.
 
-    The layout comes from the starter library; a partition is a chunk of a block.
+    ``layouts``: further layouts as JSON (see ``Library.load_json``). ``includes``: ``true`` for the
+    files that the path includes, too. A partition is a range of a file.
     """
 
     @classmethod
@@ -329,7 +533,10 @@ class KeywordSource(DataSource):
         return "keyword"
 
     def _layout(self) -> Schema:
-        found = Library().find(self.options["keyword"])
+        library = Library()
+        if self.options.get("layouts"):
+            library.load_json(self.options["layouts"])
+        found = library.find(self.options["keyword"])
         if found is None:
             raise KeyError(self.options["keyword"])
         return Schema(self.options["keyword"].upper(), found.cards, found.repeat)
@@ -338,30 +545,44 @@ class KeywordSource(DataSource):
         return row_schema(self._layout())
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _KeywordReader(self.options["path"], self._layout())
+        return _KeywordReader(self.options["path"], self._layout(), self.options.get("includes", "false").lower() == "true")
 
 
-class _Chunk(InputPartition):
-    def __init__(self, block_idx: int, a: int, b: int, first: bool, last: bool, fmt: str) -> None:
-        self.block_idx, self.a, self.b, self.first, self.last, self.fmt = block_idx, a, b, first, last, fmt
+class _Range(InputPartition):
+    def __init__(self, job: dict) -> None:
+        self.job = job
 
 
 class _KeywordReader(DataSourceReader):
-    def __init__(self, path: str, layout: Schema) -> None:
-        self.path, self.layout = path, layout
+    def __init__(self, path: str, layout: Schema, includes: bool) -> None:
+        self.path, self.layout, self.includes = path, layout, includes
+
+    def _files(self) -> list[str]:
+        if not self.includes:
+            return [self.path]
+        from deckframe.includes import walk
+
+        return sorted({n.path for n in walk(self.path)})
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        split = self.layout.repeat and len(self.layout.cards) == 1
-        for k, b in enumerate(cards.split_blocks(read_range(self.path))):
-            if b.name.upper() == self.layout.keyword:
-                n = max(1, -(-(b.end - b.body_start) // CHUNK)) if split else 1
-                step = -(-(b.end - b.body_start) // n)
-                out += [_Chunk(k, b.body_start + i * step, min(b.end, b.body_start + (i + 1) * step), i == 0, i == n - 1, b.fmt) for i in range(n)]
-        return out or [_Chunk(-1, 0, 0, True, True, cards.FIXED)]
-
-    def read(self, partition: _Chunk) -> Iterator[pa.RecordBatch]:
-        at, body = _aligned(self.path, partition.a, partition.b, partition.first, partition.last)
-        pos, columns = parse_rows(body, at, self.layout, partition.fmt)
-        names = ["path", "block_idx", "pos", *(c for c, _ in self.layout.columns())]
-        yield pa.RecordBatch.from_arrays([pa.array([self.path] * len(pos), pa.string()), pa.array(np.full(len(pos), partition.block_idx, np.int32)), pa.array(pos.astype(np.int64)), *columns], names=names)
+        """Ranges with their context: files are looked through a range at a time, and only notes are kept."""
+        out = []
+        for path in self._files():
+            own, block0, line0, open_name, open_line, open_rows, is_long = [], 0, 0, None, 0, 0, False
+            for _, chunk, a, b, first, last in ranges([(path, files.size(path))]):
+                job = {"path": path, "chunk": chunk, "a": a, "b": b, "first": first, "last": last, "block0": block0, "line0": line0, "open_name": open_name, "open_line": open_line, "open_rows": open_rows, "long_format": False}
+                note = heads(Part(job)).to_pylist()
+                *found, end = note
+                if self.layout.keyword in {*end["names"], (open_name or "").upper()}:
+                    own.append(job)
+                is_long |= end["long_format"]
+                open_rows = end["tail_rows"] + (0 if found else open_rows)
+                if found:
+                    open_name, open_line = end["name"], line0 + end["line"]
+                block0, line0 = block0 + len(found), line0 + end["lines"]
+            out += [_Range(job | {"long_format": is_long}) for job in own]
+        return out or [_Range({})]
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        if partition.job:
+            yield part_rows(Part(partition.job, len(self.layout.cards) - 1), self.layout)

@@ -3,7 +3,7 @@
 Decks of a batch share their content: each distinct file is split into blocks and searched for ids
 once, whatever decks include it and with whatever offsets, because offsets are applied when content
 is joined with a deck's files. All decks are validated by one set of joins with ``deck_id`` in every
-key, so the number of jobs does not grow with the number of decks.
+key, so neither the plan nor the number of jobs grows with the number of decks.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from deckframe.deck import Content, Deck
 from deckframe.library import Library
 from deckframe.operators import ids as ops
 from deckframe.sources import files
+from deckframe.sources import keyword as source
 
 
 @dataclass(frozen=True)
@@ -59,11 +60,11 @@ class Workspace:
         """Adds decks. Content of all decks so far is one set of frames."""
         walked = [includes.walk(os.fspath(r), self._scan) for r in roots]
         old = self.decks[0].content if self.decks else None
-        paths = sorted({n.path for nodes in [*walked, *(d.nodes for d in self.decks)] for n in nodes})
-        if old is None or paths != old.paths:
+        sizes = sorted({(n.path, n.byte_count) for nodes in [*walked, *(d.nodes for d in self.decks)] for n in nodes})
+        if old is None or sizes != old.sizes:
             if old is not None:
                 old.unpersist()
-            content = Content(self.spark, paths, self.library)
+            content = Content(self.spark, sizes, self.library)
             for d in self.decks:
                 d.content = content
                 for name in ("blocks", "definitions", "references", "sites"):
@@ -80,51 +81,92 @@ class Workspace:
 
     # all decks at once ----------------------------------------------------------------------
 
+    @property
+    def batch(self) -> Batch:
+        """All decks as one, whose ids are resolved within each."""
+        return Batch(self)
+
     def _instances(self) -> tuple[DataFrame, DataFrame]:
-        """Files at their offsets, each once (inst, path, offsets), and which decks have them (deck_id, inst)."""
+        """Files at their offsets, each once (inst, path, offsets), and which decks have them (deck_id, inst, file_idx of the batch)."""
         number: dict[tuple, int] = {}
-        uses = {(k, number.setdefault((n.path, n.offsets), len(number))) for k, d in enumerate(self.decks) for n in d.nodes}
+        uses, at = [], 0
+        for k, d in enumerate(self.decks):
+            for n in d.nodes:
+                uses.append((k, number.setdefault((n.path, n.offsets), len(number)), at))
+                at += 1
         inst = self.spark.createDataFrame([(i, p, o) for (p, o), i in number.items()], "inst int, path string, offsets struct<" + ",".join(f"{o}:bigint" for o in ops.OFFSETS) + ">")
-        return inst, self.spark.createDataFrame(sorted(uses), "deck_id int, inst int")
+        few = lambda df: F.broadcast(df) if at <= source.BROADCAST_ROWS else df
+        return few(inst), few(self.spark.createDataFrame(uses, "deck_id int, inst int, file_idx int"))
 
     def _placed(self, content: DataFrame, inst: DataFrame) -> DataFrame:
-        """Content of one kind at its offsets: kind, id, phys_id and the rest, by inst."""
-        kind = F.col("kinds")[0]
+        """Content at the offsets of each instance: the candidates for each kind, and kind and id of the first."""
         own = content.withColumnRenamed("id", "phys_id").join(inst, "path")
-        return own.withColumn("kind", kind).withColumn("id", ops.shifted(F.col("phys_id"), ops.offset_of(kind, F.col("offsets")))).drop("offsets", "kinds")
+        shifted = F.transform("kinds", lambda k: F.struct(k.alias("kind"), ops.shifted(F.col("phys_id"), ops.offset_of(k, F.col("offsets"))).alias("id")))
+        kind = F.col("kinds")[0]
+        return own.withColumn("candidates", shifted).withColumn("kind", kind).withColumn("id", ops.shifted(F.col("phys_id"), ops.offset_of(kind, F.col("offsets")))).drop("offsets")
 
-    def dangling(self) -> DataFrame:
-        """deck_id, path, keyword, field, kind, id, phys_id, line of references to one kind that their deck does not define.
+    def dangling(self, connectivity: bool = False) -> DataFrame:
+        """deck_id, path, keyword, field, kinds, kind, id, phys_id, file_idx, block_idx, row, line of references that their deck does not define.
 
         What a file defines itself is settled once, for all decks that have the file at these
         offsets. Only ids that are left are taken to the decks, and only definitions of such ids,
-        so the work hardly grows with the number of decks.
+        so the work hardly grows with the number of decks. References that may be of several kinds
+        are few; they are folded within each deck.
         """
-        content, (inst, uses) = self.decks[0].content.ids, self._instances()
-        defs = self._placed(content.where("role = 'def'"), inst).select("inst", "kind", "id")
-        refs = self._placed(content.where((F.col("role") == "ref") & (F.size("kinds") == 1)), inst)
-        left = refs.select("inst", "kind", "id").distinct().join(defs, ["inst", "kind", "id"], "left_anti")
-        wanted = left.select("kind", F.explode(F.array("id", F.abs("id"))).alias("id")).distinct()
-        known = defs.join(wanted, ["kind", "id"], "left_semi").distinct().join(uses, "inst")
-        tracked = defs.select("inst", "kind").distinct().join(uses, "inst").select("deck_id", "kind").distinct()
-        asked = left.join(uses, "inst").join(tracked, ["deck_id", "kind"], "left_semi")
-        # a row of a kind that only marks it as tracked lets the shared operator judge
-        marks = tracked.withColumn("id", F.lit(None).cast("long"))
-        bad = ops.dangling(asked, known.select("deck_id", "kind", "id").unionByName(marks), ["deck_id"])
-        return refs.join(bad.select("deck_id", "inst", "kind", "id"), ["inst", "kind", "id"]).drop("inst", "role", "per_line")
+        content, (inst, uses) = self.decks[0].content, self._instances()
+        names = ["deck_id", "path", "keyword", "field", "kinds", "kind", "id", "phys_id", "file_idx", "block_idx", "row", "line"]
+        defs = self._placed(content.ids.where("role = 'def'"), inst).select("inst", "kind", "id")
+        cards = content.ids.where("role = 'ref'")
+        one, many = self._placed(cards.where(F.size("kinds") == 1), inst), self._placed(cards.where(F.size("kinds") > 1), inst)
+        asked = one.select("inst", "kind", "id")
+        lines = self._placed(content.distinct, inst).select("inst", "path", "chunk", "kind", "id") if connectivity else None
+        if lines is not None:
+            lines = lines.persist()  # read for what is left and for where it is
+            asked = asked.unionByName(lines.select("inst", "kind", "id"))
+        left = ops.few_or_not(asked.distinct().join(defs, ["inst", "kind", "id"], "left_anti"))
+        each = many.select(F.explode("candidates").alias("c")).select("c.kind", "c.id")
+        wanted = left.select("kind", "id").unionByName(each)
+        wanted = ops.few_or_not(wanted.select("kind", F.explode(F.array("id", F.abs("id"))).alias("id")).distinct())
+        known = defs.join(wanted, ["kind", "id"], "left_semi").distinct().join(uses, "inst").select("deck_id", "kind", "id")
+        kinds = content.packed.where((F.col("role") == "def") & (F.size("id") > 0)).select("path", F.col("kinds")[0].alias("kind")).distinct()
+        tracked = kinds.join(inst, "path").join(uses, "inst").select("deck_id", "kind").distinct()
+        # a row of a kind that only marks it as tracked lets the shared operators judge
+        known = known.unionByName(tracked.withColumn("id", F.lit(None).cast("long")))
+        bad = ops.dangling(left.join(uses, "inst"), known, ["deck_id"], tracked=tracked).select("deck_id", "inst", "file_idx", "kind", "id")
+        bad = ops.few_or_not(bad)
+        out = one.join(bad, ["inst", "kind", "id"]).select(*names)
+        if lines is not None:
+            places = lines.join(bad.select("inst", "kind", "id").distinct(), ["inst", "kind", "id"], "left_semi").select("path", "chunk").distinct()
+            out = out.unionByName(self._placed(content.lines(places), inst).join(bad, ["inst", "kind", "id"]).select(*names))
+        if any(len(f.refs) > 1 for s in self.library.all() for c in s.cards for f in c.fields):
+            several = ops.dangling_any(many.join(uses, "inst"), known, ["file_idx", "block_idx", "row", "field", "phys_id"], ["deck_id"])
+            out = out.unionByName(several.select(*names))
+        return out
 
     def duplicates(self) -> DataFrame:
         """deck_id, kind, id, path, block_idx, keyword, n of ids that several keywords of a deck define."""
-        inst, uses = self._instances()
-        defs = self._placed(self.decks[0].content.ids.where("role = 'def' and not per_line"), inst).join(uses, "inst")
-        return ops.duplicates(defs, ["deck_id"], ["path", "block_idx", "keyword"])
+        return ops.duplicates(self.batch.definitions.where("not per_line"), ["deck_id"], ["path", "block_idx", "keyword"])
 
     def census(self) -> DataFrame:
         """deck_id, kind, n."""
-        inst, uses = self._instances()
-        return ops.census(self._placed(self.decks[0].content.ids.where("role = 'def'"), inst).select("inst", "kind", "id").join(uses, "inst"), ["deck_id"])
+        return self.batch.definition_counts()
 
     def validate_decks(self, of: Sequence[rules.Rule]) -> DataFrame:
-        """deck_id and the findings of every deck: what validating each alone gives."""
-        found = [rules.validate(d, of).withColumn("deck_id", F.lit(k)) for k, d in enumerate(self.decks)]
-        return functools.reduce(DataFrame.unionByName, found)
+        """deck_id and the findings of every deck: what validating each alone gives. One plan, whatever the number of decks."""
+        return rules.validate(self.batch, of)
+
+
+class Batch(Deck):
+    """All decks of a workspace as one deck: file_idx counts on, and every resolution is within a deck_id."""
+
+    def __init__(self, of: Workspace) -> None:
+        super().__init__(of.spark, [n for d in of.decks for n in d.nodes], of.library, of.decks[0].content)
+        self.of, self.scope = of, ("deck_id",)
+
+    @functools.cached_property
+    def files(self) -> DataFrame:
+        rows = [(at, k) for at, k in enumerate(k for k, d in enumerate(self.of.decks) for _ in d.nodes)]
+        return super().files.join(F.broadcast(self.spark.createDataFrame(rows, "file_idx int, deck_id int")) if len(rows) <= source.BROADCAST_ROWS else self.spark.createDataFrame(rows, "file_idx int, deck_id int"), "file_idx")
+
+    def dangling(self, connectivity: bool = False) -> DataFrame:
+        return self.of.dangling(connectivity)

@@ -57,6 +57,19 @@ def test_reading(spark, files):
     assert b.leaves.where("state is not null").count() == T * 4
 
 
+def test_reading_by_branch_and_variable(spark, files):
+    _, x, _, pattern = files
+    b = Binout(spark, pattern)
+    assert b.read("nodout") == ["energy", "ragged", "time", "x acc"] and "d000001" in b.channels("nodout")
+    assert np.array_equal(b.read("nodout", "x acc"), x) and b.read("nodout", "energy").tolist() == [10.0 * k for k in range(T)]
+    assert np.array_equal(b.read("nodout", "x acc", id=205), x[:, 1]) and np.array_equal(b.read("nodout", "x acc", names=["left", "head"]), x[:, [0, 2]])
+    assert b.read("nodout", "d000002", "x acc").tolist() == x[1].tolist()
+    with pytest.raises(KeyError):
+        b.read("nodout", "nope")
+    with pytest.raises(ValueError):
+        b.read("nodout", id=205)
+
+
 def test_later_files_override(spark, files, tmp_path):
     more = lsda.Editor({("glob", "force"): np.array([9.0]), ("extra", "y"): np.array([1])})
     more.write(tmp_path / "binout%001")

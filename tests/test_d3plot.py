@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deckframe.functions import shell, tensor
-from deckframe.sources.d3plot import BadHeader, D3plot, Editor, Unsupported, Writer
+from deckframe.sources.d3plot import WORDS, BadHeader, D3plot, Editor, Unsupported, Writer
 
 CUBE = np.array([[x, y, z] for z in (0, 1) for y in (0, 1) for x in (0, 1)], float)
 
@@ -126,3 +126,75 @@ def test_writer_checks():
         w.add_state(1.0, CUBE, velocity=CUBE)
     with pytest.raises(ValueError):
         w.add_state(1.0, CUBE[:2].ravel()[:5])
+
+
+def section(kind, *values):
+    return np.array(values, {"i": "<i4", "f": "<f4"}[kind]).tobytes()
+
+
+@pytest.fixture
+def rich(spark, tmp_path):
+    """A file with nodal fields, element deletion, SPH, airbag particles, a rigid body, and part titles."""
+    w = np.zeros(64, "<i4")
+    for k, v in {"ndim": 8, "numnp": 3, "it": 13, "iu": 1, "idtdt": 11, "nel8": 2, "nv3d": 1, "maxint": -10_001, "nmsph": 2, "npefg": 2, "nmmat": 2}.items():
+        w[WORDS[k]] = v
+    sph = [11, 1, 1, 6, 1, 1, 0, 1, 6, 1, 2]
+    bag = [1, 2, 3, 1]
+    coords, solids = np.arange(9), [1, 2, 3, 1, 1, 1, 1, 1, 1, 1, 2, 3, 1, 1, 1, 1, 1, 2]
+    geometry = section("i", *sph) + section("i", *bag) + bytes(4 * 9 * 4) + section("f", *coords) + section("i", *solids)
+    geometry += section("i", 1) + section("i", 1, 2, 5, 6, 0)  # a rigid body: its number, its nodes, and no active ones
+    geometry += section("i", 1, 1, 2, 1) + section("i", 7, 8)  # SPH nodes with materials, words of the bags
+    n_sph = 1 + 1 + 6 + 1 + 1 + 0 + 1 + 6 + 1 + 2 + 1
+    parts = [("displacement", 9), ("temperature", 9), ("heat_flux", 9), ("mass_scaling", 3), ("temperature_gradient", 3), ("residual_force", 9), ("residual_moment", 9), ("solid", 2)]
+    parts += [("solid_alive", 2), ("sph", 2 * n_sph), ("airbag", 2 * 1), ("airbag_particle", 3 * 2), ("rigid_body", 24)]
+    states, want = b"", []
+    for s in range(2):
+        own = {name: np.arange(size) + 1000 * k + 100 * s for k, (name, size) in enumerate(parts)}
+        own["solid_alive"] = np.array([1, s])
+        want.append(own)
+        states += section("f", s / 2) + b"".join(section("f", *own[name]) for name, _ in parts)
+    titles = section("f", -999999.0) + section("i", 90000) + b"the run".ljust(72) + section("i", 90001, 2) + b"".join(section("i", i) + t.ljust(72) for i, t in ((41, b"left wheel"), (42, b"right"))) + section("i", 0)
+    (tmp_path / "rich").write_bytes(w.tobytes() + geometry + titles)
+    (tmp_path / "rich01").write_bytes(states)
+    return D3plot(spark, str(tmp_path / "rich")), want, n_sph
+
+
+def test_sections_beyond_nodes_and_elements(rich):
+    plot, want, n_sph = rich
+    assert [t for *_, t in plot.states] == [0.0, 0.5] and plot.control.sph_vars == n_sph and plot.control.rigids == 1
+    assert plot.node_coordinates().ravel().tolist() == list(range(9)) and plot.part_titles() == {41: "left wheel", 42: "right"}
+    for name, k in (("temperature", 3), ("heat_flux", 3), ("mass_scaling", 1), ("temperature_gradient", 1), ("residual_force", 3), ("residual_moment", 3), ("sph", n_sph), ("airbag", 1), ("airbag_particle", 2), ("rigid_body", 24)):
+        for s in (0, 1):
+            got = [r.vars for r in plot.block(name, s).orderBy("entity").collect()]
+            assert got == np.array(want[s][name], float).reshape(-1, k).tolist(), name
+    assert [(r.state, r.alive) for r in plot.alive("solid").orderBy("state", "entity").collect()] == [(0, True), (0, False), (1, True), (1, True)]
+
+
+def test_entities_in_ranges(plot, monkeypatch):
+    from deckframe.sources import d3plot
+
+    monkeypatch.setattr(d3plot, "ENTITIES", 1)
+    assert [(r.element_id, r.part_index, r.part_id, r.vars[0]) for r in plot.elements("solid", -1).orderBy("entity").collect()] == [(70, 1, 7, 200.0), (80, 2, 9, 0.0)]
+    assert plot.nodes(0).orderBy("node_id").first().node_id == 11 and plot.max_final_displacement() == 2.0
+    assert values(plot.part_max_history("solid", F.col("vars")[3], part_id=9)) == [50.0] * 3
+    text = plot._part("solid", None, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text
+
+
+def test_many_files_are_indexed_by_tasks(spark, plot, tmp_path, monkeypatch):
+    from deckframe.sources import d3plot
+
+    monkeypatch.setattr(d3plot, "FILES", 1)
+    first, offset, _ = plot.states[0]
+    data = open(plot.files[0], "rb").read()
+    (tmp_path / "d3plot02").write_bytes(data[offset : offset + 2 * plot.control.state_bytes])
+    p = D3plot(spark, str(tmp_path / "d3plot"))
+    assert [(k, t) for k, _, t in p.states] == [(0, 0.0), (0, 0.5), (0, 1.0), (1, 0.0), (1, 0.5)]
+
+
+def test_geometry_past_the_end(spark, tmp_path):
+    w = np.zeros(64, "<i4")
+    w[[15, 16, 20]] = 4, 2_000_000, 1
+    (tmp_path / "z").write_bytes(w.tobytes())
+    with pytest.raises(BadHeader):
+        D3plot(spark, str(tmp_path / "z"))

@@ -259,6 +259,53 @@ def test_chunks_of_a_block_meet_at_lines(deck, monkeypatch):
     assert c["nid"].tolist() == list(range(1, 2001)) and c["x"][-1] == 2000.5
 
 
+PREAMBLE = "no keyword here\n$ c\n*KEYWORD\n"
+MIXED = PREAMBLE + "$ above\n\n*PART_TITLE opt A\nname\nfirst\n         3         1         1\n$ in between\n*PART\nsecond\n$ c\n\n         4         1         1\nthird\n         5         2         9\n" + (
+    "*NODE\n" + "".join(f"{i:>8}{i * 1.5:>16.3f}{0:>16}{0:>16}\n$ {i}\n" for i in range(1, 40)) + "*MAT_ELASTIC_TITLE\nsteel\n         1   7.8e-9  210000.\n*SECTION_SHELL\n         1\n 1.,2.,\n*SET_PART_LIST\n         8\n         3         4         5         6\n"
+    "*ELEMENT_SHELL\n" + "".join(f"{i},{3 + i % 4},{i},{i + 1},{i + 2},{i + 3}\n" for i in range(1, 45)) + "\n$ trailing\n*BOUNDARY_SPC_NODE\n        99         0         1\n*END"
+)
+
+
+@pytest.mark.parametrize("chunk", [7, 23, 64, 333, 1 << 20])
+def test_ranges_of_any_size_give_the_same(deck, monkeypatch, chunk):
+    from deckframe.operators.predicates import field as of
+    from deckframe.sources import cards
+    from deckframe.sources import keyword as source
+
+    monkeypatch.setattr(source, "CHUNK", chunk)
+    d = deck(root=MIXED)
+    data = MIXED.encode()
+    names = ("start", "end", "name_start", "body_start", "line", "name", "options", "fmt")
+    own = ("span_start", "span_end", "name_start", "body_start", "line", "name", "options", "format")
+    want = [tuple(getattr(b, n) if n != "options" else list(b.options) for n in names) for b in cards.split_blocks(data)]
+    assert [tuple(r[n] for n in own) for r in d.blocks.orderBy("block_idx").collect()] == want
+    node = d.columns("NODE")
+    assert node["nid"].tolist() == list(range(1, 40)) and node["x"].tolist() == [i * 1.5 for i in range(1, 40)]
+    assert d.columns("PART")["pid"].tolist() == [4, 5] and d.columns("PART")["heading"].tolist() == ["second", "third"]
+    assert d.columns("ELEMENT_SHELL")["n4"].tolist() == [i + 3 for i in range(1, 45)]
+    line = {(b.name, n): b.line for n, b in enumerate(cards.split_blocks(data))}
+    at = {name: line[name, n] for name, n in line}
+    assert sorted((r.kind, r.id, r.line) for r in d.definitions.where("kind in ('Part', 'Material', 'PartSet')").collect()) == [
+        ("Material", 1, at["MAT_ELASTIC_TITLE"] + 1), ("Part", 3, at["PART_TITLE"] + 2), ("Part", 4, at["PART"] + 1), ("PartSet", 8, at["SET_PART_LIST"])]
+    found = sorted(r.message for r in rules.validate(d, [rules.references_resolve(connectivity=True), rules.field_required("MAT_ELASTIC", of("e", "<", 5)), rules.field_required("SECTION_SHELL", of("t2", ">", 2))]).collect())
+    assert found == sorted([
+        *(f"ELEMENT_SHELL.N{k} references Node {i} — not defined in the deck" for k, top in ((1, 44), (2, 45), (3, 46), (4, 47)) for i in range(40, top + 1)),
+        *(f"ELEMENT_SHELL.PID references Part {p} — not defined in the deck" for i in range(1, 45) if (p := 3 + i % 4) > 4),
+        "BOUNDARY_SPC_NODE.NID references Node 99 — not defined in the deck", *(f"SET_PART_LIST.PID{k} references Part {k + 2} — not defined in the deck" for k in (3, 4)),
+        "requires e < 5, got 210000", "requires t2 > 2, got 2",
+    ])
+
+
+def test_small_frames_are_sent_and_content_stays(deck):
+    """Neither reading nor resolving deals content by file."""
+    d = deck(root=MIXED)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (d.table("NODE"), d.definitions, d.references, d.dangling()):
+        text = plan(df).split("InMemoryRelation")[0]
+        assert "SortMergeJoin" not in text or "hashpartitioning(path" not in text, text
+    assert "hashpartitioning(path#" not in plan(d.definitions).split("InMemoryRelation")[0]
+
+
 def test_source(spark, tmp_path):
     from deckframe.sources.keyword import KeywordSource
 
@@ -266,3 +313,10 @@ def test_source(spark, tmp_path):
     spark.dataSource.register(KeywordSource)
     df = spark.read.format("keyword").option("keyword", "NODE").load(str(tmp_path / "a.k"))
     assert sorted(r.nid for r in df.collect()) == [1, 2, 3]
+    (tmp_path / "b.k").write_text(MIXED.replace("*END", "*VENDOR_LINK\n         1         2       2.5\n*INCLUDE\na.k\n"))
+    df = spark.read.format("keyword").option("keyword", "PART").load(str(tmp_path / "b.k"))
+    assert [(r.heading, r.pid) for r in df.orderBy("pos").collect()] == [("second", 4), ("third", 5)]
+    layouts = '{"VENDOR_LINK": [[{"name": "WID", "type": "integer", "width": 10}, {"name": "MID", "type": "integer", "width": 10}, {"name": "F", "type": "real", "width": 10}]]}'
+    df = spark.read.format("keyword").option("keyword", "VENDOR_LINK").option("layouts", layouts).load(str(tmp_path / "b.k"))
+    assert [(r.wid, r.mid, r.f) for r in df.collect()] == [(1, 2, 2.5)]
+    assert spark.read.format("keyword").option("keyword", "NODE").option("includes", "true").load(str(tmp_path / "b.k")).count() == 42
