@@ -478,7 +478,8 @@ def _plot(spark: SparkSession, sf: str) -> D3plot:
     return _once("plot", spark, sf, make)
 
 
-_WORD = F.get(F.col("vars"), F.lit(0))
+def _word() -> F.Column:  # type: ignore[name-defined]
+    return F.get(F.col("vars"), F.lit(0))
 
 
 @_query
@@ -504,7 +505,7 @@ def plot_velocity(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def plot_part_max(spark: SparkSession, sf: str) -> DataFrame:
-    return _plot(spark, sf).part_max_history("solid", _WORD, part_id=72)
+    return _plot(spark, sf).part_max_history("solid", _word(), part_id=72)
 
 
 @_query
@@ -515,7 +516,7 @@ def plot_part_von_mises(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def plot_part_percentile(spark: SparkSession, sf: str) -> DataFrame:
-    return _plot(spark, sf).part_percentile_history("solid", _WORD, 75.0, part_index=1).select("state", F.round("value", 8).alias("value"))
+    return _plot(spark, sf).part_percentile_history("solid", _word(), 75.0, part_index=1).select("state", F.round("value", 8).alias("value"))
 
 
 @_query
