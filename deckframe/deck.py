@@ -281,8 +281,7 @@ class Content:
     @functools.cached_property
     def context(self) -> DataFrame:
         """A row a range; it says what a task must know to read the range."""
-        sizes = self.spark.createDataFrame(self.sizes, "path string, byte_count long")
-        return source.contexts(self._found[0], F.broadcast(sizes) if len(self.sizes) <= source.BROADCAST_ROWS else sizes).persist()
+        return source.contexts(self._found[0], self.sizes, self.n_ranges).persist()
 
     @functools.cached_property
     def blocks(self) -> DataFrame:

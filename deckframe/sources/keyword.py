@@ -33,7 +33,7 @@ CHUNK = 8 << 20
 BROADCAST_ROWS = 100_000
 HEAD_SCHEMA = (
     "path string, chunk int, n int, name string, base string, options array<string>, span_start long, span_end long, name_start long, body_start long, line long, title_offset int, "
-    "lines long, long_format boolean, tail_rows long, names array<string>"
+    "lines long, long_format boolean, tail_rows long, names array<string>, own int"
 )
 _HEAD_NAMES = [c.strip().split()[0] for c in HEAD_SCHEMA.split(", ")]
 #: Ids of one keyword's field, as parallel arrays.
@@ -210,7 +210,7 @@ def heads(part: Part) -> pa.RecordBatch:
         column(take([int(has_title(x[0])) for x in spelled], pa.int32()), pa.int32(), None),
         column(None, whole, part.newlines), column(None, flag, any(x[2] for x in spelled)),
         column(None, whole, int(np.count_nonzero((part.block[:own] == n) & (part.row[:own] >= 0)))),
-        column(None, texts, sorted({x[0].upper() for x in spelled})),
+        column(None, texts, sorted({x[0].upper() for x in spelled})), column(None, pa.int32(), n),
     ], names=_HEAD_NAMES)
 
 
@@ -231,14 +231,48 @@ def _tasks(spark: SparkSession, jobs: int) -> int:
     return max(1, min(jobs, max(4 * spark.sparkContext.defaultParallelism, jobs // 16)))
 
 
-def contexts(found: DataFrame, sizes: DataFrame) -> DataFrame:
-    """What each range must know: its bytes, block0, line0, long_format, next_start (where the first keyword behind it begins), open_name, open_line, open_rows, names.
+#: A range with its context: block0 and line0 are the numbers of its first block and line, next_start is where the first keyword behind it begins, open_name, open_line and open_rows tell of the keyword that is open.
+CONTEXT_SCHEMA = (
+    "path string, chunk int, a long, b long, first boolean, last boolean, block0 int, line0 long, long_format boolean, byte_count long, next_start long, open_name string, open_line long, open_rows long, names array<string>"
+)
 
-    ``found``: rows of ``heads``; ``sizes``: path, byte_count. Windows over one row a range.
-    """
-    count = found.where("n >= 0").groupBy("path", "chunk").agg(F.count(F.lit(1)).alias("own"))
-    rows = found.where("n = -1").select("path", "chunk", F.col("name").alias("last_name"), F.col("span_start").alias("first_start"), F.col("line").alias("last_line"), "lines", "long_format", "tail_rows", "names")
-    rows = rows.join(count, ["path", "chunk"], "left").join(sizes, "path").withColumn("own", F.coalesce("own", F.lit(0)))
+
+def context_of(notes: Sequence[dict], size: int) -> list[dict]:
+    """The contexts of one file's ranges from their notes, in order."""
+    out, block0, line0, name, line, rows, is_long = [], 0, 0, None, None, 0, any(x["long_format"] for x in notes)
+    for x in notes:
+        k = x["chunk"]
+        out.append({
+            "path": x["path"], "chunk": k, "a": k * CHUNK, "b": min(size, (k + 1) * CHUNK), "first": k == 0, "last": (k + 1) * CHUNK >= size, "block0": block0, "line0": line0,
+            "long_format": is_long, "byte_count": size, "next_start": None, "open_name": name, "open_line": line, "open_rows": rows, "names": x["names"],
+        })
+        rows = x["tail_rows"] + (0 if x["own"] else rows)
+        if x["own"]:
+            name, line = x["name"], line0 + x["line"]
+        block0, line0 = block0 + x["own"], line0 + x["lines"]
+    following = None
+    for job, x in zip(reversed(out), reversed(notes), strict=True):
+        job["next_start"] = following
+        following = x["span_start"] if x["own"] else following
+    return out
+
+
+def contexts(found: DataFrame, sizes: Sequence[tuple[str, int]], n_ranges: int) -> DataFrame:
+    """The context of every range, from rows of ``heads``: on the driver up to ``BROADCAST_ROWS`` ranges, else by windows."""
+    spark = found.sparkSession
+    if n_ranges > BROADCAST_ROWS:
+        return windowed_contexts(found, spark.createDataFrame(sizes, "path string, byte_count long"))
+    notes: dict[str, list[dict]] = {}
+    for r in found.where("n = -1").select("path", "chunk", "name", "span_start", "line", "lines", "long_format", "tail_rows", "names", "own").orderBy("path", "chunk").collect():
+        notes.setdefault(r.path, []).append(r.asDict())
+    jobs = [tuple(job.values()) for path, size in sizes for job in context_of(notes[path], size)]
+    return spark.createDataFrame(jobs, CONTEXT_SCHEMA)
+
+
+def windowed_contexts(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``context_of`` for any number of ranges: windows over one row a range. ``sizes``: path, byte_count."""
+    rows = found.where("n = -1").select("path", "chunk", F.col("name").alias("last_name"), F.col("span_start").alias("first_start"), F.col("line").alias("last_line"), "lines", "long_format", "tail_rows", "names", "own")
+    rows = rows.join(sizes, "path")
     w = Window.partitionBy("path").orderBy("chunk")
     before, behind = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     rows = rows.select(
@@ -553,6 +587,11 @@ class _Range(InputPartition):
         self.job = job
 
 
+def _note(job: tuple) -> dict:
+    found = heads(Part(dict(zip([c.split()[0] for c in _RANGE.split(", ")], job, strict=True))))
+    return found.slice(len(found) - 1).to_pylist()[0]
+
+
 class _KeywordReader(DataSourceReader):
     def __init__(self, path: str, layout: Schema, includes: bool) -> None:
         self.path, self.layout, self.includes = path, layout, includes
@@ -568,19 +607,9 @@ class _KeywordReader(DataSourceReader):
         """Ranges with their context: files are looked through a range at a time, and only notes are kept."""
         out = []
         for path in self._files():
-            own, block0, line0, open_name, open_line, open_rows, is_long = [], 0, 0, None, 0, 0, False
-            for _, chunk, a, b, first, last in ranges([(path, files.size(path))]):
-                job = {"path": path, "chunk": chunk, "a": a, "b": b, "first": first, "last": last, "block0": block0, "line0": line0, "open_name": open_name, "open_line": open_line, "open_rows": open_rows, "long_format": False}
-                note = heads(Part(job)).to_pylist()
-                *found, end = note
-                if self.layout.keyword in {*end["names"], (open_name or "").upper()}:
-                    own.append(job)
-                is_long |= end["long_format"]
-                open_rows = end["tail_rows"] + (0 if found else open_rows)
-                if found:
-                    open_name, open_line = end["name"], line0 + end["line"]
-                block0, line0 = block0 + len(found), line0 + end["lines"]
-            out += [_Range(job | {"long_format": is_long}) for job in own]
+            size = files.size(path)
+            notes = [_note(job) for job in ranges([(path, size)])]
+            out += [_Range(job) for job in context_of(notes, size) if self.layout.keyword in {*job["names"], (job["open_name"] or "").upper()}]
         return out or [_Range({})]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
