@@ -323,7 +323,7 @@ def _linkable(open_: DataFrame, threshold: float) -> DataFrame:
     """Rows of buckets in which some pair of different classes may still meet the bound."""
     alive = open_.where(F.col("common") >= threshold * F.col("n") - SLACK)
     least = alive.groupBy("band").agg(F.min("n").alias("least"), F.min(F.xxhash64("class")).alias("lo"), F.max(F.xxhash64("class")).alias("hi"))
-    least = least.where("lo <> hi").select("band", "least")
+    least = cut(least.where("lo <> hi").select("band", "least"), "nd-least")
     return alive.join(least, "band").where((1 + threshold) * F.col("common") >= threshold * (F.col("n") + F.col("least")) - SLACK).drop("least")
 
 
@@ -332,7 +332,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> Classes:
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = cut(nodes, "nd-nodes")
     posts = nodes.select(F.explode("bands").alias("band"), "node", "n")
-    shared = posts.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # what is counted for buckets is written before members are joined with it: a join whose sides come
+    # straight from a shuffle or a file can be split where a bucket is large, or needs no shuffle at all
+    shared = cut(posts.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nd-shared")
     met = cut(posts.join(shared, "band"), "nd-buckets")
     links, label = None, None
     if not met.isEmpty():
@@ -352,7 +354,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> Classes:
 
         one = F.xxhash64("class")
         named = classed(met)
-        unsettled = named.groupBy("band").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi").select("band")
+        unsettled = cut(named.groupBy("band").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi").select("band"), "nd-bands")
         named = cut(named.join(unsettled, "band", "left_semi"), "nd-unsettled")
         alone = _common(sets, named.select("node").distinct())
         named = named.withColumn("who", F.xxhash64("node")).join(alone, "who", "left")
