@@ -18,10 +18,13 @@ SPACE = " \t\n\x0b\f\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (single-machine tests) a temporary one is made.
+    Only where the setting is absent on a single machine, as in tests, a temporary one is made; on a
+    cluster a folder of one machine would be of no use, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="deckframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -17,7 +17,8 @@ source, or at most 1,024 histogram rows of one source.
 
 Defined cases: null texts have no words; records without words are taken in whole passes only;
 null sources form one source, ranked last; records that agree in id and text are taken together;
-an empty table gives an empty result; other columns are carried by ``draw`` and ignored by ``plan``.
+an empty table gives an empty result; a text of any length is one record of its size, taken whole or
+not at all; other columns are carried by ``draw`` and ignored by ``plan``.
 """
 
 from __future__ import annotations

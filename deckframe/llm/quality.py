@@ -13,7 +13,8 @@ and base_failed (under 50 words, or more than half of them in repeated 3-word wi
 is kept if it did not fail the base and its posterior is 0.5 or more.
 
 Defined cases: a null text has no words and fails the base; repeated rows are judged alike and all
-returned; an empty table gives an empty result; columns of any other name pass through unread.
+returned; an empty table gives an empty result; a text of any length is measured whole, in n log n
+time at most; columns of any other name pass through unread.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ with the rules on its first 32 bits; the full digest then confirms the hit, and
 (by host plus path, then by host) decides.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and fits no rule;
-repeated rows are all returned; an empty table gives an empty result; other columns are ignored.
+repeated rows are all returned; an empty table gives an empty result; a URL of any length is judged
+whole, as only prefixes as long as some rule's are hashed; other columns are ignored.
 Of two rules with the same host and path, ``block`` wins.
 """
 
@@ -55,35 +56,39 @@ def _rest(url: Column) -> Column:
 
 
 def _expressions(shapes: Sequence[tuple[int, int]]) -> Column:
-    """array<string>: the URL's expressions of the given shapes (labels of the host, characters of the path)."""
-    labels = F.split("host", r"\.")
-    return F.array_distinct(F.array_compact(F.array(*(
-        F.when(
-            (F.size(labels) >= k) & (F.length("path") >= n),
-            F.concat(F.substring_index("host", ".", -k), F.substring("path", 1, n)),
-        )
-        for k, n in shapes
-    ))))
+    """array<string>: the URL's expressions of the given shapes (labels of the host, characters of the path).
+
+    Shapes are one constant array, so the plan has the same size for any number of rules.
+    """
+    known = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in shapes))
+    fits = F.filter(known, lambda s: (F.size("labels") >= s["k"]) & (F.length("path") >= s["n"]))
+    return F.array_distinct(F.transform(fits, lambda s: F.concat(F.array_join(F.slice("labels", -s["k"], s["k"]), "."), F.substr("path", F.lit(1), s["n"]))))
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages`` (page_id, url).
 
+    ``rules``: a list, or a frame of any size (verdict, host, path). Of a frame the driver gathers
+    only the different shapes, at most the labels times the path lengths that there are.
+
     One shuffle of (page_id, url): equal rows are counted before it, and the rule join and the
     choice of the longest rule keep its partitioning.
     """
     spark = pages.sparkSession
-    shapes = sorted({(r.host.count(".") + 1, len(r.path)) for r in rules})
+    given = rules if isinstance(rules, DataFrame) else spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
+    shapes = sorted((r.k, r.n) for r in given.select(F.size(F.split("host", r"\.")).alias("k"), F.length("path").alias("n")).distinct().collect())
     distinct = pages.groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("copies"))
     hosts = distinct.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    if not rules:
+    if not shapes:
         best = hosts.select("page_id", "host", "path", "copies", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     else:
-        table = spark.createDataFrame([(r.text, len(r.host), r.verdict) for r in rules], "rule string, host_chars int, rule_verdict string")
+        table = given.select(F.concat("host", "path").alias("rule"), F.length("host").alias("host_chars"), F.col("verdict").alias("rule_verdict")).distinct()
         table = table.withColumn("rule_digest", F.sha2("rule", 256)).withColumn("short", F.substring("rule_digest", 1, SHORT))
+        few = (len(rules) if not isinstance(rules, DataFrame) else rules.count()) <= BROADCAST_RULES
+        hosts = hosts.withColumn("labels", F.split("host", r"\."))
         spread = hosts.withColumn("expression", F.explode_outer(_expressions(shapes)))
         spread = spread.withColumn("digest", F.sha2("expression", 256)).withColumn("short", F.substring("digest", 1, SHORT))
-        hit = spread.join(F.broadcast(table) if len(rules) <= BROADCAST_RULES else table, "short", "left")
+        hit = spread.join(F.broadcast(table) if few else table, "short", "left")
         confirmed = F.when(
             F.col("digest") == F.col("rule_digest"),
             F.struct(F.length("rule").alias("chars"), "host_chars", F.col("rule_verdict").alias("verdict"), "rule"),

@@ -87,6 +87,15 @@ def test_quality_edges(spark):
     assert quality.judge(df.limit(0)).collect() == [] and quality.filtered(df.limit(0)).collect() == []
 
 
+def test_verdicts_agree_with_labels(spark):
+    """Held-out accuracy: the labels are never read by the fit."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.judge(docs).join(labels, "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in got}
+    good, bad = n.get((1, True), 0), n.get((0, False), 0)
+    assert good / (good + n.get((1, False), 0)) >= 0.98 and bad / max(1, bad + n.get((0, True), 0)) >= 0.98
+
+
 # mixing -------------------------------------------------------------------------------------
 
 
@@ -155,6 +164,17 @@ def test_tree_splits_exactly_and_fairly(spark):
     assert 2.0 < np.mean(left) < 4.0 and len(set(left)) > 2
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(120_000))
+    df = spark.createDataFrame([(1, long, "a", 0), (2, long + " x", "a", 0), (3, "a b c", "b", 0)], DOCS)
+    assert {r.doc_id: r.n_words for r in quality.judge(df).collect()} == {1: 120_000, 2: 120_001, 3: 3}
+    assert {r.doc_id: r.size for r in mixing.decisions(mixing.plan(df)).collect()} == {1: 120_000, 2: 120_001, 3: 3}
+    assert {r.doc_id: r.size for r in sharding.shard(df, 2)[0].collect()} == {1: len(long) + 1, 2: len(long) + 3, 3: 6}
+    url = "http://a.net/" + "x" * 500_000
+    assert urls.judge(spark.createDataFrame([(1, url)], "page_id long, url string"), RULES).first().rule == "net/"
+
+
 def test_mix_edges(spark):
     df = spark.createDataFrame([(None, None, None, 1, 5), (1, "", "a", 1, 6), (2, "x y", "a", 1, 7), (2, "x y", "a", 1, 7)], DOCS + ", _mix_k int")
     got = mixing.decisions(mixing.plan(df)).collect()
@@ -197,6 +217,8 @@ def test_urls(spark):
     got = urls.judge(spark.createDataFrame([(*p, "host") for p in pages], "page_id long, url string, host string"), RULES)
     key = lambda r: tuple("" if x is None else str(x) for x in r)
     assert sorted(map(key, got.collect())) == sorted(key((i, *judged(u))) for i, u in pages)
+    frame = spark.createDataFrame([(r.verdict, r.host, r.path) for r in RULES], "verdict string, host string, path string")
+    assert urls.judge(spark.createDataFrame(pages, "page_id long, url string"), frame).exceptAll(got).isEmpty()
     assert urls.judge(got.select("page_id", F.col("host").alias("url")).limit(0), RULES).collect() == []
     assert urls.judge(spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string"), []).first().verdict == "allow"
 
