@@ -2,8 +2,8 @@
 
 1. Sources ranked by code point get weights in turn; targets share ``ratio`` of all words by
    weight, stop at ``cap`` times their source's words, and the excess is shared again by weight.
-2. A record's permutation key is a hash of its id and text; a *block* is one of ``BLOCKS`` equal
-   ranges of the key, so blocks in key order are a random permutation of the source. A source is
+2. A record's permutation key is a hash of its id and text; a *block* is one of 256 (more for
+   over 64 shards) equal ranges of the key, so blocks in key order are a random permutation of the source. A source is
    taken in whole passes, then up to a threshold key found by a three-level histogram (a radix
    select): no source is ever sorted or gathered as a whole. One record whose size is nearest to
    what is then missing (or too much) is taken besides (or left out).
@@ -33,9 +33,8 @@ from pyspark.sql.window import Window
 from deckframe.llm.common import cut, let, same, text_of, word_count
 
 SEED = 7_919
-#: Blocks of a source, a power of two.
-BLOCKS = 256
-_BLOCK_BITS = 8
+#: Bits of the number of blocks of a source: at least 256 blocks, and 4 for each shard.
+BLOCK_BITS = 8
 _BIN_BITS = 10
 
 
@@ -187,12 +186,15 @@ class Mix:
     rows: DataFrame
     shards: int
     seed: int
+    bits: int = BLOCK_BITS
 
 
 def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), ratio: float = 1.5, cap: int = 2, shards: int = 8, seed: int = SEED) -> Mix:
     """Decide how often each record is taken. ``cap``: whole passes over a source at most."""
     if cap != int(cap) or cap < 1:
         raise ValueError("cap must be a whole number of passes")
+    bits = max(BLOCK_BITS, (4 * shards - 1).bit_length())
+    blocks = 1 << bits
     rows = cut(sized(docs, seed), "mix-sized")
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     full = F.least(F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0), F.lit(cap)).cast("long")
@@ -203,22 +205,23 @@ def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), ratio: float = 1
     per = cut(per.withColumn("last_key", F.coalesce("last_key", F.lit(-1).cast("long"))), "mix-passes")
     fix = _corrections(rows, per.where("rest > 0"))
     per = per.join(fix.withColumnRenamed("source", "_s"), same(F.col("source"), F.col("_s")), "left").drop("_s")
-    extra = F.when(F.col("last_key") >= 0, F.shiftrightunsigned(F.col("last_key"), 63 - _BLOCK_BITS) + 1).when(F.col("fix_key").isNotNull(), 1).otherwise(0)
-    per = cut(per.withColumn("blocks", (F.col("full") * BLOCKS + extra).cast("long")), "mix-blocks")
+    extra = F.when(F.col("last_key") >= 0, F.shiftrightunsigned(F.col("last_key"), 63 - bits) + 1).when(F.col("fix_key").isNotNull(), 1).otherwise(0)
+    per = cut(per.withColumn("blocks", (F.col("full") * blocks + extra).cast("long")), "mix-blocks")
     tree = split_tree(per.select("rank", "blocks"), shards, seed)
-    return Mix(cut(per.join(tree, "rank"), "mix-sources"), rows, shards, seed)
+    return Mix(cut(per.join(tree, "rank"), "mix-sources"), rows, shards, seed, bits)
 
 
 def _takes(rows: DataFrame, mix: Mix, key: str, pre: str) -> DataFrame:
     """Adds the source's columns, named with the prefix ``pre``, and ``shards``: the shard of every take of the record."""
     src = mix.sources.select(*(F.col(c).alias(f"{pre}{c}") for c in mix.sources.columns))
     k, of = F.col(key), lambda c: F.col(f"{pre}{c}")
-    block = F.shiftrightunsigned(k, 63 - _BLOCK_BITS)
-    turn = F.pmod(block * 167 + F.pmod(of("rank") * 61, F.lit(BLOCKS)), F.lit(BLOCKS))
+    blocks = 1 << mix.bits
+    block = F.shiftrightunsigned(k, 63 - mix.bits)
+    turn = F.pmod(block * 167 + F.pmod(of("rank") * 61, F.lit(blocks)), F.lit(blocks))
     indexes = F.concat(
-        F.transform(F.slice(F.sequence(F.lit(0).cast("long"), of("full")), F.lit(1), of("full").cast("int")), lambda c: c * BLOCKS + turn),
+        F.transform(F.slice(F.sequence(F.lit(0).cast("long"), of("full")), F.lit(1), of("full").cast("int")), lambda c: c * blocks + turn),
         # a record taken as a correction counts to the source's last block
-        F.when((k <= of("last_key")) != same(k, of("fix_key")), F.array(F.least(of("full") * BLOCKS + block, of("blocks") - 1))).otherwise(F.array().cast("array<bigint>")),
+        F.when((k <= of("last_key")) != same(k, of("fix_key")), F.array(F.least(of("full") * blocks + block, of("blocks") - 1))).otherwise(F.array().cast("array<bigint>")),
     )
     shard_of = F.transform(indexes, lambda i: F.size(F.filter(of("ends"), lambda e: e <= i)))
     return rows.join(src, same(F.col("source"), of("source"))).withColumn(f"{pre}shards", shard_of)

@@ -151,6 +151,12 @@ def test_draw_is_what_was_decided(mixed):
     assert got == collections.Counter({i: n for i, n in times.items() if n})
 
 
+def test_many_shards_all_get_records(spark):
+    df = spark.createDataFrame([(i, "w " * (i % 5 + 1), "s", 1) for i in range(6000)], DOCS)
+    got = mixing.decisions(mixing.plan(df, shards=300)).collect()
+    assert {s for r in got for s in r.shards} == set(range(300))
+
+
 def test_tree_splits_exactly_and_fairly(spark):
     q = spark.createDataFrame([(1, 100), (2, 7), (3, 0), (4, 41)], "rank long, blocks long")
     for shards in (1, 2, 5, 8):
