@@ -142,7 +142,7 @@ class Deck:
         """
         defs = self.definitions.select(*self.scope, "kind", "id")
         asked = self._placed(self.content.distinct).select(*self.scope, "file_idx", "path", "chunk", "kind", "id")
-        failed = ops.dangling(asked, defs, self.scope, few=True, tracked=self._tracked()).persist()  # read twice
+        failed = ops.keep(ops.dangling(asked, defs, self.scope, few=True, tracked=self._tracked()))
         lines = self._placed(self.content.lines(failed.select("path", "chunk").distinct()))
         return lines.join(ops.few_or_not(failed.select("file_idx", "chunk", "kind", "id")), ["file_idx", "chunk", "kind", "id"], "left_semi")
 
@@ -312,6 +312,7 @@ class Content:
             self.__dict__.pop("packed").unpersist()
 
     def unpersist(self) -> None:
+        ops.forget()
         self.forget_ids()
         for name in ("context", "_found"):
             if name in self.__dict__:

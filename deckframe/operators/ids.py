@@ -43,10 +43,25 @@ def shift(raw: int, offset: int) -> int:
 FEW = 500_000
 
 
+#: Frames of ids that are kept until ``forget``.
+_kept: list[DataFrame] = []
+
+
+def keep(ids: DataFrame) -> DataFrame:
+    """``ids``, computed once, for frames that are read several times."""
+    _kept.append(ids.persist())
+    return ids
+
+
 def few_or_not(ids: DataFrame) -> DataFrame:
     """``ids``, computed and kept; to be broadcast if it is few rows, else joined by shuffle."""
-    ids = ids.persist()
-    return F.broadcast(ids) if ids.count() <= FEW else ids
+    return F.broadcast(ids) if keep(ids).count() <= FEW else ids
+
+
+def forget() -> None:
+    """Lets go of all frames that are kept; one that is asked for again is computed again."""
+    while _kept:
+        _kept.pop().unpersist()
 
 
 def dangling(refs: DataFrame, defs: DataFrame, scope: Sequence[str] = (), few: bool = False, tracked: DataFrame | None = None) -> DataFrame:

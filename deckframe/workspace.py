@@ -121,7 +121,7 @@ class Workspace:
         asked = one.select("inst", "kind", "id")
         lines = self._placed(content.distinct, inst).select("inst", "path", "chunk", "kind", "id") if connectivity else None
         if lines is not None:
-            lines = lines.persist()  # read for what is left and for where it is
+            ops.keep(lines)  # read for what is left and for where it is
             asked = asked.unionByName(lines.select("inst", "kind", "id"))
         left = ops.few_or_not(asked.distinct().join(defs, ["inst", "kind", "id"], "left_anti"))
         each = many.select(F.explode("candidates").alias("c")).select("c.kind", "c.id")

@@ -85,3 +85,21 @@ def test_set_keyword():
 
 def test_edit_text():
     assert [cards.edit_text(x) for x in (7, 210000.0, 7.85e-9, 0.5, "a")] == ["7", "2.1e5", "7.85e-9", "0.5", "a"]
+
+
+@pytest.mark.parametrize("chunk", [1, 5, 1 << 20])
+@pytest.mark.parametrize("data", TEXTS)
+def test_ranges_note_what_the_whole_file_holds(tmp_path, monkeypatch, data, chunk):
+    from deckframe.sources import keyword as source
+
+    monkeypatch.setattr(source, "CHUNK", chunk)
+    path = tmp_path / "x.k"
+    path.write_bytes(data)
+    notes = [source._note(j) for j in source.ranges([(str(path), len(data))])]
+    jobs = source.context_of(notes, len(data))
+    want = cards.split_blocks(data)
+    found = [r for j in jobs for r in source.heads(source.Part(j)).to_pylist() if r["n"] >= 0]
+    assert [(r["name"], tuple(r["options"])) for r in found] == [(b.name, b.options) for b in want]
+    assert sum(n["own"] for n in notes) == len(want) and sum(n["lines"] for n in notes) == data.count(b"\n")
+    lines = [line for j in jobs for line in source.Part(j).block_line()[1:].tolist()]
+    assert lines == [b.line for b in want]
