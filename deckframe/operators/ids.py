@@ -41,6 +41,8 @@ def shift(raw: int, offset: int) -> int:
 
 #: Rows of ids up to which they are sent to all tasks (some 40 bytes each).
 FEW = 500_000
+#: Rows of ids up to which they pass through the driver, which keeps the plans behind them small.
+LOCAL = 10_000
 
 
 #: Frames of ids that are kept until ``forget``.
@@ -54,7 +56,10 @@ def keep(ids: DataFrame) -> DataFrame:
 
 
 def few_or_not(ids: DataFrame) -> DataFrame:
-    """``ids``, computed and kept; to be broadcast if it is few rows, else joined by shuffle."""
+    """``ids``, computed: a local frame if it is very few rows, else kept, to be broadcast if it is few and joined by shuffle if it is not."""
+    some = ids.limit(LOCAL + 1).toArrow()
+    if some.num_rows <= LOCAL:
+        return F.broadcast(ids.sparkSession.createDataFrame(some))
     return F.broadcast(ids) if keep(ids).count() <= FEW else ids
 
 
